@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memloom.llm import bpe, media, mixing
+from memloom.llm import bpe, langid, media, mixing, toxicity
+from memloom.llm.shared import fold
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,10 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold("doc_id", 5) != 0)
+    return langid.predict(docs, model).withColumn("held_out", fold("doc_id", 5) == 0)
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return toxicity.score(docs, model).withColumn("held_out", fold("doc_id", 5) == 0).withColumn("offending", F.to_json("offending"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -33,7 +46,9 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_media_columns": op2_media_columns,
+    "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op10_mix_sources": op10_mix_sources,
 }

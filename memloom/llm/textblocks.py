@@ -48,13 +48,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each buf[start:end]; equal byte strings get equal values wherever they stand."""
-    n = len(buf)
+def running_hash(buf: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(buf) + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(BYTE_CODE[buf] * _powers(_B, n), out=total[1:])
-        raw = (total[end] - total[start]) * _powers(_B_INV, n + 1)[start]
+        np.cumsum(BYTE_CODE[buf] * _powers(_B, len(buf)), out=total[1:])
+    return total
+
+
+def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each [start, end) of the bytes behind a running hash; equal byte strings get equal values wherever they stand."""
+    with np.errstate(over="ignore"):
+        raw = (total[end] - total[start]) * _powers(_B_INV, len(total))[start]
         return mix(raw + (end - start).astype(np.uint64))
 
 
@@ -107,7 +111,12 @@ class Block:
         return np.repeat(np.arange(self.rows), self.counts)
 
     def hashes(self) -> np.ndarray:
-        return span_hash(self.buf, self.start, self.end)
+        return self.prefix_hashes(None)[0]
+
+    def prefix_hashes(self, *lengths: int | None) -> list[np.ndarray]:
+        """Hashes of the words' first so many bytes; None: of whole words."""
+        total = running_hash(self.buf)
+        return [span_hash(total, self.start, self.end if n is None else np.minimum(self.end, self.start + n)) for n in lengths]
 
 
 def word_blocks(column, lower: bool = False, breaks: np.ndarray = SPACE, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, Block]]:
