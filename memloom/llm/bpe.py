@@ -23,9 +23,19 @@ from pyspark.sql import DataFrame
 
 from memloom.llm.textblocks import texts_of
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 #: Blanks start a piece only after an ASCII visible character or a two-byte character other than U+0085 and U+00A0.
 PIECE_CUT = re.compile(rb"(?:(?<=[!-~])|(?<=[\xc3-\xdf][\x80-\xbf]))(?=[ \n])")
+#: Texts without any of these have single blanks between surely visible characters only.
+UNUSUAL = re.compile(rb"[\x00-\x09\x0b-\x1f\x7f\xc2\xe0-\xff]|[ \n][ \n]")
+#: A piece of one blank and surely visible characters.
+PLAIN = re.compile(rb"[ \n](?:[!-~]|[\xc3-\xdf][\x80-\xbf])+")
+
+
+def pieces_of(data: bytes) -> list[bytes]:
+    if UNUSUAL.search(data):
+        return PIECE_CUT.split(data)
+    return data.replace(b" ", b"\0 ").replace(b"\n", b"\0\n").split(b"\0")
 
 
 @functools.cache
@@ -48,34 +58,52 @@ class Codec:
         self.unit = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         alphabet = byte_alphabet()
         self.bytes_of = [bytes(alphabet[c] for c in t) if (t := self.tokenizer.id_to_token(i)) is not None and all(c in alphabet for c in t) else (t or "").encode() for i in range(size)]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.memory: dict[bytes, bytes] = {}
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_utf8((text or "").encode())
 
     def encode_utf8(self, data: bytes) -> np.ndarray:
-        return np.frombuffer(self._joined(PIECE_CUT.split(data)), self.unit)
+        pieces = pieces_of(data)
+        self._learn(set(pieces))
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, pieces)), self.unit)
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """ids of each text; the pieces that are new to all of them are encoded in one call."""
-        pieces = [PIECE_CUT.split((t or "").encode()) for t in texts]
-        self._learn(set().union(*pieces) if pieces else set())
+        """ids of each text; the pieces that are new to all of them are encoded together."""
+        pieces = [pieces_of((t or "").encode()) for t in texts]
+        self._learn(set().union(*pieces))
         get = self.memory.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), self.unit) for p in pieces]
 
-    def _joined(self, pieces: list[bytes]) -> bytes:
-        self._learn(set(pieces))
-        return b"".join(map(self.memory.__getitem__, pieces))
-
     def _learn(self, pieces: set[bytes]) -> None:
         if len(self.memory) > CACHE_PIECES:
             self.memory = {}
-        new = [p for p in pieces if p not in self.memory]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        new = pieces.difference(self.memory)
+        plain = [p for p in new if PLAIN.fullmatch(p)] if self.line is not None else []
+        for i in range(0, len(plain), 16384):
+            self._learn_plain(plain[i : i + 16384])
+        rest = list(new.difference(self.memory))
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
             for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
                 self.memory[p] = np.array(e.ids, dtype=self.unit).tobytes()
 
+    def _learn_plain(self, pieces: list[bytes], run: int = 128) -> None:
+        """Pieces of one blank and visible characters, many in one text with a new line before each: that is a pre-token of its own."""
+        parts = [pieces[i : i + run] for i in range(0, len(pieces), run)]
+        lines = [b"".join(p if p[0] == 0x0A else b"\n" + p for p in part).decode() for part in parts]
+        size = self.unit.itemsize
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.unit)
+            at = np.flatnonzero(ids == self.line).tolist()
+            if len(at) != len(part):
+                continue  # encoded one by one then
+            data, at = ids.tobytes(), [*at, len(ids)]
+            for k, p in enumerate(part):
+                self.memory[p] = data[(at[k] + (p[0] != 0x0A)) * size : at[k + 1] * size]
+
     def encode_with_offsets(self, text: str | None) -> tuple[list[int], list[tuple[int, int]]]:
         """ids, and for each the characters [start, end) that its bytes touch; parts of one character share its span."""
         e = self.tokenizer.encode(text or "", add_special_tokens=False)
