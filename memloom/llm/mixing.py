@@ -84,6 +84,17 @@ def _pivot(rows: pd.DataFrame, seed: int) -> pd.DataFrame:
     return rows.assign(part=part)
 
 
+def _merge(depth: int, seed: int):
+    """The pivot of a group of residuals, `depth` levels up the tree."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["g", "k"]).reset_index(drop=True)
+        name = "" if pd.isna(rows["source"].iloc[0]) else str(rows["source"].iloc[0])
+        return _pivot(rows, seed ^ hash_text(f"{name}/{depth}/{int(rows['at'].iloc[0])}"))
+
+    return merge
+
+
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target, copies: how often the mix takes each document.
 
@@ -111,13 +122,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depth, groups = 0, max([1, *(-(-k // GROUP) for _, _, k in found)])
     while groups > 1:
         groups, depth = -(-groups // GROUP), depth + 1
-
-        def merge(rows: pd.DataFrame, depth: int = depth) -> pd.DataFrame:
-            rows = rows.sort_values(["g", "k"]).reset_index(drop=True)
-            name = "" if pd.isna(rows["source"].iloc[0]) else str(rows["source"].iloc[0])
-            return _pivot(rows, seed ^ hash_text(f"{name}/{depth}/{int(rows['at'].iloc[0])}"))
-
-        rest = rest.withColumn("at", F.floor(F.col("at") / GROUP).cast("int")).groupBy("source", "at").applyInPandas(merge, "source string, g int, k long, size double, part double, at int")
+        rest = rest.withColumn("at", F.floor(F.col("at") / GROUP).cast("int")).groupBy("source", "at").applyInPandas(_merge(depth, seed), "source string, g int, k long, size double, part double, at int")
     last = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     settled = rest.select(F.col("source").alias("s"), F.col("g").alias("sg"), F.col("k").alias("sk"), F.when((F.col("part") > 0) & (F.col("part") < 1), (last < F.col("part")).cast("double")).otherwise(F.col("part")).alias("end"))
     done = level.join(settled, level["source"].eqNullSafe(settled["s"]) & (level["g"] == settled["sg"]) & (level["k"] == settled["sk"]), "left")
