@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memloom.llm import bpe, langid, media, mixing, toxicity
+from memloom.llm import bpe, langid, media, minhash, mixing, toxicity
 from memloom.llm.shared import fold
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +40,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_superminhash": op7_superminhash,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {}
