@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memloom.llm import bpe, langid, media, minhash, mixing, toxicity
-from memloom.llm.shared import fold
+from memloom.llm import bpe, idstore, langid, media, minhash, mixing, toxicity
+from memloom.llm.shared import fold, new_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -40,6 +40,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at, path = new_dir(spark, "idstore"), tokenizer_path()
+    idstore.write_store(table(spark, sf_dir, "documents"), at, path)
+    return idstore.document_digests(spark, at, bpe.codec(path).unit.str)
+
+
 def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
@@ -54,6 +60,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_id_store": op6_id_store,
     "op7_superminhash": op7_superminhash,
     "op10_mix_sources": op10_mix_sources,
 }
