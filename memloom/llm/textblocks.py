@@ -62,6 +62,14 @@ def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         return mix(raw + (end - start).astype(np.uint64))
 
 
+def running_sequence(values: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A running hash of a sequence of 64-bit values, for `span_hash` over stretches of it."""
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix(values, salt) * _powers(_B, len(values)), out=total[1:])
+    return total
+
+
 def utf8_column(col) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary array and its n + 1 offsets; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
