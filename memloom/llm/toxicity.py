@@ -23,7 +23,7 @@ from memloom.llm.langid import LETTERS
 from memloom.llm.textblocks import Block, mix, texts_of, word_blocks
 
 DIMS = 1 << 18
-MAX_TRAIN = 8192
+MAX_TRAIN = 6000
 MIN_DOCS = 4
 APART = 5.0  # standard deviations between a feature's share of label 1 and all documents'
 KINDS = (None, 4, 5)  # a word's features: itself and its first bytes, which inflected forms share
@@ -51,27 +51,33 @@ def sentences(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return slot, first, row[first], np.append(first[1:], len(slot))
 
 
-def train_on(slots: np.ndarray, first: np.ndarray, doc: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.2, sparse: float = 2e-5) -> Model:
-    """slots of all words, the first word of each sentence, each sentence's document, each document's label.
+def train_on(words: list[np.ndarray], starts: list[np.ndarray], labels: np.ndarray, rounds: int = 150, rate: float = 0.2, sparse: float = 2e-5) -> Model:
+    """Of each document: the slots of its words, the first word of each sentence, and its label.
 
     Features whose documents differ too little between the labels are left out beforehand, so that rare words can't
-    explain single documents.
+    explain single documents; what is left is a small part of the words.
     """
-    pos = float(labels.mean()) if len(labels) else 0.0
-    if not 0 < pos < 1 or not len(slots):
+    n, pos = len(labels), float(labels.mean()) if len(labels) else 0.0
+    if not 0 < pos < 1 or not any(map(len, words)):
         return Model(np.zeros(DIMS, np.float32), 0.0, pos)
-    n, width = len(labels), slots.shape[1]
-    sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(slots))) * width)
-    slots = slots.ravel()
-    pairs = np.unique(doc[sentence].astype(np.int64) * DIMS + slots)
-    seen, bad = np.bincount(pairs % DIMS, minlength=DIMS), np.bincount(pairs % DIMS, weights=labels[pairs // DIMS], minlength=DIMS)
-    apart = np.abs(bad - seen * pos) / np.sqrt(np.maximum(seen, 1) * pos * (1 - pos))
-    keep = ((seen >= MIN_DOCS) & (apart >= APART))[slots]
-    slots, sentence = slots[keep], sentence[keep]
+    seen, bad = np.zeros(DIMS), np.zeros(DIMS)
+    for x, label in zip(words, labels, strict=True):
+        own = np.unique(x)
+        seen[own] += 1
+        bad[own] += label
+    keep = (seen >= MIN_DOCS) & (np.abs(bad - seen * pos) / np.sqrt(np.maximum(seen, 1) * pos * (1 - pos)) >= APART)
+    slots, sentence, base = [], [], 0
+    for x, s in zip(words, starts, strict=True):
+        at, kind = np.nonzero(keep[x])
+        slots.append(x[at, kind])
+        sentence.append((np.searchsorted(s, at, "right") - 1 + base).astype(np.int32))
+        base += len(s)
+    slots, sentence = np.concatenate(slots), np.concatenate(sentence)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in starts])
     w, bias = np.zeros(DIMS), -6.0
     m, v, mb, vb = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.clip(np.bincount(sentence, weights=w[slots], minlength=len(first)) + bias, -30, 30)
+        z = np.clip(np.bincount(sentence, weights=w[slots], minlength=base) + bias, -30, 30)
         a = np.bincount(doc, weights=np.logaddexp(0, z), minlength=n)
         da = np.where(labels == 1, -1 / np.expm1(np.clip(a, 1e-9, 50)), 1.0)
         dz = da[doc] / (1 + np.exp(-z)) / n
@@ -105,10 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     got = sample.mapInArrow(features, "doc_id long, label int, words binary, starts binary").toPandas().sort_values("doc_id", kind="stable")
     words = [np.frombuffer(x, np.int32).reshape(-1, len(KINDS)) for x in got["words"]]
     starts = [np.frombuffer(x, np.int32) for x in got["starts"]]
-    offset = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(int)
-    first = np.concatenate([s + o for s, o in zip(starts, offset, strict=False)]) if starts else np.zeros(0, int)
-    doc = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
-    return train_on(np.concatenate(words) if words else np.zeros((0, len(KINDS)), np.int32), first, doc, got["label"].to_numpy())
+    return train_on(words, starts, got["label"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
