@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memloom.llm import bpe, idstore, langid, media, minhash, mixing, substrings, toxicity
+from memloom.llm import bpe, idstore, langid, media, minhash, mixing, substrings, toxicity, vectors
 from memloom.llm.shared import fold, new_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
@@ -68,6 +72,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_id_store": op6_id_store,
     "op7_superminhash": op7_superminhash,
+    "op9_cross_polytope": op9_cross_polytope,
     "op10_mix_sources": op10_mix_sources,
 }
 ORACLES: dict[str, str] = {}
