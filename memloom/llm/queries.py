@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from memloom.llm import bpe, idstore, langid, media, minhash, mixing, substrings, toxicity, vectors
+from memloom.llm import bpe, idstore, langid, media, minhash, mixing, pitmanyor, substrings, toxicity, vectors
 from memloom.llm.shared import fold, new_dir
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -55,6 +55,10 @@ def op7_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score(table(spark, sf_dir, "documents"), rest=2, of=7)
+
+
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_id_store": op6_id_store,
     "op7_superminhash": op7_superminhash,
+    "op8_pitman_yor": op8_pitman_yor,
     "op9_cross_polytope": op9_cross_polytope,
     "op10_mix_sources": op10_mix_sources,
 }
