@@ -6,6 +6,7 @@ blocks of bounded bytes, and every word of a block gets a 64-bit hash without a
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -144,13 +145,40 @@ def parallelism(spark) -> int:
 
 
 def buckets_for(spark) -> int:
-    """Eight buckets a shuffle partition, so that buckets fall evenly over partitions."""
-    return 8 * parallelism(spark)
+    """A bucket a shuffle partition; `exchange` sees to it that no two share one."""
+    return parallelism(spark)
+
+
+def _spark_hash(x: int) -> int:
+    """Spark's hash of an int (Murmur3, seed 42), without sign."""
+    full = 0xFFFFFFFF
+    k = x * 0xCC9E2D51 & full
+    k = ((k << 15 | k >> 17) & full) * 0x1B873593 & full
+    h = 42 ^ k
+    h = ((h << 13 | h >> 19) & full) * 5 + 0xE6546B64 & full
+    h ^= 4
+    h = (h ^ h >> 16) * 0x85EBCA6B & full
+    h = (h ^ h >> 13) * 0xC2B2AE35 & full
+    return h ^ h >> 16
+
+
+@functools.cache
+def _labels(n: int) -> tuple[int, ...]:
+    """For each of n hash partitions an int that falls into it."""
+    out: dict[int, int] = {}
+    x = 0
+    while len(out) < n:
+        h = _spark_hash(x)
+        out.setdefault((h - (1 << 32) if h >= 1 << 31 else h) % n, x)
+        x += 1
+    return tuple(out[i] for i in range(n))
 
 
 def exchange(packed: DataFrame, key: str = "bucket") -> DataFrame:
-    """Rows of a bucket meet in one task."""
-    return packed.repartition(parallelism(packed.sparkSession), key)
+    """Rows of a bucket (the key modulo the number of partitions) meet in one task, and every task has one bucket."""
+    n = parallelism(packed.sparkSession)
+    label = F.element_at(F.array(*map(F.lit, _labels(n))), (F.pmod(F.col(key), n) + 1).cast("int"))
+    return packed.repartition(n, label)
 
 
 def pack(bucket: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
