@@ -295,8 +295,11 @@ def _copies(texts: DataFrame) -> DataFrame:
     return named.join(first, ["a", "b", "c"]).where("doc_id > first").select("doc_id").distinct()
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, keep columns, n_words, n_removed, kept_text: the words that are left, joined by one space."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), unchanged: bool = False) -> DataFrame:
+    """doc_id, keep columns, n_words, n_removed, kept_text: the words that are left, joined by one space.
+
+    With `unchanged`, a text of which nothing is removed comes back as it was.
+    """
     spark = docs.sparkSession
     n = buckets_for(spark)
     own = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
@@ -326,7 +329,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                         left = list(compress(words, (np.cumsum(cover)[:-1] == 0).tolist()))
                     total.append(len(words))
                     gone.append(len(words) - len(left))
-                    kept.append(b" ".join(left).decode())
+                    kept.append(text if unchanged and text and len(left) == len(words) else b" ".join(left).decode())
                 yield pa.record_batch([part.column(0), *part.columns[2:-2], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", *part.schema.names[2:-2], "n_words", "n_removed", "kept_text"])
 
     joined = rows.join(marks, "doc_id", "left")

@@ -114,6 +114,32 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     return train_on(words, starts, got["label"].to_numpy())
 
 
+def _judge(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """Each row's probability, each sentence's log odds, and the sentences."""
+    found = slot, first, row, _ = sentences(block)
+    z = np.zeros(0)
+    if model.base is not None:
+        p = np.full(block.rows, model.base)
+    elif len(slot):
+        z = np.clip(np.add.reduceat(model.weights[slot].sum(axis=1, dtype=float), first) + model.bias, -30, 30)
+        p = -np.expm1(-np.bincount(row, weights=np.logaddexp(0, z), minlength=block.rows))
+    else:
+        p = np.zeros(block.rows)
+    return np.clip(p, 0, 1), z, found
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs' rows, with all their columns, that score below 0.5."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = [_judge(model, block)[0] for _, block in word_blocks(b.column(at), lower=True, breaks=BREAKS)]
+            yield b.filter(pa.array(np.concatenate(p) < 0.5)) if p else b
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", *keep: str) -> DataFrame:
     """doc_id, score, predicted, and the offending sentences as byte ranges of the UTF-8 text with their own scores."""
     texts = texts_of(docs, id_col, text_col, *keep)
@@ -122,21 +148,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, block in word_blocks(b.column(1), lower=True, breaks=BREAKS):
-                slot, first, row, last = sentences(block)
+                p, z, (_, first, row, last) = _judge(model, block)
                 spans: list[list[dict]] = [[] for _ in range(block.rows)]
-                if model.base is not None:
-                    p = np.full(block.rows, model.base)
-                elif len(slot):
-                    z = np.clip(np.add.reduceat(model.weights[slot].sum(axis=1, dtype=float), first) + model.bias, -30, 30)
-                    p = -np.expm1(-np.bincount(row, weights=np.logaddexp(0, z), minlength=block.rows))
+                if len(z):
                     best = np.full(block.rows, -np.inf)
                     np.maximum.at(best, row, z)
                     for k in np.flatnonzero((z >= 0) | ((z == best[row]) & (p[row] >= 0.5))):
                         at = block.off[row[k]]
                         spans[row[k]].append({"start": int(block.start[first[k]] - at), "end": int(block.end[last[k] - 1] - at), "score": float(1 / (1 + np.exp(-z[k])))})
-                else:
-                    p = np.zeros(block.rows)
-                p = np.clip(p, 0, 1)
                 yield pa.record_batch([b.column(0).slice(i, block.rows), *(c.slice(i, block.rows) for c in b.columns[2:]), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(spans, pa.list_(span))], names=["doc_id", *b.schema.names[2:], "score", "predicted", "offending"])
 
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in texts.schema[2:])
