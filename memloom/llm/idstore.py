@@ -4,7 +4,7 @@ A document's id stream is cut where a rolling hash of the last `WINDOW` ids meet
 equal chunks wherever they stand.  A chunk's address is the SHA-256 of its bytes; every different chunk is stored
 once.  Layout of a store:
 
-    objects/kind=chunk   digest, payload (zstd of little-endian ids), n
+    objects/kind=chunk   digest, payload (little-endian ids), n; the files are zstd-compressed
     objects/kind=recipe  doc_id, n, digests (32 bytes a chunk, in order), and the Merkle root over them
     manifest             the recipes in ascending doc_id order with `start`, the number of ids of all documents before
 
@@ -16,7 +16,6 @@ given by their content; a null id sorts last; an empty table gives an empty stor
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -26,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from memloom.llm.bpe import codec, slices
+from memloom.llm.bpe import ROWS, codec
 from memloom.llm.textblocks import mix, parallelism, texts_of
 
 WINDOW = 8
@@ -76,15 +75,12 @@ def write_store(docs: DataFrame, at: str, path: str, end_id: int | None = END_ID
     schema = pa.schema([("kind", pa.string()), ("digest", pa.binary()), ("payload", pa.binary()), ("n", pa.int64()), ("doc_id", pa.int64()), ("digests", pa.binary()), ("root", pa.binary())])
 
     def objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        c, squeeze = codec(path), zstandard.ZstdCompressor(level=1)
+        c = codec(path)
         sent: set[bytes] = set()
         for b in batches:
-            texts, names = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for i, j in slices(texts):
+            for i in range(0, b.num_rows, ROWS):
                 rows = []
-                for name, ids in zip(names[i:j], c.encode_all(texts[i:j]), strict=True):
+                for name, ids in zip(b.column(0).slice(i, ROWS).to_pylist(), c.encode_column(b.column(1).slice(i, ROWS)), strict=True):
                     if end_id is not None:
                         ids = np.append(ids, c.unit.type(end_id))
                     last, recipe = 0, []
@@ -93,7 +89,7 @@ def write_store(docs: DataFrame, at: str, path: str, end_id: int | None = END_ID
                         recipe.append(d := hashlib.sha256(data).digest())
                         if d not in sent:
                             sent.add(d)
-                            rows.append(("chunk", d, squeeze.compress(data), e - last, None, None, None))
+                            rows.append(("chunk", d, data, e - last, None, None, None))
                         last = e
                     digests = b"".join(recipe)
                     rows.append(("recipe", None, None, len(ids), name, digests, merkle(digests)))
@@ -116,7 +112,7 @@ def write_store(docs: DataFrame, at: str, path: str, end_id: int | None = END_ID
                         seen.add(d)
             yield b.take(pa.array(new, pa.int64()))
 
-    dealt.mapInArrow(once, OBJECTS).write.partitionBy("kind").parquet(f"{at}/objects")
+    dealt.mapInArrow(once, OBJECTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{at}/objects")
     recipes = objects_of(docs.sparkSession, at, "recipe").select("doc_id", "n", "digests", "root")
     in_order(recipes).write.parquet(f"{at}/manifest")
 
@@ -141,11 +137,9 @@ def read_chunks(spark: SparkSession, at: str, unit: str) -> DataFrame:
     """digest, n, crc (of the ids as 32-bit little-endian), data (the ids' bytes), each verified against its address."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        expand, dtype = zstandard.ZstdDecompressor(), np.dtype(unit)
+        dtype = np.dtype(unit)
         for b in batches:
-            data = [expand.decompress(p) for p in b.column(1).to_pylist()]
+            data = b.column(1).to_pylist()
             for d, x in zip(b.column(0).to_pylist(), data, strict=True):
                 if hashlib.sha256(x).digest() != d:
                     raise ValueError("a chunk differs from its address")
@@ -162,34 +156,13 @@ def _manifest_chunks(spark: SparkSession, at: str) -> DataFrame:
     return m.select("doc_id", "start", "root", F.posexplode(pieces).alias("k", "digest"))
 
 
-@functools.cache
-def _times(power: int) -> tuple[int, ...]:
-    """The linear map of a CRC-32 followed by 2**power zero bytes, as 32 columns."""
-    if power == 0:
-        return tuple(zlib.crc32(b"\0", 1 << i ^ 0xFFFFFFFF) ^ zlib.crc32(b"\0", 0xFFFFFFFF) for i in range(32))
-    half = _times(power - 1)
-    return tuple(_apply(half, x) for x in half)
-
-
-def _apply(columns: tuple[int, ...], x: int) -> int:
-    out, i = 0, 0
-    while x:
-        if x & 1:
-            out ^= columns[i]
-        x >>= 1
-        i += 1
-    return out
+ZEROS = bytes(4 * MOST)
 
 
 def crc_join(first: int, second: int, n: int) -> int:
-    """CRC-32 of two byte strings one after the other; n: bytes of the second."""
-    power = 0
-    while n:
-        if n & 1:
-            first = _apply(_times(power), first)
-        n >>= 1
-        power += 1
-    return first ^ second
+    """CRC-32 of two byte strings one after the other; n: bytes of the second. A CRC is affine in the one before it."""
+    zeros = ZEROS[:n] if n <= len(ZEROS) else bytes(n)
+    return zlib.crc32(zeros, first) ^ zlib.crc32(zeros) ^ second
 
 
 def document_digests(spark: SparkSession, at: str, unit: str) -> DataFrame:
