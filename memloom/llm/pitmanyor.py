@@ -32,13 +32,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.llm.shared import cut
-from memloom.llm.textblocks import Block, buckets_for, exchange, mix, pack, packed_batches, texts_of, unpack, unpack_all, word_blocks
+from memloom.llm.textblocks import Block, buckets_for, exchange, give_back, mix, pack, packed_batches, texts_of, unpack, unpack_all, word_blocks
 
 SHARE = 1 / 4096
 DISCOUNT, STRENGTH = 0.75, 1.0
 SWEEPS, KEPT = 5, 3
 END = np.uint64(0x454E442D4F462D54)  # the end token's hash; words' hashes are 64-bit as well
-BLOCK_TOKENS, BLOCK_DOCS = 3_000_000, 30_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 30_000
+FINE = 3  # tasks a shuffle partition: words' state is large
+HELD_SUMS = 2_000_000  # documents whose sums a task holds before it passes them on
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,6 +89,7 @@ def count_words(texts: DataFrame, rest: int, of: int) -> DataFrame:
                 yield from flush(parts)
 
         yield from packed_batches(pairs())
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c = unpack_all(batches, np.uint64, np.int64)
@@ -142,7 +145,7 @@ TAUGHT = 1 << 15  # in an entry's document: it belongs to the training texts
 
 def _ledger(texts: DataFrame, contexts: np.ndarray, rest: int, of: int) -> DataFrame:
     """bucket, block, data: a block's ledger for one bucket, or (bucket -1) its documents."""
-    n = buckets_for(texts.sparkSession)
+    n = buckets_for(texts.sparkSession, FINE)
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +190,8 @@ def _ledger(texts: DataFrame, contexts: np.ndarray, rest: int, of: int) -> DataF
                     held += len(own)
         if ids:
             yield from flush()
+            h, ctx, doc = [], [], []
+        give_back()
 
     return texts.mapInArrow(send, "bucket int, block long, data binary")
 
@@ -273,10 +278,14 @@ def _seated(ledger: DataFrame, context_n: np.ndarray, vocabulary: int, root_disc
             return
         h, ctx, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
         doc, times = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
-        source = np.repeat(np.arange(len(parts)), [len(p[3]) for p in parts])
+        source = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[3]) for p in parts])
+        del parts
         names, word = np.unique(h, return_inverse=True)
+        del h
         pair, at = np.unique((word.astype(np.uint64) << np.uint64(16)) | ctx, return_inverse=True)
-        e_pair = np.repeat(at, size)
+        del word, ctx
+        e_pair = np.repeat(at.astype(np.int32), size)
+        del at, size
         n = np.bincount(e_pair, weights=np.where(doc & TAUGHT, times, 0), minlength=len(pair))
         pair_word, pair_ctx = (pair >> np.uint64(16)).astype(np.int64), (pair & np.uint64(0xFFFF)).astype(np.int64)
         mean, root_c, root_t, totals = sample(pair_word, pair_ctx, n, len(names), context_n, vocabulary, root_discount, int(names[0]))
@@ -298,10 +307,12 @@ def _seated(ledger: DataFrame, context_n: np.ndarray, vocabulary: int, root_disc
             cols += [who, first.astype(np.int64)]
             head = [np.array([c.itemsize, len(c)], np.int64) for c in cols]
             yield row(0, k, b"".join(x.tobytes() for pair_ in zip(head, cols, strict=True) for x in pair_), None)
+        del e_pair, doc, times, source, cols, pair, pair_word, pair_ctx, n, mean, root_c, root_t
+        give_back()
 
     # documents' rows are spread by block, ledgers meet by bucket
     dealt = ledger.withColumn("to", F.when(F.col("bucket") < 0, -1 - F.col("block")).otherwise(F.col("bucket").cast("long")))
-    return exchange(dealt, "to").select("bucket", "block", "data").mapInArrow(run, text)
+    return exchange(dealt, "to", FINE).select("bucket", "block", "data").mapInArrow(run, text)
 
 
 STATE = (np.float64, np.float64, np.float64, np.int32, np.uint16, None, np.float32, np.uint32, np.uint16, np.uint32, np.int64, np.int64)
@@ -342,10 +353,17 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
     base = 1 / (vocabulary + 1)
     new_at_root = (STRENGTH + root_discount * root_t) / (STRENGTH + root_n)
     new_at = (STRENGTH + DISCOUNT * tables) / (STRENGTH + context_n[:, None])
-    n_buckets = buckets_for(spark)
-
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int64()), ("data", pa.binary())])
         held: dict[int, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for block, have in sorted(held.items()):
+                at = np.flatnonzero(have.any(axis=0))
+                blob = np.int64(len(at)).tobytes() + at.astype(np.uint16).tobytes() + have[:2, at].tobytes() + have[2, at].astype(np.uint32).tobytes()
+                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], schema=schema)
+            held.clear()
+
         for b in batches:
             for blob in b.column(0).to_pylist():
                 word_n, root_c, root_tables, p_word, p_ctx, p_n, p_t, e_pair, doc, times, who, first = _read_state(blob)
@@ -355,20 +373,16 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
                 p = np.where(p_ctx > 0, inside + (new_at[p_ctx] * parent[p_word]).mean(axis=1), parent[p_word].mean(axis=1))
                 value, plain, known = np.log10(p), np.log10(word_n + 1)[p_word], (word_n > 0)[p_word]
                 for block, s, e in zip(who.tolist(), first, np.append(first[1:], len(doc)), strict=True):
-                    have = held.setdefault(block, np.zeros((3, BLOCK_DOCS)))
+                    n = int(doc[s:e].max()) + 1
+                    have = held.get(block, np.zeros((3, 0)))
+                    if have.shape[1] < n:
+                        have = held[block] = np.pad(have, ((0, 0), (0, n - have.shape[1])))
                     for k, x in enumerate((value, plain, known)):
-                        have[k] += np.bincount(doc[s:e], weights=x[e_pair[s:e]] * times[s:e], minlength=BLOCK_DOCS)
-
-        def pairs() -> Iterator[tuple[int, bytes]]:
-            for block, have in sorted(held.items()):
-                at = np.flatnonzero(have[1:].any(axis=0) | (have[0] != 0))
-                for s in range(0, len(at), 4096):
-                    own = at[s : s + 4096]
-                    yield block, np.int64(len(own)).tobytes() + own.astype(np.uint16).tobytes() + have[:2, own].tobytes() + have[2, own].astype(np.uint32).tobytes()
-
-        schema = pa.schema([("block", pa.int64()), ("data", pa.binary())])
-        for block, blob in pairs():
-            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], schema=schema)
+                        have[k, :n] += np.bincount(doc[s:e], weights=x[e_pair[s:e]] * times[s:e], minlength=n)
+                if sum(x.shape[1] for x in held.values()) > HELD_SUMS:
+                    yield from flush()
+        yield from flush()
+        give_back()
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -379,12 +393,17 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
                     docs_of[block] = blob
                     continue
                 at, value, plain, known = unpack(blob, np.uint16, np.float64, np.float64, np.uint32)
-                have = held.setdefault(block, np.zeros((3, BLOCK_DOCS)))
+                if not len(at):
+                    continue
+                n, have = int(at[-1]) + 1, held.get(block, np.zeros((3, 0)))
+                if have.shape[1] < n:
+                    have = held[block] = np.pad(have, ((0, 0), (0, n - have.shape[1])))
                 for k, x in enumerate((value, plain, known)):
                     have[k, at] += x
         for block, blob in docs_of.items():
             ids, null, size = unpack(blob, np.int64, np.uint8, np.int64)
-            value, plain, known = held.get(block, np.zeros((3, BLOCK_DOCS)))[:, : len(ids)]
+            have = held.get(block, np.zeros((3, 0)))
+            value, plain, known = np.pad(have, ((0, 0), (0, len(ids) - have.shape[1])))
             plain = plain - size * np.log10(n_all + vocabulary + 1)
             null = null.astype(bool)
             out = np.array([not m and zlib.crc32(str(i).encode()) % of == rest for i, m in zip(ids.tolist(), null, strict=True)], bool)

@@ -6,6 +6,7 @@ blocks of bounded bytes, and every word of a block gets a 64-bit hash without a
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -144,9 +145,18 @@ def parallelism(spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets_for(spark) -> int:
-    """A bucket a shuffle partition; `exchange` sees to it that no two share one."""
-    return parallelism(spark)
+def buckets_for(spark, times: int = 1) -> int:
+    """A bucket a shuffle partition (or several times as many of both); `exchange` sees to it that no two share one."""
+    return parallelism(spark) * times
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, so that reused workers don't keep a past task's peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def _spark_hash(x: int) -> int:
@@ -174,9 +184,9 @@ def _labels(n: int) -> tuple[int, ...]:
     return tuple(out[i] for i in range(n))
 
 
-def exchange(packed: DataFrame, key: str = "bucket") -> DataFrame:
+def exchange(packed: DataFrame, key: str = "bucket", times: int = 1) -> DataFrame:
     """Rows of a bucket (the key modulo the number of partitions) meet in one task, and every task has one bucket."""
-    n = parallelism(packed.sparkSession)
+    n = buckets_for(packed.sparkSession, times)
     label = F.element_at(F.array(*map(F.lit, _labels(n))), (F.pmod(F.col(key), n) + 1).cast("int"))
     return packed.repartition(n, label)
 
