@@ -6,6 +6,9 @@ the words that follow it, its tables are customers of the parent, whose base is
 and one unknown word.  There are at most 1 / SHARE contexts, so they may be sent to every executor; the counts below
 them grow with the corpus and stay spread by word.
 
+The same words are the only ones that could fill a task: their occurrences stay with their block of documents, only
+their counts are sent, and their (at most 1 / SHARE squared) probabilities come back to all blocks as one array.
+
 Seating is sampled dish by dish: all customers of a dish leave and sit down again one after the other (large dishes in
 batches of a sixteenth), and the new seating is accepted with the Metropolis ratio of the two seatings' weights, which
 makes each step leave the posterior as it is.  All dishes of a sweep move at once given the last sweep's table totals,
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 from memloom.llm.shared import cut
 from memloom.llm.textblocks import Block, buckets_for, exchange, give_back, mix, pack, packed_batches, texts_of, unpack, unpack_all, word_blocks
 
-SHARE = 1 / 4096
+SHARE = 1 / 2048
 DISCOUNT, STRENGTH = 0.75, 1.0
 SWEEPS, KEPT = 5, 3
 END = np.uint64(0x454E442D4F462D54)  # the end token's hash; words' hashes are 64-bit as well
@@ -107,24 +110,28 @@ class Ledger:
     """Pairs (word, context) of blocks of documents, and where each occurs: document in block, times."""
 
     @staticmethod
-    def blobs(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
-        words, at = np.unique(h, return_inverse=True)
+    def keys(at: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (word's number, context, document) in order, and how often each occurs."""
         key = np.sort((at.astype(np.uint64) << np.uint64(32)) | (ctx.astype(np.uint64) << np.uint64(16)) | doc.astype(np.uint64))
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        times = np.diff(np.append(start, len(key))).astype(np.uint32)
-        key = key[start]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+        return key[start], np.diff(np.append(start, len(key))).astype(np.uint32)
+
+    @staticmethod
+    def blobs(words: np.ndarray, key: np.ndarray, times: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
+        """words in order; key and times as `keys` gives them."""
+        if not len(key):
+            return
         pair = key >> np.uint64(16)
         p_start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
         p_size = np.diff(np.append(p_start, len(key))).astype(np.uint32)
         p_word = (pair[p_start] >> np.uint64(16)).astype(np.int64)
         p_ctx = (pair[p_start] & np.uint64(0xFFFF)).astype(np.uint16)
         w_size = np.bincount(p_word, minlength=len(words)).astype(np.uint32)
-        bucket = _bucket(words, n_buckets)
-        w_cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
+        w_cut = np.searchsorted(_bucket(words, n_buckets), np.arange(n_buckets + 1))
         p_cut = np.concatenate([[0], np.cumsum(w_size, dtype=np.int64)])[w_cut]
         e_cut = np.concatenate([[0], np.cumsum(p_size, dtype=np.int64)])[p_cut]
         doc = (key & np.uint64(0xFFFF)).astype(np.uint16)
-        for b in np.flatnonzero(np.diff(w_cut)):
+        for b in np.flatnonzero(np.diff(e_cut)):
             w, p, e = (slice(c[b], c[b + 1]) for c in (w_cut, p_cut, e_cut))
             sizes = np.array([w.stop - w.start, p.stop - p.start, e.stop - e.start], np.int64)
             yield int(b), b"".join(x.tobytes() for x in (sizes, words[w], w_size[w], p_ctx[p], p_size[p], doc[e], times[e]))
@@ -141,6 +148,15 @@ class Ledger:
 
 
 TAUGHT = 1 << 15  # in an entry's document: it belongs to the training texts
+ANY = TAUGHT - 1  # instead of a document: an entry that stands for a block's training texts together
+
+
+def _frequent(contexts: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The number of each context among h, from 1; 0 for other words."""
+    if not len(contexts):
+        return np.zeros(len(h), np.int64)
+    at = np.minimum(np.searchsorted(contexts, h), len(contexts) - 1)
+    return np.where(contexts[at] == h, at + 1, 0)
 
 
 def _ledger(texts: DataFrame, contexts: np.ndarray, rest: int, of: int) -> DataFrame:
@@ -156,8 +172,18 @@ def _ledger(texts: DataFrame, contexts: np.ndarray, rest: int, of: int) -> DataF
             block = (part << 24) | number
             names = np.array([i if i is not None else 0 for i in ids], np.int64)
             null = np.array([i is None for i in ids], np.uint8)
-            rows = [(-1, np.int64(len(ids)).tobytes() + names.tobytes() + null.tobytes() + np.array(sizes, np.int64).tobytes())]
-            rows += Ledger.blobs(np.concatenate(h), np.concatenate(ctx), np.concatenate(doc), n)
+            all_h, all_ctx, all_doc = np.concatenate(h), np.concatenate(ctx), np.concatenate(doc)
+            which = _frequent(contexts, all_h)
+            rare, own = which == 0, which > 0
+            words, at = np.unique(all_h[rare], return_inverse=True)
+            rows = list(Ledger.blobs(words, *Ledger.keys(at, all_ctx[rare], all_doc[rare]), n))
+            key, times = Ledger.keys(which[own] - 1, all_ctx[own], all_doc[own])
+            pair, at = np.unique(key >> np.uint64(16), return_inverse=True)
+            taught = np.bincount(at, weights=np.where(key & np.uint64(TAUGHT), times, 0), minlength=len(pair)).astype(np.uint32)
+            rows += Ledger.blobs(contexts, (pair << np.uint64(16)) | np.uint64(TAUGHT | ANY), taught, n)
+            here = [(key >> np.uint64(32)).astype(np.uint16), ((key >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16), (key & np.uint64(ANY)).astype(np.uint16), times]
+            head = np.int64(len(ids)).tobytes() + names.tobytes() + null.tobytes() + np.array(sizes, np.int64).tobytes()
+            rows.append((-1, head + np.int64(len(key)).tobytes() + b"".join(x.tobytes() for x in here)))
             for i in range(0, len(rows), 64):
                 now = rows[i : i + 64]
                 yield pa.record_batch([pa.array([b for b, _ in now], pa.int32()), pa.array([block] * len(now), pa.int64()), pa.array([x for _, x in now], pa.binary())], schema=schema)
@@ -179,10 +205,8 @@ def _ledger(texts: DataFrame, contexts: np.ndarray, rest: int, of: int) -> DataF
                     own, row, before = tokens(block)
                     fit = (row >= r) & (row < r + BLOCK_DOCS)
                     own, row, before = own[fit], row[fit], before[fit]
-                    at = np.searchsorted(contexts, before) if len(contexts) else np.zeros(len(before), np.int64)
-                    hit = contexts[np.minimum(at, len(contexts) - 1)] == before if len(contexts) else np.zeros(len(before), bool)
                     h.append(own)
-                    ctx.append(np.where(hit, at + 1, 0).astype(np.uint16))
+                    ctx.append(_frequent(contexts, before).astype(np.uint16))
                     doc.append((len(ids) + row - r + np.where(known[i + row], TAUGHT, 0)).astype(np.uint16))
                     last = min(block.rows, r + BLOCK_DOCS)
                     ids += names[i + r : i + last]
@@ -256,8 +280,8 @@ def sample(pair_word: np.ndarray, pair_ctx: np.ndarray, pair_n: np.ndarray, word
     return out, root[0], root[1], np.vstack([totals, root_n[None]])
 
 
-def _seated(ledger: DataFrame, context_n: np.ndarray, vocabulary: int, root_discount: float) -> DataFrame:
-    """kind, at, data, x: a task's state (kind 0), a block's documents (1, at: block), totals of a restaurant (2, x: kept sweeps)."""
+def _seated(ledger: DataFrame, contexts: np.ndarray, context_n: np.ndarray, vocabulary: int, root_discount: float) -> DataFrame:
+    """kind, at, data, x: a task's state (kind 0), a block's documents (1, at: block), totals of a restaurant (2, x: kept sweeps), a frequent word (3, at: its number)."""
     spark = ledger.sparkSession
     schema = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("data", pa.binary()), ("x", pa.list_(pa.float64()))])
     text = "kind int, at long, data binary, x array<double>"
@@ -292,8 +316,14 @@ def _seated(ledger: DataFrame, context_n: np.ndarray, vocabulary: int, root_disc
         word_n = np.bincount(pair_word, weights=n, minlength=len(names))
         for k in np.flatnonzero(totals.any(axis=1)):
             yield row(2, int(k), None, totals[k].tolist())
+        number = _frequent(contexts, names)
+        for k in np.flatnonzero(number):
+            p = slice(*np.searchsorted(pair_word, [k, k + 1]))
+            cols = [word_n[k : k + 1], root_c[k], root_t[k], pair_ctx[p].astype(np.uint16), n[p], mean[p].astype(np.float32)]
+            yield row(3, int(number[k]) - 1, np.int64(p.stop - p.start).tobytes() + b"".join(x.tobytes() for x in cols), None)
         # the state in slices of words, for bounded rows
         order = np.argsort(e_pair, kind="stable")
+        order = order[(doc[order] & ANY) != ANY]
         e_pair, doc, times, source = e_pair[order], doc[order], times[order], np.array(blocks, np.int64)[source[order]]
         w_cut = [*range(0, len(names), 20_000), len(names)]
         p_cut = np.searchsorted(pair_word, w_cut)
@@ -345,7 +375,7 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
     context_n = np.concatenate([[0], np.array([r["n"] for r in often], float)[order]])
     once, twice = int(total["once"]), int(total["twice"])
     root_discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.5
-    state = cut(_seated(_ledger(texts, contexts, rest, of), context_n, vocabulary, root_discount), "seating")
+    state = cut(_seated(_ledger(texts, contexts, rest, of), contexts, context_n, vocabulary, root_discount), "seating")
     sums = {r["at"]: np.array(r["x"]) for r in state.where("kind = 2").groupBy("at").agg(F.array(*[F.sum(F.col("x")[k]) for k in range(KEPT)]).alias("x")).collect()}  # one row a context
     zero = np.zeros(KEPT)
     tables = np.stack([sums.get(k, zero) for k in range(len(context_n))])
@@ -353,6 +383,21 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
     base = 1 / (vocabulary + 1)
     new_at_root = (STRENGTH + root_discount * root_t) / (STRENGTH + root_n)
     new_at = (STRENGTH + DISCOUNT * tables) / (STRENGTH + context_n[:, None])
+    # log10 of each frequent word's probability by context, and of its count in the add-one base
+    values, plain_values, known_values = np.zeros((len(contexts), len(contexts) + 1)), np.zeros(len(contexts)), np.zeros(len(contexts), bool)
+    for r in state.where("kind = 3").select("at", "data").toLocalIterator():  # one row a context
+        n_pairs, k = int(np.frombuffer(r["data"], np.int64, 1)[0]), r["at"]
+        nums = np.frombuffer(r["data"], np.float64, 1 + 2 * KEPT, 8)
+        at = 8 * (2 + 2 * KEPT)
+        p_ctx = np.frombuffer(r["data"], np.uint16, n_pairs, at).astype(np.int64)
+        p_n = np.frombuffer(r["data"], np.float64, n_pairs, at + 2 * n_pairs)
+        p_t = np.frombuffer(r["data"], np.float32, n_pairs, at + 10 * n_pairs)
+        parent = (nums[1 : 1 + KEPT] - root_discount * nums[1 + KEPT :]) / (STRENGTH + root_n) + new_at_root * base
+        inside = (p_n - DISCOUNT * p_t) / (STRENGTH + context_n[p_ctx])
+        values[k, p_ctx] = np.log10(np.where(p_ctx > 0, inside + (new_at[p_ctx] * parent).mean(axis=1), parent.mean()))
+        plain_values[k], known_values[k] = np.log10(nums[0] + 1), nums[0] > 0
+    sent = spark.sparkContext.broadcast((values, plain_values, known_values))  # 1 / SHARE squared numbers at most
+
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("block", pa.int64()), ("data", pa.binary())])
         held: dict[int, np.ndarray] = {}
@@ -402,8 +447,12 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
                     have[k, at] += x
         for block, blob in docs_of.items():
             ids, null, size = unpack(blob, np.int64, np.uint8, np.int64)
+            own_w, own_ctx, own_doc, times = unpack(blob[8 + 17 * len(ids) :], np.uint16, np.uint16, np.uint16, np.uint32)
             have = held.get(block, np.zeros((3, 0)))
-            value, plain, known = np.pad(have, ((0, 0), (0, len(ids) - have.shape[1])))
+            sums = np.pad(have, ((0, 0), (0, len(ids) - have.shape[1])))
+            for k, x in enumerate((sent.value[0][own_w, own_ctx], sent.value[1][own_w], sent.value[2][own_w])):
+                sums[k] += np.bincount(own_doc, weights=x * times, minlength=len(ids))
+            value, plain, known = sums
             plain = plain - size * np.log10(n_all + vocabulary + 1)
             null = null.astype(bool)
             out = np.array([not m and zlib.crc32(str(i).encode()) % of == rest for i, m in zip(ids.tolist(), null, strict=True)], bool)
