@@ -164,7 +164,8 @@ def postings_df(spark, sf_dir):
 @query(f"WITH {LINES}, {ONE}, {bm25_sql('line_chunks', 'one')} SELECT path, start_line, end_line, round(rank, 6) AS score FROM ranked JOIN line_chunks USING (id) ORDER BY rank DESC, path, start_line, id LIMIT 10")
 def bm25_topk(spark, sf_dir):
     chunks = line_chunks(spark, sf_dir)
-    ranked = ix.bm25(one_query(spark), ix.postings(chunks), ix.doc_stats(chunks)).join(chunks, "id")
+    q = one_query(spark)
+    ranked = ix.bm25(q, ix.postings(chunks, ix.query_terms(q)), ix.doc_stats(chunks)).join(chunks.drop("text"), "id")
     return ix.top_per_query(ranked, 10, "rank").select("path", "start_line", "end_line", F.round("rank", 6).alias("score"))
 
 
@@ -174,7 +175,7 @@ SELECT query_id, path, round(rank, 6) AS score, CAST(place AS INTEGER) AS place
 def bm25_batch(spark, sf_dir):
     chunks = whole_chunks(spark, sf_dir)
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    ranked = ix.bm25(queries, ix.postings(chunks), ix.doc_stats(chunks)).join(chunks.drop("text"), "id")
+    ranked = ix.bm25(queries, ix.postings(chunks, ix.query_terms(queries)), ix.doc_stats(chunks)).join(chunks.drop("text"), "id")
     return ix.top_per_query(ranked, 3, "rank").select("query_id", "path", F.round("rank", 6).alias("score"), "place")
 
 
@@ -215,7 +216,7 @@ SELECT path, start_line, round(CASE WHEN count(*) OVER () > 1 THEN 0.85 * score
 
 def _hybrid(spark, sf_dir, own_vectors: DataFrame) -> DataFrame:
     access = table(spark, sf_dir, "events").where("event_type = 'view'").select(F.format_string("memory/%d.md", "user_id").alias("path"), F.lit(1).alias("start_line"))
-    index = se.Index.of(whole_chunks(spark, sf_dir), vectors=own_vectors, access=access)
+    index = se.Index.of(whole_chunks(spark, sf_dir), one_query(spark), vectors=own_vectors, access=access)
     vector = vectors(spark, sf_dir).where("id = '0'").select(F.lit(0).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
     queries = one_query(spark).join(vector, "query_id")
     return se.search(queries, index, se.SearchOptions(max_results=10)).select("path", "start_line", F.round("score", 6).alias("score"))
@@ -244,7 +245,7 @@ f30 AS (SELECT id, doc_id, path, start_line, rank / (1 + rank) AS score FROM ran
 SELECT path, start_line, round(score, 6) AS score FROM f30 WHERE score >= 0.01 AND doc_id BETWEEN 100 AND 700""")
 def time_filtered_search(spark, sf_dir):
     known = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") == 0, "MEMORY.md").otherwise(F.format_string("memory/%d.md", "doc_id")).alias("path"), (F.col("doc_id") * 60000.0).alias("mtime_ms"))
-    index = se.Index.of(whole_chunks(spark, sf_dir), files=known)
+    index = se.Index.of(whole_chunks(spark, sf_dir), one_query(spark), files=known)
     options = se.SearchOptions(max_results=10, after="1970-01-01T01:40:00Z", before=700 * 60000.0)
     return se.fts_leg(one_query(spark), index, options).select("path", "start_line", F.round("score", 6).alias("score"))
 
