@@ -8,7 +8,8 @@ one element never share a slot, which lowers the variance, and a document stops
 2. Classes that agree on all rows of a band share a bucket.  Signatures are only sent for buckets of two or more; a
    large bucket is dealt out as pairs of blocks.  Pairs whose signatures agree enough join candidate clusters.
 3. Within a cluster full shingle sets are compared, again in blocks; classes already known to be connected need no
-   further comparison, so a cluster gives at most one link a class instead of all its pairs.
+   further comparison, so a cluster gives at most one link a class instead of all its pairs.  A few pivots sit in every
+   block of a large cluster, which connects most of it at once; who is left outside is compared with all others.
 4. The links' components are the result.
 
 With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability 5e-8.  No bucket is capped.
@@ -33,6 +34,8 @@ BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 FRACTION = 25  # bits below the rank in a slot's value
 BLOCK = 1024
+SET_BLOCK = 128
+PIVOTS = 6
 AGREE = 0.62  # of the slots: 0.8 less five standard deviations
 
 
@@ -302,11 +305,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     members = cut(clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "size"), "members")
     full = cut(_full_sets(docs, members, k, id_col, text_col), "sets")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    parts = F.ceil(F.col("size") / SET_BLOCK).cast("int")
     # within blocks first: most of a large cluster is connected there
-    blocks = full.withColumn("i", F.pmod(F.xxhash64("doc_id"), parts).cast("int")).withColumn("side", F.lit(0)).withColumn("comp", F.col("doc_id"))
+    blocks = full.select("*", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("i"))
+    large = full.where(F.col("size") > SET_BLOCK)
+    picks = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(PIVOTS - 1)] + [F.min("doc_id")]
+    chosen = large.groupBy("cluster").agg(F.array_distinct(F.array(*picks)).alias("p")).select(F.explode("p").alias("doc_id"))
+    pivots = large.join(chosen, "doc_id").select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"))
+    blocks = blocks.unionByName(pivots).withColumn("side", F.lit(0)).withColumn("comp", F.col("doc_id"))
     links = cut(_verify(blocks, percent, ["cluster", "i"]), "links")
-    large = full.where(F.col("size") > BLOCK)
     if not large.isEmpty():
         links = cut(links.union(_across(large, links, percent)), "links")
     found = components(links)
@@ -323,7 +330,7 @@ def _across(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     main = known.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("all"))
     main = cut(main.select("cluster", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.count")).alias("outside")).where("outside > 0"), "main")
     rows = known.join(main, "cluster")
-    ask_parts, all_parts = F.ceil(F.col("outside") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+    ask_parts, all_parts = F.ceil(F.col("outside") / SET_BLOCK).cast("int"), F.ceil(F.col("size") / SET_BLOCK).cast("int")
     asks = rows.where("comp <> main").select("*", F.pmod(F.xxhash64("doc_id"), ask_parts).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), all_parts - 1)).alias("j"), F.lit(0).alias("side"))
     answers = rows.select("*", F.explode(F.sequence(F.lit(0), ask_parts - 1)).alias("i"), F.pmod(F.xxhash64("doc_id"), all_parts).cast("int").alias("j"), F.lit(1).alias("side"))
     return _verify(asks.unionByName(answers), percent, ["cluster", "i", "j"])
