@@ -58,6 +58,8 @@ def test_near_duplicates(docs, none, rows, k):
 def test_large_clusters_in_blocks(spark, rows, monkeypatch):
     """Blocks of four: clusters larger than a block need the step across blocks."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 4)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
     own = [(i, t) for i, t, *_ in rows if i is not None and 10 <= i < 40]
     docs = spark.createDataFrame(own, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, k=2).collect()}
