@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import Column, functions as F
 # The characters that ECMAScript counts as white space.
 BLANKS = "\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF"
 BLANK = f"[{BLANKS}]"
+BLANK_CHARS = "".join(chr(c) for c in range(1 << 16) if re.match(BLANK, chr(c)))
 # Blocks of Chinese characters that are segmented.
 CJK = "[\\u4E00-\\u9FFF\\u3400-\\u4DBF]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,7 +35,7 @@ def content_hash(text: Column) -> Column:
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+\\z", "")
+    return F.btrim(text, F.lit(BLANK_CHARS))
 
 
 def utf16_length(text: Column) -> Column:

@@ -165,7 +165,8 @@ def postings_df(spark, sf_dir):
 def bm25_topk(spark, sf_dir):
     chunks = line_chunks(spark, sf_dir)
     q = one_query(spark)
-    ranked = ix.bm25(q, ix.postings(chunks, ix.query_terms(q)), ix.doc_stats(chunks)).join(chunks.drop("text"), "id")
+    index = se.Index.of(chunks, q)
+    ranked = ix.bm25(q, index.postings, index.doc_stats).join(chunks.select(*se.PLACE), "id")
     return ix.top_per_query(ranked, 10, "rank").select("path", "start_line", "end_line", F.round("rank", 6).alias("score"))
 
 
@@ -175,7 +176,8 @@ SELECT query_id, path, round(rank, 6) AS score, CAST(place AS INTEGER) AS place
 def bm25_batch(spark, sf_dir):
     chunks = whole_chunks(spark, sf_dir)
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    ranked = ix.bm25(queries, ix.postings(chunks, ix.query_terms(queries)), ix.doc_stats(chunks)).join(chunks.drop("text"), "id")
+    index = se.Index.of(chunks, queries)
+    ranked = ix.bm25(queries, index.postings, index.doc_stats).join(chunks.select(*se.PLACE), "id")
     return ix.top_per_query(ranked, 3, "rank").select("query_id", "path", F.round("rank", 6).alias("score"), "place")
 
 

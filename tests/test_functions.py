@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
+from memloom.functions.tokenizer import tokenize
 from memloom.operators import facts
 
 
@@ -53,3 +54,8 @@ def test_words_and_ranges(spark):
     assert [one(spark, lambda t, f=f, n=n: tx.line_range(t, f, n), text) for f, n in ((2, 2), (0, 0), (3, None), (None, 1), (9, 1))] == ["b\nc", text, "c\nd", "a", ""]
     assert one(spark, tx.slug, "My Notes!") == "my-notes-"
     assert one(spark, tx.extension, "a.b/C.MD") == ".md"
+
+
+def test_both_tokenizers_agree(spark):
+    for t in ("", "Plain ASCII_text 1-2", "Élan Łódź Ǘber straße ø", "我爱北京x 一 漢字", "e\u0301a x²½ Ⅷ", "Привет мир καλημέρα", "\ue000a"):
+        assert tokenize(t) == one(spark, tx.tokens, t), t
