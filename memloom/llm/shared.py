@@ -28,11 +28,6 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def remove(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fold(id_col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

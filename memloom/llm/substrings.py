@@ -16,8 +16,8 @@ Equal symbols of one task are merged before each exchange, so a passage that hal
 a task.  Exact copies of a whole text are found beforehand and need no windows.
 
 Defined cases: a null or blank text has no words and nothing to remove; a document with fewer words than a window
-keeps them all; rows that repeat an id share its place in the order and don't remove each other's words; null ids come
-last and don't remove each other's words either; an empty table gives an empty result.
+keeps them all; an id names one text, and rows that repeat it share its place in the order and don't remove each
+other's words; null ids come last and don't remove each other's words either; an empty table gives an empty result.
 """
 
 from __future__ import annotations
