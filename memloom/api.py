@@ -15,21 +15,33 @@ from memloom.sources import files as fi
 from memloom.sources import sessions as ss
 
 
+# Seconds for which files and sessions count as up to date.
+COOLDOWN = {"memory": 5, "sessions": 60}
+
+
 class Memory:
     def __init__(self, spark: SparkSession, config: MemoryConfig, embed_fn: EmbedFn | None = None):
         self.spark, self.config, self.embed_fn = spark, config, embed_fn
         self.store = Store(spark, config.store, int(config.chunk_size))
+        self.synced: dict[str, float] = {}  # seconds since the epoch
         self.facts = Facts(config.workspace, self._fact_search, lambda: self.sync() and None)
 
-    def sync(self, force: bool = False) -> dict[str, dict]:
-        c = self.config
-        done = {"memory": self.store.sync(fi.listing(self.spark, fi.list_files(c.workspace, c.extra_dirs)[0]), "memory", force)}
-        if c.session_dirs:
+    def sync(self, force: bool = False, sources: tuple[str, ...] = ("memory", "sessions")) -> dict[str, dict]:
+        c, done = self.config, {}
+        if "memory" in sources:
+            done["memory"] = self.store.sync(fi.listing(self.spark, fi.list_files(c.workspace, c.extra_dirs)[0]), "memory", force)
+        if "sessions" in sources and c.session_dirs:
             done["sessions"] = self.store.sync(ss.listing(self.spark, ss.list_sessions(c.session_dirs, c.session_days, c.session_max)), "sessions", force)
         if self.embed_fn is not None:
             self.store.backfill(self.embed_fn)
+        self.synced |= dict.fromkeys(sources, time.time())
         return done
 
+    def ensure_synced(self) -> dict[str, dict]:
+        """Syncs what was last synced longer ago than its cooldown."""
+        due = tuple(s for s, seconds in COOLDOWN.items() if time.time() - self.synced.get(s, 0) >= seconds)
+        return self.sync(sources=due) if due else {}
+
     def search(self, query: str, record: bool = True, **options) -> DataFrame:
         c = self.config
         o = se.SearchOptions(**({"max_results": c.max_results, "min_score": c.min_score, "token_max": c.token_max, "fts_weight": c.fts_weight, "record_access": record} | options))
@@ -49,4 +61,4 @@ class Memory:
         return fi.read_range(path, self.config.workspace, self.config.extra_dirs, first, count)
 
     def status(self) -> dict:
-        return self.store.status() | {"workspace": self.config.workspace, "store": self.config.store}
+        return self.store.status() | {"workspace": self.config.workspace, "store": self.config.store, "last_sync_at": max(self.synced.values(), default=None)}

@@ -174,11 +174,11 @@ def test_memory_end_to_end(spark, tmp_path):
     for i in range(4):
         (tmp_path / "w" / "memory" / f"n{i}.md").write_text(f"# Note {i}\nsomething about topic{i}\n")
     m = Memory(spark, MemoryConfig(workspace=str(tmp_path / "w"), store=f"file://{tmp_path}/s"))
-    assert m.sync()["memory"]["indexed"] == 5
+    assert m.ensure_synced()["memory"]["indexed"] == 5 and m.ensure_synced() == {}
     first = m.search("TypeScript").collect()
     assert [r["path"] for r in first] == ["MEMORY.md"] and m.store.table("access").count() == 1
     assert m.facts.write("Prefers dark mode", "ui")["stored"]
     assert m.search("dark mode", record=False).first()["snippet"].endswith("Prefers dark mode")
     assert m.get("memory/ui.md", 3, 1).startswith("- Prefers dark mode")
     status = m.status()
-    assert status["files"] == 6 and status["warnings"] == []
+    assert status["files"] == 6 and status["warnings"] == [] and status["last_sync_at"]
