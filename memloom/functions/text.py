@@ -13,6 +13,7 @@ BLANK = f"[{BLANKS}]"
 BLANK_CHARS = "".join(chr(c) for c in range(1 << 16) if re.match(BLANK, chr(c)))
 # Blocks of Chinese characters that are segmented.
 CJK = "[\\u4E00-\\u9FFF\\u3400-\\u4DBF]"
+# ASCII letters, which alone fold in LIKE, and the pattern of an entry line.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENTRY = f"^- ([^\\n\\r\\u2028\\u2029]+?)(?:{BLANK}+\\[ref:[^\\n\\r]*?\\])?(?:{BLANK}+_\\(source:[^\\n\\r]*?\\)_)?(?:{BLANK}+—{BLANK}+[0-9]{{4}}[^\\n\\r]*)?\\z"
 

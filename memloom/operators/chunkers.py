@@ -24,6 +24,7 @@ LEAST_TOKENS = 64
 # The characters that ECMAScript counts as white space, as a regular expression's set.
 WS = "\\t\\n\\x0b\\f\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 TRIM = "".join(chr(c) for c in range(0x10000) if re.match(f"[{WS}]", chr(c)))
+# The patterns of headings, keys and separators.
 HEADING = re.compile(f"#{{1,6}}[{WS}]")
 JSON_KEY = re.compile(f'[{WS}]*"([^"]+)"[{WS}]*:')
 YAML_KEY = re.compile(f"[A-Za-z_][A-Za-z0-9_.\\-]*[{WS}]*:")

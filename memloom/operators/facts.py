@@ -15,6 +15,7 @@ from memloom.functions.scores import ROOT_FILES
 from memloom.operators.chunkers import TRIM, WS
 from memloom.sources.files import EXTENSIONS
 
+# The patterns of entries and references, and the limits of the duplicate test.
 ENTRY = re.compile(f"- (.+?)(?:[{WS}]+\\[ref:.*?\\])?(?:[{WS}]+_\\(source:.*?\\)_)?(?:[{WS}]+—[{WS}]+[0-9]{{4}}.*)?")
 REF = re.compile(r"\[ref:([^\]\n]*)\]")
 BLANKS = re.compile(f"[{WS}]+")

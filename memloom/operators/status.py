@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+# From where on to warn, how many duplicates to show, and the wording of the warnings.
 MANY_FILES, MANY_CHUNKS, SHOWN = 50, 500, 5
+MANY_FILES_TEXT = "High file count ({}). Consider consolidating related memories."
+DUPLICATES_TEXT = "Found {} chunk(s) with duplicate content across files: {}"
+LARGE_FILES_TEXT = "Large files: {}. Consider splitting."
 
 
 def counts(files: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
@@ -30,10 +34,10 @@ def large_files(chunks: DataFrame, most: int = MANY_CHUNKS) -> DataFrame:
 def warnings(files: DataFrame, chunks: DataFrame) -> list[str]:
     out = []
     if (n := files.count()) > MANY_FILES:
-        out.append(f"High file count ({n}). Consider consolidating related memories.")
+        out.append(MANY_FILES_TEXT.format(n))
     if found := duplicate_content(chunks).collect():
-        out.append(f"Found {len(found)} chunk(s) with duplicate content across files: " + "; ".join(r["paths"] for r in found))
+        out.append(DUPLICATES_TEXT.format(len(found), "; ".join(r["paths"] for r in found)))
     # a report for people: the largest files only
     if found := large_files(chunks).orderBy(F.col("chunks").desc(), "path").limit(100).collect():
-        out.append("Large files: " + ", ".join(f"{r['path']} ({r['chunks']} chunks)" for r in found) + ". Consider splitting.")
+        out.append(LARGE_FILES_TEXT.format(", ".join(f"{r['path']} ({r['chunks']} chunks)" for r in found)))
     return out
