@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from memloom.llm.textblocks import blocks, running_hash, span_hash, texts_of, utf8_column
 
-MEMORY_PIECES = 2_500_000  # about 35 bytes each
+MEMORY_PIECES = 1_700_000  # about 35 bytes each
 ROWS = 2048  # texts answered at a time
 #: Blanks start a piece only after an ASCII visible character or a two-byte character other than U+0085 and U+00A0.
 PIECE_CUT = re.compile(rb"(?:(?<=[!-~])|(?<=[\xc3-\xdf][\x80-\xbf]))(?=[ \n])")
