@@ -17,7 +17,8 @@ a task.  Exact copies of a whole text are found beforehand and need no windows.
 
 Defined cases: a null or blank text has no words and nothing to remove; a document with fewer words than a window
 keeps them all; an id names one text, and rows that repeat it share its place in the order and don't remove each
-other's words; null ids come last and don't remove each other's words either; an empty table gives an empty result.
+other's words; rows with a null id are texts of their own that come last and don't remove each other's words, only those
+that they repeat of themselves or of texts with an id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from memloom.llm.textblocks import buckets_for, exchange, mix, pack, packed_batc
 WINDOW = 20
 ROUNDS = 2
 FLUSH = 4_000_000  # symbols that a task merges at a time
-LAST = (1 << 63) - 1  # stands for a null id
+LAST = (1 << 63) - 1  # the largest number for a row
 
 
 class Symbols:
@@ -145,6 +146,17 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, fresh
 
 
+def _later(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray, border: int) -> tuple[np.ndarray, ...]:
+    """The windows in order, and which of them go: those whose words start earlier; documents beyond `border` don't see each other."""
+    order, fresh = _first_of(h, g, doc, at)
+    h, g, doc, at = h[order], g[order], doc[order], at[order]
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    enters = fresh.copy()
+    enters[1:] |= doc[1:] != doc[:-1]
+    later = ((doc != doc[head]) | (at != at[head])) & ~(enters & (doc[head] > border))
+    return h, g, doc, at, later, fresh | (enters & ~later)
+
+
 def _per_document(replies: DataFrame, columns: tuple) -> DataFrame:
     """doc_id, spots: the replies to each document, as one packed value."""
 
@@ -221,17 +233,13 @@ def _repeated_symbols(texts: DataFrame, n: int, window: int) -> DataFrame:
     return _per_document(sent.mapInArrow(answer, "bucket int, data binary"), (np.int32, np.uint16))
 
 
-def _later_windows(rows: DataFrame, n: int, window: int) -> DataFrame:
+def _later_windows(rows: DataFrame, n: int, window: int, border: int) -> DataFrame:
     """rows: doc_id, text, spots. doc_id, spots (window starts) whose words also start earlier."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list) -> Iterator[tuple[int, bytes]]:
-            h, g, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order, fresh = _first_of(h, g, doc, at)
-            h, g, doc, at = h[order], g[order], doc[order], at[order]
-            head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-            later = (doc != doc[head]) | (at != at[head])
-            own = np.flatnonzero(fresh)
+            h, g, doc, at, later, asks = _later(*(np.concatenate(c) for c in zip(*parts, strict=True)), border)
+            own = np.flatnonzero(asks)
             own = own[np.lexsort((at[own], doc[own]))]
             yield from pack((h[own] % np.uint64(n)).astype(np.int64), n, h[own], g[own], doc[own], at[own])
             own = np.flatnonzero(later)
@@ -250,6 +258,7 @@ def _later_windows(rows: DataFrame, n: int, window: int) -> DataFrame:
                         at, size = unpack(spots[i + k], np.int32, np.uint16)
                         size = size.astype(np.int64)
                         own = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                        own = own[own + window <= block.counts[k]]  # another row of this id may be shorter
                         starts.append(own + block.first[k])
                         docs.append(np.full(len(own), ids[i + k]))
                     p, doc = np.concatenate(starts), np.concatenate(docs)
@@ -274,11 +283,8 @@ def _later_windows(rows: DataFrame, n: int, window: int) -> DataFrame:
                     else:
                         parts.append(unpack(x, np.uint64, np.uint32, np.int64, np.int32))
             if parts:
-                h, g, doc, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-                order, fresh = _first_of(h, g, doc, at)
-                doc, at = doc[order], at[order]
-                head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-                own = np.flatnonzero((doc != doc[head]) | (at != at[head]))
+                _, _, doc, at, later, _ = _later(*(np.concatenate(c) for c in zip(*parts, strict=True)), border)
+                own = np.flatnonzero(later)
                 own = own[np.lexsort((at[own], doc[own]))]
                 yield from pack(_by_document(doc[own], n), n, doc[own], at[own])
 
@@ -288,13 +294,31 @@ def _later_windows(rows: DataFrame, n: int, window: int) -> DataFrame:
     return _per_document(sent.mapInArrow(answer, "bucket int, data binary"), (np.int32,))
 
 
-def _copies(texts: DataFrame) -> DataFrame:
-    """doc_id of every text that a smaller id has as well."""
+def _copies(texts: DataFrame, border: int) -> DataFrame:
+    """doc_id of every text that a smaller id, up to `border`, has as well."""
     named = texts.where("text is not null").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.length("text").alias("c"))
-    first = cut(named.groupBy("a", "b", "c").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "copies")
+    first = cut(named.groupBy("a", "b", "c").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("first") <= border)).drop("n"), "copies")
     return named.join(first, ["a", "b", "c"]).where("doc_id > first").select("doc_id").distinct()
 
 
+def _keyed(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows with a number of its own for each null id, and the largest id, beyond which these numbers begin."""
+    found = rows.agg(F.max("doc_id").alias("largest"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    border = -1 if found["largest"] is None else found["largest"]
+    if not found["nulls"]:
+        return rows, border
+    if border + found["nulls"] > LAST:
+        raise ValueError("ids leave no numbers for the rows without one")
+    # in the order of what they hold; equal rows are told apart by their place, and may be spread over tasks
+    nulls = rows.where("doc_id is null").orderBy(F.xxhash64("text"), F.xxhash64(*rows.columns[1:]), F.monotonically_increasing_id())
+    nulls = cut(nulls.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "null-ids")
+    before, total = {}, border + 1
+    for r in nulls.groupBy("_part").count().orderBy("_part").collect():  # one row a task
+        before[r["_part"]], total = total, total + r["count"]
+    first = F.element_at(F.array(*(F.lit(before.get(k, 0)).cast("long") for k in range(max(before) + 1))), F.col("_part") + 1)
+    return rows.where("doc_id is not null").unionByName(nulls.withColumn("doc_id", first + F.col("_at")).drop("_part", "_at")), border
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), unchanged: bool = False) -> DataFrame:
     """doc_id, keep columns, n_words, n_removed, kept_text: the words that are left, joined by one space.
 
@@ -303,11 +327,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     spark = docs.sparkSession
     n = buckets_for(spark)
     own = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
-    rows = texts_of(docs, id_col, text_col, *own).withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    rows, border = _keyed(texts_of(docs, id_col, text_col, *own))
     texts = rows.select("doc_id", "text")
-    copies = cut(_copies(texts), "copies")
+    copies = cut(_copies(texts, border), "copies")
     spots = cut(_repeated_symbols(texts, n, window).join(copies, "doc_id", "left_anti"), "symbols")
-    later = cut(_later_windows(texts.join(spots, "doc_id"), n, window), "windows")
+    later = cut(_later_windows(texts.join(spots, "doc_id"), n, window, border), "windows")
     marks = later.select("doc_id", "spots", F.lit(False).alias("copy")).union(copies.select("doc_id", F.lit(None).cast("binary"), F.lit(True)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,4 +360,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[2:])
     out = joined.mapInArrow(finish, f"doc_id long{more}, n_words long, n_removed long, kept_text string")
     named = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
-    return out.select(F.nullif(F.col("doc_id"), F.lit(LAST)).alias("doc_id"), *named, "n_words", "n_removed", "kept_text")
+    return out.select(F.when(F.col("doc_id") <= border, F.col("doc_id")).alias("doc_id"), *named, "n_words", "n_removed", "kept_text")

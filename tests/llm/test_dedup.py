@@ -164,3 +164,20 @@ def test_hadamard_keeps_lengths():
     y = vectors.hadamard(x)
     assert np.allclose(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1), rtol=1e-5) and np.allclose(vectors.hadamard(y), x, atol=1e-5)
     assert defaultdict(int) == {}
+
+
+def test_substrings_null_ids(spark):
+    """Rows with a null id, and rows of several texts under one id, don't share what was found in another."""
+    rng = random.Random(6)
+    text = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(n)) for n in (60, 60, 300, 25, 40, 30)]
+    passage = " ".join(text[4].split()[:30])
+    rows = [(1, text[0]), (None, text[0]), (None, text[1]), (None, text[2] + " " + passage), (None, text[3]), (None, passage), (7, text[4])]
+    rows += [(None, text[5]), (None, text[5]), (None, text[5] + " x " + text[5]), (None, None)]
+    alone = {text[0]: 60, text[2] + " " + passage: 30, passage: 30, text[5] + " x " + text[5]: 30}
+    want = Counter((i, len((t or "").split()), alone.get(t, 0) if i is None else 0) for i, t in rows)
+    for parts in (1, 6):
+        got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()) == want
+    both = spark.createDataFrame([(1, passage), (2, text[2] + " " + passage), (2, text[3]), (1 << 62, text[0]), (-5, text[0])], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(both).collect())
+    assert got == Counter([(1, 30, 0), (2, 330, 30), (2, 25, 0), (1 << 62, 60, 60), (-5, 60, 0)])
