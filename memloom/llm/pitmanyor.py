@@ -1,24 +1,21 @@
 """A hierarchical Pitman-Yor language model over words, fitted by Gibbs sampling.
 
-Tokens are lower-cased words and one end a text.  Every word that makes up at least `SHARE` of the training tokens is a
-context with a restaurant of its own; all others share the parent restaurant directly.  A context's restaurant serves
-the words that follow it, its tables are customers of the parent, whose base is uniform over the training vocabulary
-and one unknown word.  There are at most 1 / SHARE contexts, so they may be sent to every executor; the counts below
-them grow with the corpus and stay spread by word.
-
-The same words are the only ones that could fill a task: their occurrences stay with their block of documents, only
-their counts are sent, and their (at most 1 / SHARE squared) probabilities come back to all blocks as one array.
+Tokens are lower-cased words and one end a text.  Every word is a context with a restaurant of its own, which serves the
+words that follow it; its tables are customers of the root, whose base is uniform over the training vocabulary and one
+unknown word.  A context without training text passes everything on to the root.
 
 Seating is sampled dish by dish: all customers of a dish leave and sit down again one after the other (large dishes in
 batches of a sixteenth), and the new seating is accepted with the Metropolis ratio of the two seatings' weights, which
-makes each step leave the posterior as it is.  All dishes of a sweep move at once given the last sweep's table totals,
-and a task scales its own words' totals up to the whole restaurant; scoring uses the exact totals of each kept sweep.
-Predictive probabilities are averaged over the kept sweeps.
+makes each step leave the posterior as it is.  All dishes of a sweep move at once given the last sweep's totals, which
+are those of the whole corpus.  A dish with one customer always has one table and needs no sampling.  Predictive
+probabilities are averaged over the kept sweeps.
 
-1. Words are counted (all training texts); contexts, N and V follow.
-2. (word, context) pairs with the documents they occur in are sent to the word's task, merged within a task first.
-3. Each task samples its words' seating and writes its state; the totals of every restaurant are summed up.
-4. Each task scores its words' occurrences; a document's sums meet by the block of documents that it came in.
+1. Words are counted (all training texts); N, V and the words whose pairs one task could not take follow.
+2. Each block of documents sends its different pairs (context, word), with their number of times in training texts, to
+   the pair's task: that of the word, or of both words where the word has `SHARE` of all tokens.
+3. Sweeps: pairs' tasks seat the customers of contexts and send each word's tables (as context and as dish), one row a
+   word, to the word's task; that one adds them up, seats the root's customers and answers with the new totals.
+4. Pairs' and words' tasks answer each block in the order of what it sent, and the block adds up its documents' tokens.
 
 Defined cases: a null or empty text is one end; a null id is scored but neither taught from nor held out; without
 training text every token has probability 1, as in the add-one base; rows that repeat an id are texts of their own.
@@ -26,24 +23,23 @@ training text every token has probability 1, as in the add-one base; rows that r
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memloom.llm.shared import cut
-from memloom.llm.textblocks import Block, buckets_for, exchange, give_back, mix, pack, packed_batches, texts_of, unpack, unpack_all, word_blocks
+from memloom.llm.textblocks import Block, buckets_for, exchange, give_back, mix, pack, packed_batches, texts_of, unpack_all, word_blocks
 
-SHARE = 1 / 2048
+SHARE = 1 / 2048  # from this share of all tokens on, a word's pairs are spread over tasks by context
 DISCOUNT, STRENGTH = 0.75, 1.0
 SWEEPS, KEPT = 5, 3
 END = np.uint64(0x454E442D4F462D54)  # the end token's hash; words' hashes are 64-bit as well
 BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 30_000
-FINE = 3  # tasks a shuffle partition: words' state is large
-HELD_SUMS = 2_000_000  # documents whose sums a task holds before it passes them on
 
 
 def tokens(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +65,7 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def count_words(texts: DataFrame, rest: int, of: int) -> DataFrame:
-    """word, n, all, distinct, once, twice: the words that may be contexts; with a null word, totals of one task."""
+    """word, n, all, distinct, once, twice: the most frequent words; with a null word, totals of one task."""
     n = buckets_for(texts.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,118 +102,188 @@ def count_words(texts: DataFrame, rest: int, of: int) -> DataFrame:
     return exchange(texts.mapInArrow(send, "bucket int, data binary")).mapInArrow(meet, "word long, n long, all long, distinct long, once long, twice long")
 
 
-class Ledger:
-    """Pairs (word, context) of blocks of documents, and where each occurs: document in block, times."""
-
-    @staticmethod
-    def keys(at: np.ndarray, ctx: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (word's number, context, document) in order, and how often each occurs."""
-        key = np.sort((at.astype(np.uint64) << np.uint64(32)) | (ctx.astype(np.uint64) << np.uint64(16)) | doc.astype(np.uint64))
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        return key[start], np.diff(np.append(start, len(key))).astype(np.uint32)
-
-    @staticmethod
-    def blobs(words: np.ndarray, key: np.ndarray, times: np.ndarray, n_buckets: int) -> Iterator[tuple[int, bytes]]:
-        """words in order; key and times as `keys` gives them."""
-        if not len(key):
-            return
-        pair = key >> np.uint64(16)
-        p_start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        p_size = np.diff(np.append(p_start, len(key))).astype(np.uint32)
-        p_word = (pair[p_start] >> np.uint64(16)).astype(np.int64)
-        p_ctx = (pair[p_start] & np.uint64(0xFFFF)).astype(np.uint16)
-        w_size = np.bincount(p_word, minlength=len(words)).astype(np.uint32)
-        w_cut = np.searchsorted(_bucket(words, n_buckets), np.arange(n_buckets + 1))
-        p_cut = np.concatenate([[0], np.cumsum(w_size, dtype=np.int64)])[w_cut]
-        e_cut = np.concatenate([[0], np.cumsum(p_size, dtype=np.int64)])[p_cut]
-        doc = (key & np.uint64(0xFFFF)).astype(np.uint16)
-        for b in np.flatnonzero(np.diff(e_cut)):
-            w, p, e = (slice(c[b], c[b + 1]) for c in (w_cut, p_cut, e_cut))
-            sizes = np.array([w.stop - w.start, p.stop - p.start, e.stop - e.start], np.int64)
-            yield int(b), b"".join(x.tobytes() for x in (sizes, words[w], w_size[w], p_ctx[p], p_size[p], doc[e], times[e]))
-
-    @staticmethod
-    def read(blob: bytes) -> list[np.ndarray]:
-        """h, ctx and number of entries of each pair; document and times of each entry."""
-        nw, np_, ne = np.frombuffer(blob, np.int64, 3).tolist()
-        at, out = 24, []
-        for t, n in ((np.uint64, nw), (np.uint32, nw), (np.uint16, np_), (np.uint32, np_), (np.uint16, ne), (np.uint32, ne)):
-            out.append(np.frombuffer(blob, t, n, at))
-            at += n * np.dtype(t).itemsize
-        return [np.repeat(out[0], out[1]), *out[2:]]
-
-
-TAUGHT = 1 << 15  # in an entry's document: it belongs to the training texts
-ANY = TAUGHT - 1  # instead of a document: an entry that stands for a block's training texts together
-
-
-def _frequent(contexts: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The number of each context among h, from 1; 0 for other words."""
-    if not len(contexts):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(contexts, h), len(contexts) - 1)
-    return np.where(contexts[at] == h, at + 1, 0)
-
-
-def _ledger(texts: DataFrame, contexts: np.ndarray, rest: int, of: int) -> DataFrame:
-    """bucket, block, data: a block's ledger for one bucket, or (bucket -1) its documents."""
-    n = buckets_for(texts.sparkSession, FINE)
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+STATIC, CODES, ASKED, STREAM, PAIRS, FIXED, TABLES, TOTALS, SEATS, WORDS, SUMS, PAIR_ANSWER, WORD_ANSWER = range(13)
+ROW = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("src", pa.int64()), ("data", pa.binary())])
+ROW_TEXT = "kind int, to long, src long, data binary"
+ONCE, NEVER = -2, -1  # codes of pairs that aren't sampled
+WORD_STATE = (np.uint64, *[np.int64] * 4, np.float64, *[np.int64] * 3)
+
+
+def _blob(*columns: np.ndarray) -> bytes:
+    """Columns as planes of bytes, compressed: most numbers are small."""
+    out = []
+    for c in columns:
+        c = np.ascontiguousarray(c).reshape(-1)
+        planes = np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.itemsize).T).tobytes()
+        packed = pa.compress(planes, "zstd", asbytes=True)
+        out += [np.array([c.size, len(packed)], np.int64).tobytes(), packed]
+    return b"".join(out)
+
+
+def _columns(blob: bytes, *types) -> list[np.ndarray]:
+    at, out = 0, []
+    for t in map(np.dtype, types):
+        n, size = np.frombuffer(blob, np.int64, 2, at).tolist()
+        planes = np.frombuffer(pa.decompress(blob[at + 16 : at + 16 + size], n * t.itemsize, "zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+        out.append(np.ascontiguousarray(planes.reshape(t.itemsize, n).T).reshape(-1).view(t))
+        at += 16 + size
+    return out
+
+
+def _rows(found: Iterator[tuple[int, int, int, bytes]], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches (kind, to, src, data) of bounded bytes."""
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ROW, strict=True)], schema=ROW)
+
+    rows, size = [], 0
+    for r in found:
+        rows.append(r)
+        size += len(r[3])
+        if size >= limit:
+            yield batch()
+            rows, size = [], 0
+    if rows:
+        yield batch()
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, bytes]]:
+    for b in batches:
+        yield from zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
+
+
+def _home(block: int) -> int:
+    """What deals a block of documents to a task."""
+    return (block >> 24) + 31 * (block & 0xFFFFFF)
+
+
+def _by_owner(words: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """Words in order, cut by the task that they belong to."""
+    at = np.searchsorted(_bucket(words, n), np.arange(n + 1))
+    for b in np.flatnonzero(np.diff(at)):
+        yield int(b), slice(at[b], at[b + 1])
+
+
+def _deal(words: np.ndarray, pair: np.ndarray, often: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (word's number << 32 | context's) in order: words and contexts by bucket, where each bucket begins, and the order."""
+    w, u = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    spread = np.isin(words, often)[w]
+    to = words[w]
+    to[spread] = mix(to[spread] ^ mix(words[u[spread]], 61), 62)
+    to = _bucket(to, n)
+    order = np.argsort(to, kind="stable")
+    return w[order], u[order], np.searchsorted(to[order], np.arange(n + 1)), order
+
+
+def _before(at: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
+    """The number of the token before each one; an end before the first of a document."""
+    out = np.empty_like(at)
+    out[1:] = at[:-1]
+    out[np.cumsum(size) - size] = end
+    return out
+
+
+def _blocks(texts: DataFrame, often: np.ndarray, rest: int, of: int, stream: bool) -> DataFrame:
+    """A block's words (ASKED) and its pairs (PAIRS); with `stream`, its documents (STREAM)."""
+    n = buckets_for(texts.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
-        h, ctx, doc, ids, sizes = [], [], [], [], []
+        part = TaskContext.get().partitionId()
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush(number: int, h: list, known: list, ids: list, sizes: list) -> Iterator[tuple[int, int, int, bytes]]:
             block = (part << 24) | number
-            names = np.array([i if i is not None else 0 for i in ids], np.int64)
-            null = np.array([i is None for i in ids], np.uint8)
-            all_h, all_ctx, all_doc = np.concatenate(h), np.concatenate(ctx), np.concatenate(doc)
-            which = _frequent(contexts, all_h)
-            rare, own = which == 0, which > 0
-            words, at = np.unique(all_h[rare], return_inverse=True)
-            rows = list(Ledger.blobs(words, *Ledger.keys(at, all_ctx[rare], all_doc[rare]), n))
-            key, times = Ledger.keys(which[own] - 1, all_ctx[own], all_doc[own])
-            pair, at = np.unique(key >> np.uint64(16), return_inverse=True)
-            taught = np.bincount(at, weights=np.where(key & np.uint64(TAUGHT), times, 0), minlength=len(pair)).astype(np.uint32)
-            rows += Ledger.blobs(contexts, (pair << np.uint64(16)) | np.uint64(TAUGHT | ANY), taught, n)
-            here = [(key >> np.uint64(32)).astype(np.uint16), ((key >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.uint16), (key & np.uint64(ANY)).astype(np.uint16), times]
-            head = np.int64(len(ids)).tobytes() + names.tobytes() + null.tobytes() + np.array(sizes, np.int64).tobytes()
-            rows.append((-1, head + np.int64(len(key)).tobytes() + b"".join(x.tobytes() for x in here)))
-            for i in range(0, len(rows), 64):
-                now = rows[i : i + 64]
-                yield pa.record_batch([pa.array([b for b, _ in now], pa.int32()), pa.array([block] * len(now), pa.int64()), pa.array([x for _, x in now], pa.binary())], schema=schema)
-
-        held = 0
-        for b in batches:
-            names = b.column(0).to_pylist()
-            known = teaches(names, rest, of)
-            for i, block in word_blocks(b.column(1), lower=True):
-                if ids and (held + len(block.start) > BLOCK_TOKENS or len(ids) + block.rows > BLOCK_DOCS):
-                    yield from flush()
-                    number, held = number + 1, 0
-                    h, ctx, doc, ids, sizes = [], [], [], [], []
-                for r in range(0, block.rows, BLOCK_DOCS):  # a block of 2 MB may hold more texts than a ledger's documents
-                    if r:
-                        yield from flush()
-                        number, held = number + 1, 0
-                        h, ctx, doc, ids, sizes = [], [], [], [], []
-                    own, row, before = tokens(block)
-                    fit = (row >= r) & (row < r + BLOCK_DOCS)
-                    own, row, before = own[fit], row[fit], before[fit]
-                    h.append(own)
-                    ctx.append(_frequent(contexts, before).astype(np.uint16))
-                    doc.append((len(ids) + row - r + np.where(known[i + row], TAUGHT, 0)).astype(np.uint16))
-                    last = min(block.rows, r + BLOCK_DOCS)
-                    ids += names[i + r : i + last]
-                    sizes += (block.counts[r:last] + 1).tolist()
-                    held += len(own)
-        if ids:
-            yield from flush()
-            h, ctx, doc = [], [], []
+            words, at = np.unique(np.concatenate(h), return_inverse=True)
+            end, size = int(np.searchsorted(words, END)), np.array(sizes, np.int64)
+            if stream:
+                null = np.array([i is None for i in ids], np.uint8)
+                yield STREAM, _home(block), block, _blob(np.array([0 if i is None else i for i in ids], np.int64), null, size, np.array([end]), words, at.astype(np.uint32))
+                return
+            before = _before(at, size, end)
+            key = np.sort((at.astype(np.uint64) << np.uint64(33)) | (before.astype(np.uint64) << np.uint64(1)) | np.concatenate(known).astype(np.uint64))
+            start = np.flatnonzero(np.concatenate([[True], key[1:] >> np.uint64(1) != key[:-1] >> np.uint64(1)]))
+            times = np.add.reduceat(key & np.uint64(1), start).astype(np.uint32)
+            w, u, edge, order = _deal(words, key[start] >> np.uint64(1), often, n)
+            times = times[order]
+            for b in np.flatnonzero(np.diff(edge)):
+                s = slice(edge[b], edge[b + 1])
+                fresh = np.flatnonzero(np.concatenate([[True], w[s][1:] != w[s][:-1]]))
+                yield PAIRS, int(b), block, _blob(words[w[s][fresh]], np.diff(np.append(fresh, s.stop - s.start)).astype(np.uint32), words[u[s]], times[s])
+            for b, s in _by_owner(words, n):
+                yield ASKED, b, block, _blob(words[s])
+
+        def found() -> Iterator[tuple[int, int, int, bytes]]:
+            number, held = 0, 0
+            h, known, ids, sizes = [], [], [], []
+            for b in batches:
+                names = b.column(0).to_pylist()
+                taught = teaches(names, rest, of)
+                for i, block in word_blocks(b.column(1), lower=True):
+                    own, row, _ = tokens(block)
+                    for r in range(0, block.rows, BLOCK_DOCS):  # 2 MB may hold more texts than a block's documents
+                        last = min(block.rows, r + BLOCK_DOCS)
+                        fit = slice(*np.searchsorted(row, [r, last]))
+                        if ids and (held + fit.stop - fit.start > BLOCK_TOKENS or len(ids) + last - r > BLOCK_DOCS):
+                            yield from flush(number, h, known, ids, sizes)
+                            number, held = number + 1, 0
+                            h, known, ids, sizes = [], [], [], []
+                        h.append(own[fit])
+                        known.append(taught[i + row[fit]])
+                        ids += names[i + r : i + last]
+                        sizes += (block.counts[r:last] + 1).tolist()
+                        held += fit.stop - fit.start
+            if ids:
+                yield from flush(number, h, known, ids, sizes)
+
+        yield from _rows(found())
         give_back()
 
-    return texts.mapInArrow(send, "bucket int, block long, data binary")
+    return texts.mapInArrow(send, ROW_TEXT)
+
+
+def _meet(sent: DataFrame) -> DataFrame:
+    """Pairs with several customers (STATIC), what each block's pairs are (CODES), words' counts (FIXED) and first tables (TABLES); the rest as it came."""
+    n = buckets_for(sent.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int, int, bytes]]:
+            blocks, parts, bucket = [], [], 0
+            for kind, to, block, data in _each(batches):
+                if kind == PAIRS:
+                    w, size, u, times = _columns(data, np.uint64, np.uint32, np.uint64, np.uint32)
+                    parts.append((np.repeat(w, size), u, times))
+                    blocks.append(block)
+                    bucket = to
+                else:
+                    yield kind, to, block, data
+            if not parts:
+                return
+            lengths = [len(p[1]) for p in parts]
+            w, u, times = (np.concatenate([p[k] for p in parts]) for k in range(3))
+            del parts
+            names, at = np.unique(np.concatenate([w, u]), return_inverse=True)
+            pair, own = np.unique((at[: len(w)].astype(np.uint64) << np.uint64(32)) | at[len(w) :].astype(np.uint64), return_inverse=True)
+            del w, u, at
+            count = np.bincount(own, weights=times, minlength=len(pair)).astype(np.int64)
+            several = count > 1
+            code = np.where(several, np.cumsum(several) - 1, np.where(count == 1, ONCE, NEVER)).astype(np.int32)[own]
+            for block, e, size in zip(blocks, np.cumsum(lengths), lengths, strict=True):
+                yield CODES, bucket, block, _blob(code[e - size : e])
+            w, u = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            total = np.bincount(w, weights=count, minlength=len(names)).astype(np.int64)
+            one_u, one_w = (np.bincount(x[count == 1], minlength=len(names)) for x in (u, w))
+            some = np.flatnonzero((total > 0) | (np.bincount(u, weights=count, minlength=len(names)) > 0))
+            for b, s in _by_owner(names[some], n):
+                yield FIXED, b, bucket, _blob(names[some[s]], *(x[some[s]].astype(np.int64) for x in (total, one_u, one_w)))
+            w, u, count = w[several], u[several], count[several]
+            used, at = np.unique(np.concatenate([w, u]), return_inverse=True)
+            w, u = at[: len(w)], at[len(w) :]
+            yield STATIC, bucket, 0, _blob(names[used], w.astype(np.uint32), u.astype(np.uint32), count)
+            yield from _tables(bucket, names[used], w, u, np.ones(len(w)), n)
+
+        yield from _rows(found())
+        give_back()
+
+    return exchange(sent, "to").mapInArrow(run, ROW_TEXT)
 
 
 def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -241,121 +307,198 @@ def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.rand
     return tables, log_z
 
 
+def _tables(bucket: int, names: np.ndarray, w: np.ndarray, u: np.ndarray, t: np.ndarray, n: int) -> Iterator[tuple[int, int, int, bytes]]:
+    as_context, as_dish = (np.bincount(x, weights=t, minlength=len(names)).astype(np.uint32) for x in (u, w))
+    for b, s in _by_owner(names, n):
+        yield TABLES, b, bucket, _blob(names[s], as_context[s], as_dish[s])
+
+
+def seat_pairs(customers: np.ndarray, t: np.ndarray, z: np.ndarray, fresh: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A sweep's step over the contexts' dishes: tables and their log weight."""
+    new, new_z = seat(customers, fresh, DISCOUNT, rng)
+    take = np.log(rng.random(len(t))) < new_z - z
+    return np.where(take, new, t), np.where(take, new_z, z)
+
+
+def seat_root(customers: np.ndarray, t: np.ndarray, z: np.ndarray, fresh: float, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A sweep's step over the root's dishes."""
+    new, new_z = seat(customers, np.full(len(t), fresh), discount, rng)
+    take = (np.log(rng.random(len(t))) < new_z - z) | (t > customers) | ((t == 0) & (customers > 0))
+    return np.where(take, new, t), np.where(take, new_z, z)
+
+
 def sample(pair_word: np.ndarray, pair_ctx: np.ndarray, pair_n: np.ndarray, words: int, context_n: np.ndarray, vocabulary: int, root_discount: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of pairs with training counts: mean tables; of words and kept sweeps: customers and tables at the root; of contexts (0: root) and kept sweeps: tables here, and in row 0 the root's customers instead."""
+    """The sweeps over a corpus that one task holds; context 0 is the root itself.
+
+    Of pairs with training counts: mean tables; of words and kept sweeps: customers and tables at the root; of contexts and kept sweeps: tables, in row 0 the root's, and in a last row the root's customers.
+    """
     rng = np.random.default_rng(seed)
     own = np.flatnonzero((pair_ctx > 0) & (pair_n > 0))
     w, u, c = pair_word[own], pair_ctx[own], pair_n[own]
     direct = np.bincount(pair_word[pair_ctx == 0], weights=pair_n[pair_ctx == 0], minlength=words)
-    here = np.bincount(u, weights=c, minlength=len(context_n))
-    scale = context_n / np.maximum(here, 1)
-    seen = np.bincount(pair_word, weights=pair_n, minlength=words) > 0
-    words_scale = vocabulary / max(1, int(seen.sum()))
     base = 1 / (vocabulary + 1)
-    t = np.ones(len(own))
-    t_z = np.full(len(own), -np.inf)
+    t, z = np.ones(len(own)), np.full(len(own), -np.inf)
     root_c = direct + np.bincount(w, weights=t, minlength=words)
     root_t, root_z = (root_c > 0).astype(float), np.full(words, -np.inf)
-    mean = np.zeros(len(own))
-    root, totals = np.zeros((2, words, KEPT)), np.zeros((len(context_n), KEPT))
-    root_n = np.zeros(KEPT)
+    mean, root, totals = np.zeros(len(pair_n)), np.zeros((2, words, KEPT)), np.zeros((len(context_n) + 1, KEPT))
     for sweep in range(SWEEPS):
-        all_t, all_c = root_t.sum() * words_scale, max(1.0, root_c.sum() * words_scale)
-        parent = (root_c - root_discount * root_t + (STRENGTH + root_discount * all_t) * base) / (STRENGTH + all_c)
-        tables = np.bincount(u, weights=t, minlength=len(context_n)) * scale
-        new, z = seat(c, (STRENGTH + DISCOUNT * tables)[u] * parent[w], DISCOUNT, rng)
-        take = np.log(rng.random(len(own))) < z - t_z
-        t, t_z = np.where(take, new, t), np.where(take, z, t_z)
+        new_at_root = (STRENGTH + root_discount * root_t.sum()) * base
+        parent = (root_c - root_discount * root_t + new_at_root) / (STRENGTH + root_c.sum())
+        tables = np.bincount(u, weights=t, minlength=len(context_n))
+        t, z = seat_pairs(c, t, z, (STRENGTH + DISCOUNT * tables)[u] * parent[w], rng)
         root_c = direct + np.bincount(w, weights=t, minlength=words)
-        new, z = seat(root_c, np.full(words, (STRENGTH + root_discount * all_t) * base), root_discount, rng)
-        take = (np.log(rng.random(words)) < z - root_z) | (root_t > root_c)
-        root_t, root_z = np.where(take, new, root_t), np.where(take, z, root_z)
+        root_t, root_z = seat_root(root_c, root_t, root_z, new_at_root, root_discount, rng)
         if (k := sweep - (SWEEPS - KEPT)) >= 0:
-            mean += t / KEPT
+            mean[own] += t / KEPT
             root[:, :, k] = root_c, root_t
-            totals[:, k] = np.bincount(u, weights=t, minlength=len(context_n))
-            totals[0, k], root_n[k] = root_t.sum(), root_c.sum()
-    out = np.zeros(len(pair_n))
-    out[own] = mean
-    return out, root[0], root[1], np.vstack([totals, root_n[None]])
+            totals[:-1, k] = np.bincount(u, weights=t, minlength=len(context_n))
+            totals[0, k], totals[-1, k] = root_t.sum(), root_c.sum()
+    return mean, root[0], root[1], totals
+
+
+def _seat_contexts(rows: DataFrame, sweep: int, sums: tuple[float, float], base: float, root_discount: float) -> DataFrame:
+    """STATIC, TOTALS and SEATS of the last sweep: SEATS and TABLES of this one."""
+    n = buckets_for(rows.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int, int, bytes]]:
+            static, seats, totals, bucket = None, None, {}, 0
+            for kind, to, src, data in _each(batches):
+                if kind == STATIC:
+                    static, bucket = _columns(data, np.uint64, np.uint32, np.uint32, np.int64), to
+                elif kind == SEATS:
+                    seats = _columns(data, np.uint32, np.float64, np.uint32)
+                else:
+                    totals[src] = _columns(data, np.uint32, np.float32)
+            if static is None or not len(static[0]):
+                return
+            names, w, u, count = static
+            tables, root = (np.concatenate([totals[b][k] for b in sorted(totals)]).astype(float) for k in range(2))  # words' tasks are ranges of hashes
+            t, z, kept = seats if seats is not None else (np.ones(len(w)), np.full(len(w), -np.inf), np.zeros(len(w), np.uint32))
+            parent = (root + (STRENGTH + root_discount * sums[0]) * base) / (STRENGTH + sums[1])
+            t, z = seat_pairs(count, t, z, (STRENGTH + DISCOUNT * tables)[u] * parent[w], np.random.default_rng([1, sweep, bucket]))
+            if sweep >= SWEEPS - KEPT:
+                kept = kept + t
+            yield SEATS, bucket, 0, _blob(t.astype(np.uint32), z, kept.astype(np.uint32))
+            yield from _tables(bucket, names, w, u, t, n)
+
+        yield from _rows(found())
+        give_back()
 
-def _seated(ledger: DataFrame, contexts: np.ndarray, context_n: np.ndarray, vocabulary: int, root_discount: float) -> DataFrame:
-    """kind, at, data, x: a task's state (kind 0), a block's documents (1, at: block), totals of a restaurant (2, x: kept sweeps), a frequent word (3, at: its number)."""
-    spark = ledger.sparkSession
-    schema = pa.schema([("kind", pa.int32()), ("at", pa.int64()), ("data", pa.binary()), ("x", pa.list_(pa.float64()))])
-    text = "kind int, at long, data binary, x array<double>"
+    return exchange(rows, "to").mapInArrow(run, ROW_TEXT)
 
-    def row(kind: int, at: int, data: bytes | None, x: list | None) -> pa.RecordBatch:
-        return pa.record_batch([pa.array([v], f.type) for v, f in zip((kind, at, data, x), schema, strict=True)], schema=schema)
+
+def _seat_words(rows: DataFrame, sweep: int, sums: tuple[float, float], base: float, root_discount: float) -> DataFrame:
+    """FIXED or WORDS, and TABLES: WORDS, the TOTALS for each task that sent tables, and SUMS at the root; the rest as it came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, blocks = [], []
-        for b in batches:
-            for bucket, block, data in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if bucket < 0:
-                    yield row(1, block, data, None)
+        def found() -> Iterator[tuple[int, int, int, bytes]]:
+            fixed, tables, state, bucket = [], [], None, 0
+            for kind, to, src, data in _each(batches):
+                if kind == FIXED:
+                    fixed.append(_columns(data, np.uint64, np.int64, np.int64, np.int64))
+                elif kind == WORDS:
+                    state = _columns(data, *WORD_STATE)
+                elif kind == TABLES:
+                    tables.append((src, *_columns(data, np.uint64, np.uint32, np.uint32)))
                 else:
-                    parts.append(Ledger.read(data))
-                    blocks.append(block)
-        if not parts:
-            return
-        h, ctx, size = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        doc, times = (np.concatenate([p[k] for p in parts]) for k in (3, 4))
-        source = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p[3]) for p in parts])
-        del parts
-        names, word = np.unique(h, return_inverse=True)
-        del h
-        pair, at = np.unique((word.astype(np.uint64) << np.uint64(16)) | ctx, return_inverse=True)
-        del word, ctx
-        e_pair = np.repeat(at.astype(np.int32), size)
-        del at, size
-        n = np.bincount(e_pair, weights=np.where(doc & TAUGHT, times, 0), minlength=len(pair))
-        pair_word, pair_ctx = (pair >> np.uint64(16)).astype(np.int64), (pair & np.uint64(0xFFFF)).astype(np.int64)
-        mean, root_c, root_t, totals = sample(pair_word, pair_ctx, n, len(names), context_n, vocabulary, root_discount, int(names[0]))
-        word_n = np.bincount(pair_word, weights=n, minlength=len(names))
-        for k in np.flatnonzero(totals.any(axis=1)):
-            yield row(2, int(k), None, totals[k].tolist())
-        number = _frequent(contexts, names)
-        for k in np.flatnonzero(number):
-            p = slice(*np.searchsorted(pair_word, [k, k + 1]))
-            cols = [word_n[k : k + 1], root_c[k], root_t[k], pair_ctx[p].astype(np.uint16), n[p], mean[p].astype(np.float32)]
-            yield row(3, int(number[k]) - 1, np.int64(p.stop - p.start).tobytes() + b"".join(x.tobytes() for x in cols), None)
-        # the state in slices of words, for bounded rows
-        order = np.argsort(e_pair, kind="stable")
-        order = order[(doc[order] & ANY) != ANY]
-        e_pair, doc, times, source = e_pair[order], doc[order], times[order], np.array(blocks, np.int64)[source[order]]
-        w_cut = [*range(0, len(names), 20_000), len(names)]
-        p_cut = np.searchsorted(pair_word, w_cut)
-        e_cut = np.searchsorted(e_pair, p_cut)
-        for k in range(len(w_cut) - 1):
-            ws, ps, es = slice(w_cut[k], w_cut[k + 1]), slice(p_cut[k], p_cut[k + 1]), slice(e_cut[k], e_cut[k + 1])
-            cols = [word_n[ws], root_c[ws].ravel(), root_t[ws].ravel(), (pair_word[ps] - w_cut[k]).astype(np.int32), pair_ctx[ps].astype(np.uint16), n[ps].astype(np.float32 if n.max() < 1 << 24 else np.float64), mean[ps].astype(np.float32)]
-            by_block = np.argsort(source[es], kind="stable")
-            cols += [(e_pair[es] - p_cut[k]).astype(np.uint32)[by_block], (doc[es] & (TAUGHT - 1)).astype(np.uint16)[by_block], times[es].astype(np.uint32)[by_block]]
-            who, first = np.unique(source[es][by_block], return_index=True)
-            cols += [who, first.astype(np.int64)]
-            head = [np.array([c.itemsize, len(c)], np.int64) for c in cols]
-            yield row(0, k, b"".join(x.tobytes() for pair_ in zip(head, cols, strict=True) for x in pair_), None)
-        del e_pair, doc, times, source, cols, pair, pair_word, pair_ctx, n, mean, root_c, root_t
+                    yield kind, to, src, data
+                    continue
+                bucket = to
+            if state is None and not fixed:
+                return
+            if state is None:
+                h, at = np.unique(np.concatenate([f[0] for f in fixed]), return_inverse=True)
+                total, one_u, one_w = (np.bincount(at, weights=np.concatenate([f[k] for f in fixed]), minlength=len(h)).astype(np.int64) for k in (1, 2, 3))
+                kept = [np.zeros((len(h), KEPT), np.int64) for _ in range(3)]
+            else:
+                h, total, one_u, one_w, root_t, root_z, *kept = state
+                kept = [x.reshape(-1, KEPT).copy() for x in kept]
+            here, root_c = one_u.astype(float), one_w.astype(float)
+            for _, names, as_context, as_dish in tables:
+                at = np.searchsorted(h, names)
+                here[at] += as_context
+                root_c[at] += as_dish
+            if state is None:
+                root_t, root_z = (root_c > 0).astype(float), np.full(len(h), -np.inf)
+            else:
+                root_t, root_z = seat_root(root_c, root_t, root_z, (STRENGTH + root_discount * sums[0]) * base, root_discount, np.random.default_rng([2, sweep, bucket]))
+            if (k := sweep - (SWEEPS - KEPT)) >= 0:
+                for x, now in zip(kept, (here, root_c, root_t), strict=True):
+                    x[:, k] = now
+            for src, names, _, _ in tables:
+                at = np.searchsorted(h, names)
+                yield TOTALS, src, bucket, _blob(here[at].astype(np.uint32), (root_c - root_discount * root_t)[at].astype(np.float32))
+            yield WORDS, bucket, 0, _blob(h, total, one_u, one_w, root_t.astype(np.int64), root_z, *kept)
+            yield SUMS, bucket, 0, _blob(np.array([root_t.sum(), root_c.sum()]))
+
+        yield from _rows(found())
         give_back()
 
-    # documents' rows are spread by block, ledgers meet by bucket
-    dealt = ledger.withColumn("to", F.when(F.col("bucket") < 0, -1 - F.col("block")).otherwise(F.col("bucket").cast("long")))
-    return exchange(dealt, "to", FINE).select("bucket", "block", "data").mapInArrow(run, text)
+    return exchange(rows, "to").mapInArrow(run, ROW_TEXT)
 
 
-STATE = (np.float64, np.float64, np.float64, np.int32, np.uint16, None, np.float32, np.uint32, np.uint16, np.uint32, np.int64, np.int64)
+def _sums(state: DataFrame) -> tuple[float, float]:
+    """Tables and customers at the root; one row a task."""
+    found = [_columns(r["data"], np.float64)[0] for r in state.where(F.col("kind") == SUMS).select("data").collect()]
+    return tuple(np.sum(found, axis=0).tolist()) if found else (0.0, 0.0)
 
 
-def _read_state(blob: bytes) -> list[np.ndarray]:
-    at, out = 0, []
-    for t in STATE:
-        size, n = np.frombuffer(blob, np.int64, 2, at).tolist()
-        t = t or (np.float32 if size == 4 else np.float64)
-        out.append(np.frombuffer(blob, t, n, at + 16))
-        at += 16 + n * size
-    return out
+def _free(spark: SparkSession) -> None:
+    """Lets Spark clear the files of exchanges that are done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _drop(table: DataFrame) -> None:
+    """Deletes a table that `cut` wrote and no later step reads."""
+    spark = table.sparkSession
+    for at in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _free(spark)
+
+
+def _answers(rows: DataFrame) -> DataFrame:
+    """To each block: its pairs' customers and tables (PAIR_ANSWER); its words' counts, tables as a context, and customers and tables at the root (WORD_ANSWER).
+
+    Tables come as a sum over the kept sweeps in the first, in the second as the first kept sweep's and the others' differences.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int, int, bytes]]:
+            codes, asked, bucket = [], [], 0
+            words = [np.zeros(0, t) for t in WORD_STATE]
+            count, kept = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+            for kind, to, src, data in _each(batches):
+                bucket = to
+                if kind == CODES:
+                    codes.append((src, _columns(data, np.int32)[0]))
+                elif kind == ASKED:
+                    asked.append((src, _columns(data, np.uint64)[0]))
+                elif kind == STATIC:
+                    count = _columns(data, np.uint64, np.uint32, np.uint32, np.int64)[3]
+                elif kind == SEATS:
+                    kept = _columns(data, np.uint32, np.float64, np.uint32)[2]
+                else:
+                    words = _columns(data, *WORD_STATE)
+            count, kept = np.append(count, [1, 0]), np.append(kept, [KEPT, 0]).astype(np.uint32)  # ONCE and NEVER are the last two
+            for block, code in codes:
+                yield PAIR_ANSWER, _home(block), block, _blob(np.array([bucket]), count[code], kept[code])
+            h, total = words[0], np.append(words[1], 0)
+            kept_words = [np.vstack([x.reshape(-1, KEPT), np.zeros((1, KEPT), np.int64)]) for x in words[6:]]
+            for x in kept_words:
+                x[:, 1:] -= x[:, :1]
+                x[:, 1:] = (x[:, 1:] << 1) ^ (x[:, 1:] >> 63)
+            for block, names in asked:
+                at = np.minimum(np.searchsorted(h, names), max(0, len(h) - 1))
+                at = np.where(h[at] == names, at, len(h)) if len(h) else np.zeros(len(names), int)
+                yield WORD_ANSWER, _home(block), block, _blob(np.array([bucket]), total[at], *(x[at].T for x in kept_words))
+
+        yield from _rows(found())
+        give_back()
+
+    return exchange(rows, "to").mapInArrow(run, ROW_TEXT)
 
 
 def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,101 +506,71 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
 
     Texts whose crc32(id as text) modulo `of` is not `rest` teach; all are scored (log10 of the text's probability).
     """
-    spark = docs.sparkSession
+    n = buckets_for(docs.sparkSession)
     texts = texts_of(docs, id_col, text_col)
     counted = cut(count_words(texts, rest, of), "words")
     total = counted.where("word is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all", "distinct", "once", "twice")]).first()
     n_all, vocabulary = int(total["all"]), int(total["distinct"])
-    often = counted.where(F.col("word").isNotNull() & (F.col("n") >= SHARE * n_all)).select("word", "n").collect()  # 1 / SHARE rows at most
-    names = np.array([r["word"] for r in often], np.int64).view(np.uint64)
-    order = np.argsort(names)
-    contexts = names[order]
-    context_n = np.concatenate([[0], np.array([r["n"] for r in often], float)[order]])
+    often = np.array([r["word"] for r in counted.where(F.col("word").isNotNull() & (F.col("n") >= SHARE * n_all)).select("word").collect()], np.int64).view(np.uint64)  # 1 / SHARE rows at most
     once, twice = int(total["once"]), int(total["twice"])
     root_discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once and twice else 0.5
-    state = cut(_seated(_ledger(texts, contexts, rest, of), contexts, context_n, vocabulary, root_discount), "seating")
-    sums = {r["at"]: np.array(r["x"]) for r in state.where("kind = 2").groupBy("at").agg(F.array(*[F.sum(F.col("x")[k]) for k in range(KEPT)]).alias("x")).collect()}  # one row a context
-    zero = np.zeros(KEPT)
-    tables = np.stack([sums.get(k, zero) for k in range(len(context_n))])
-    root_t, root_n = tables[0], sums.get(len(context_n), zero)
     base = 1 / (vocabulary + 1)
-    new_at_root = (STRENGTH + root_discount * root_t) / (STRENGTH + root_n)
-    new_at = (STRENGTH + DISCOUNT * tables) / (STRENGTH + context_n[:, None])
-    # log10 of each frequent word's probability by context, and of its count in the add-one base
-    values, plain_values, known_values = np.zeros((len(contexts), len(contexts) + 1)), np.zeros(len(contexts)), np.zeros(len(contexts), bool)
-    for r in state.where("kind = 3").select("at", "data").toLocalIterator():  # one row a context
-        n_pairs, k = int(np.frombuffer(r["data"], np.int64, 1)[0]), r["at"]
-        nums = np.frombuffer(r["data"], np.float64, 1 + 2 * KEPT, 8)
-        at = 8 * (2 + 2 * KEPT)
-        p_ctx = np.frombuffer(r["data"], np.uint16, n_pairs, at).astype(np.int64)
-        p_n = np.frombuffer(r["data"], np.float64, n_pairs, at + 2 * n_pairs)
-        p_t = np.frombuffer(r["data"], np.float32, n_pairs, at + 10 * n_pairs)
-        parent = (nums[1 : 1 + KEPT] - root_discount * nums[1 + KEPT :]) / (STRENGTH + root_n) + new_at_root * base
-        inside = (p_n - DISCOUNT * p_t) / (STRENGTH + context_n[p_ctx])
-        values[k, p_ctx] = np.log10(np.where(p_ctx > 0, inside + (new_at[p_ctx] * parent).mean(axis=1), parent.mean()))
-        plain_values[k], known_values[k] = np.log10(nums[0] + 1), nums[0] > 0
-    sent = spark.sparkContext.broadcast((values, plain_values, known_values))  # 1 / SHARE squared numbers at most
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("block", pa.int64()), ("data", pa.binary())])
-        held: dict[int, np.ndarray] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, have in sorted(held.items()):
-                at = np.flatnonzero(have.any(axis=0))
-                blob = np.int64(len(at)).tobytes() + at.astype(np.uint16).tobytes() + have[:2, at].tobytes() + have[2, at].astype(np.uint32).tobytes()
-                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([blob], pa.binary())], schema=schema)
-            held.clear()
-
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                word_n, root_c, root_tables, p_word, p_ctx, p_n, p_t, e_pair, doc, times, who, first = _read_state(blob)
-                root_c, root_tables = root_c.reshape(-1, KEPT), root_tables.reshape(-1, KEPT)
-                parent = (root_c - root_discount * root_tables) / (STRENGTH + root_n) + new_at_root * base
-                inside = (p_n.astype(float) - DISCOUNT * p_t) / (STRENGTH + context_n[p_ctx])
-                p = np.where(p_ctx > 0, inside + (new_at[p_ctx] * parent[p_word]).mean(axis=1), parent[p_word].mean(axis=1))
-                value, plain, known = np.log10(p), np.log10(word_n + 1)[p_word], (word_n > 0)[p_word]
-                for block, s, e in zip(who.tolist(), first, np.append(first[1:], len(doc)), strict=True):
-                    n = int(doc[s:e].max()) + 1
-                    have = held.get(block, np.zeros((3, 0)))
-                    if have.shape[1] < n:
-                        have = held[block] = np.pad(have, ((0, 0), (0, n - have.shape[1])))
-                    for k, x in enumerate((value, plain, known)):
-                        have[k, :n] += np.bincount(doc[s:e], weights=x[e_pair[s:e]] * times[s:e], minlength=n)
-                if sum(x.shape[1] for x in held.values()) > HELD_SUMS:
-                    yield from flush()
-        yield from flush()
-        give_back()
+
+    def of_kinds(rows: DataFrame, *kinds: int) -> DataFrame:
+        return rows.where(F.col("kind").isin(*kinds))
+
+    pairs = cut(_meet(_blocks(texts, often, rest, of, False)), "pairs")
+    _free(docs.sparkSession)
+    state = cut(_seat_words(of_kinds(pairs, FIXED, TABLES), -1, (0.0, 0.0), base, root_discount), "seating")
+    sums = [_sums(state)]
+    met, pairs = pairs, cut(of_kinds(pairs, STATIC, CODES, ASKED), "pairs")
+    _drop(met)
+    for sweep in range(SWEEPS):
+        seated = _seat_contexts(of_kinds(pairs, STATIC).union(of_kinds(state, TOTALS, SEATS)), sweep, sums[-1], base, root_discount)
+        last, state = state, cut(_seat_words(seated.union(of_kinds(state, WORDS)), sweep, sums[-1], base, root_discount), "seating")
+        sums.append(_sums(state))
+        del seated
+        _drop(last)
+    answers = _answers(pairs.union(of_kinds(state, SEATS, WORDS)))
+    root_t, root_n = (np.array(x) for x in zip(*sums[-KEPT:], strict=True))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        docs_of: dict[int, bytes] = {}
-        for b in batches:
-            for block, blob, kind in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                if kind == 1:
-                    docs_of[block] = blob
-                    continue
-                at, value, plain, known = unpack(blob, np.uint16, np.float64, np.float64, np.uint32)
-                if not len(at):
-                    continue
-                n, have = int(at[-1]) + 1, held.get(block, np.zeros((3, 0)))
-                if have.shape[1] < n:
-                    have = held[block] = np.pad(have, ((0, 0), (0, n - have.shape[1])))
-                for k, x in enumerate((value, plain, known)):
-                    have[k, at] += x
-        for block, blob in docs_of.items():
-            ids, null, size = unpack(blob, np.int64, np.uint8, np.int64)
-            own_w, own_ctx, own_doc, times = unpack(blob[8 + 17 * len(ids) :], np.uint16, np.uint16, np.uint16, np.uint32)
-            have = held.get(block, np.zeros((3, 0)))
-            sums = np.pad(have, ((0, 0), (0, len(ids) - have.shape[1])))
-            for k, x in enumerate((sent.value[0][own_w, own_ctx], sent.value[1][own_w], sent.value[2][own_w])):
-                sums[k] += np.bincount(own_doc, weights=x * times, minlength=len(ids))
-            value, plain, known = sums
-            plain = plain - size * np.log10(n_all + vocabulary + 1)
+        streams, by_pair, by_word = {}, {}, {}
+        for kind, _, block, data in _each(batches):
+            if kind == STREAM:
+                streams[block] = data
+            elif kind == PAIR_ANSWER:
+                bucket, count, kept = _columns(data, np.int64, np.int64, np.uint32)
+                by_pair.setdefault(block, {})[int(bucket[0])] = count - DISCOUNT * kept / KEPT
+            else:
+                bucket, *found = _columns(data, *[np.int64] * 5)
+                by_word.setdefault(block, {})[int(bucket[0])] = found
+        for block in list(streams):
+            ids, null, size, end, words, at = _columns(streams.pop(block), np.int64, np.uint8, np.int64, np.int64, np.uint64, np.uint32)
+            at = at.astype(np.int64)
+            found = by_word.pop(block)
+            count = np.concatenate([found[b][0] for b in sorted(found)])
+            here, root_c, root_tables = (np.hstack([found[b][k].reshape(KEPT, -1) for b in sorted(found)]).T for k in (1, 2, 3))
+            for x in (here, root_c, root_tables):
+                x[:, 1:] = (x[:, 1:] >> 1) ^ -(x[:, 1:] & 1)
+                x[:, 1:] += x[:, :1]
+            new_at = (STRENGTH + DISCOUNT * here) / (STRENGTH + count[:, None])
+            parent = (root_c - root_discount * root_tables + (STRENGTH + root_discount * root_t) * base) / (STRENGTH + root_n)
+            pair, own = np.unique((at.astype(np.uint64) << np.uint64(32)) | _before(at, size, int(end[0])).astype(np.uint64), return_inverse=True)
+            w, u, _, order = _deal(words, pair, often, n)
+            found = by_pair.pop(block)
+            inside = np.concatenate([found[b] for b in sorted(found)])
+            if len(inside) != len(pair) or len(count) != len(words):
+                raise RuntimeError("the texts were dealt to tasks in another way when they were read again")
+            log_p = np.empty(len(pair))
+            log_p[order] = np.log10(inside / (STRENGTH + count[u]) + (new_at[u] * parent[w]).mean(axis=1))
+            first = np.cumsum(size) - size
+            value = np.add.reduceat(log_p[own], first)
+            plain = np.add.reduceat(np.log10(count + 1.0)[at], first) - size * np.log10(n_all + vocabulary + 1)
+            known = np.add.reduceat((count > 0).astype(np.int64)[at], first)
             null = null.astype(bool)
             out = np.array([not m and zlib.crc32(str(i).encode()) % of == rest for i, m in zip(ids.tolist(), null, strict=True)], bool)
-            yield pa.record_batch([pa.array(ids, mask=null), pa.array(out), pa.array(size), pa.array(known.astype(np.int64)), pa.array(np.full(len(ids), n_all)), pa.array(plain), pa.array(value), pa.array(10 ** (-value / size))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+            yield pa.record_batch([pa.array(ids, mask=null), pa.array(out), pa.array(size), pa.array(known), pa.array(np.full(len(ids), n_all)), pa.array(plain), pa.array(value), pa.array(10 ** (-value / size))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+        give_back()
 
-    parts = state.where("kind = 0").select("data").mapInArrow(add_up, "block long, data binary").withColumn("kind", F.lit(0))
-    both = parts.select("block", "data", "kind").union(state.where("kind = 1").select(F.col("at").alias("block"), "data", "kind"))
-    return exchange(both, "block").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return exchange(_blocks(texts, often, rest, of, True).union(answers), "to").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -133,6 +133,39 @@ def test_language_model_beats_the_base(spark):
     assert got[0] > got[1]
 
 
+def test_language_model_learns_every_context(spark):
+    """Words far too rare for a share of the corpus predict what follows; totals are the corpus's in any number of tasks."""
+    rng = random.Random(3)
+    texts = [" ".join(f"a{k} b{k}" for k in (rng.randrange(3000) for _ in range(10))) for _ in range(1400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5).cache()
+    number: dict = {}
+    split = [[number.setdefault(w, len(number)) for w in [*t.split(), None]] for t in texts]
+    end = number[None]
+    pairs = [list(zip(w, [end, *w[:-1]], strict=True)) for w in split]
+    count = Counter(p for i, x in enumerate(pairs) for p in x if held(i, 7) != 2)
+    keys = sorted({p for x in pairs for p in x})
+    pw, pu, n = np.array([w for w, _ in keys]), np.array([u + 1 for _, u in keys]), np.array([count[k] for k in keys], float)
+    word_n = np.bincount(pw, weights=n, minlength=len(number))
+    context_n, vocabulary = np.concatenate([[0], word_n]), int((word_n > 0).sum())
+    once, twice = int((word_n == 1).sum()), int((word_n == 2).sum())
+    discount = once / (once + 2 * twice)
+    mean, c, t, totals = pitmanyor.sample(pw, pu, n, len(number), context_n, vocabulary, discount, 3)
+    parent = (c - discount * t + (1 + discount * totals[0]) / (vocabulary + 1)) / (1 + totals[-1])
+    new = (1 + 0.75 * totals[:-1]) / (1 + context_n[:, None])
+    p = dict(zip(keys, (n - 0.75 * mean) / (1 + context_n[pu]) + (new[pu] * parent[pw]).mean(axis=1), strict=True))
+    want = np.array([sum(math.log10(p[k]) for k in x) for x in pairs])
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k in ("2", "13"):
+            spark.conf.set("spark.sql.shuffle.partitions", k)
+            got = pitmanyor.score(docs, 2, 7).toPandas().sort_values("doc_id")
+            assert got[got.held_out].perplexity.median() < 300
+            off = got.score.to_numpy() / want - 1
+            assert abs(off.mean()) < 0.001 and np.abs(off).mean() < 0.003 and np.abs(off).max() < 0.05  # the sampler's noise
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def png():
     def chunk(kind, data):
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
