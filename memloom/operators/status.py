@@ -37,7 +37,6 @@ def warnings(files: DataFrame, chunks: DataFrame) -> list[str]:
         out.append(MANY_FILES_TEXT.format(n))
     if found := duplicate_content(chunks).collect():
         out.append(DUPLICATES_TEXT.format(len(found), "; ".join(r["paths"] for r in found)))
-    # a report for people: the largest files only
-    if found := large_files(chunks).orderBy(F.col("chunks").desc(), "path").limit(100).collect():
+    if found := large_files(chunks).orderBy(F.col("chunks").desc(), "path").collect():
         out.append(LARGE_FILES_TEXT.format(", ".join(f"{r['path']} ({r['chunks']} chunks)" for r in found)))
     return out

@@ -16,3 +16,9 @@ def test_counts(spark):
     got = st.counts(files, chunks, vectors).first().asDict()
     assert got == {"files": 3, "memory_files": 1, "session_files": 2, "chunks": 2, "embedded_chunks": 1, "embedding_cache": 0}
     assert st.counts(files, chunks).first()["embedded_chunks"] == 0
+
+
+def test_all_large_files_are_named(spark):
+    chunks = spark.range(130 * 501).selectExpr("concat('f', id % 130) as path", "cast(id as string) as hash")
+    (warning,) = st.warnings(chunks.where("false"), chunks)
+    assert warning.count("(501 chunks)") == 130
