@@ -39,6 +39,7 @@ SHARE = 1 / 2048  # from this share of all tokens on, a word's pairs are spread
 DISCOUNT, STRENGTH = 0.75, 1.0
 SWEEPS, KEPT = 5, 3
 END = np.uint64(0x454E442D4F462D54)  # the end token's hash; words' hashes are 64-bit as well
+OWNERS = 4  # words' totals are light
 BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 30_000
 
 
@@ -158,10 +159,11 @@ def _home(block: int) -> int:
 
 
 def _by_owner(words: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
-    """Words in order, cut by the task that they belong to."""
-    at = np.searchsorted(_bucket(words, n), np.arange(n + 1))
+    """Words in order, cut by the task that they belong to: one task in `OWNERS`, so that fewer messages are sent."""
+    owners = -(-n // OWNERS)
+    at = np.searchsorted(_bucket(words, owners), np.arange(owners + 1))
     for b in np.flatnonzero(np.diff(at)):
-        yield int(b), slice(at[b], at[b + 1])
+        yield int(b) * OWNERS, slice(at[b], at[b + 1])
 
 
 def _deal(words: np.ndarray, pair: np.ndarray, often: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -207,7 +209,8 @@ def _blocks(texts: DataFrame, often: np.ndarray, rest: int, of: int, stream: boo
             for b in np.flatnonzero(np.diff(edge)):
                 s = slice(edge[b], edge[b + 1])
                 fresh = np.flatnonzero(np.concatenate([[True], w[s][1:] != w[s][:-1]]))
-                yield PAIRS, int(b), block, _blob(words[w[s][fresh]], np.diff(np.append(fresh, s.stop - s.start)).astype(np.uint32), words[u[s]], times[s])
+                contexts, place = np.unique(u[s], return_inverse=True)
+                yield PAIRS, int(b), block, _blob(words[w[s][fresh]], np.diff(np.append(fresh, s.stop - s.start)).astype(np.uint32), words[contexts], place.astype(np.uint32), times[s])
             for b, s in _by_owner(words, n):
                 yield ASKED, b, block, _blob(words[s])
 
@@ -249,8 +252,8 @@ def _meet(sent: DataFrame) -> DataFrame:
             blocks, parts, bucket = [], [], 0
             for kind, to, block, data in _each(batches):
                 if kind == PAIRS:
-                    w, size, u, times = _columns(data, np.uint64, np.uint32, np.uint64, np.uint32)
-                    parts.append((np.repeat(w, size), u, times))
+                    w, size, u, place, times = _columns(data, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)
+                    parts.append((np.repeat(w, size), u[place], times))
                     blocks.append(block)
                     bucket = to
                 else:
@@ -266,8 +269,7 @@ def _meet(sent: DataFrame) -> DataFrame:
             count = np.bincount(own, weights=times, minlength=len(pair)).astype(np.int64)
             several = count > 1
             code = np.where(several, np.cumsum(several) - 1, np.where(count == 1, ONCE, NEVER)).astype(np.int32)[own]
-            for block, e, size in zip(blocks, np.cumsum(lengths), lengths, strict=True):
-                yield CODES, bucket, block, _blob(code[e - size : e])
+            yield CODES, bucket, 0, _blob(np.array(blocks, np.int64), np.array(lengths, np.int64), code)
             w, u = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
             total = np.bincount(w, weights=count, minlength=len(names)).astype(np.int64)
             one_u, one_w = (np.bincount(x[count == 1], minlength=len(names)) for x in (u, w))
@@ -473,7 +475,8 @@ def _answers(rows: DataFrame) -> DataFrame:
             for kind, to, src, data in _each(batches):
                 bucket = to
                 if kind == CODES:
-                    codes.append((src, _columns(data, np.int32)[0]))
+                    blocks, lengths, code = _columns(data, np.int64, np.int64, np.int32)
+                    codes += zip(blocks.tolist(), np.split(code, np.cumsum(lengths)[:-1]), strict=True)
                 elif kind == ASKED:
                     asked.append((src, _columns(data, np.uint64)[0]))
                 elif kind == STATIC:
@@ -523,6 +526,7 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
     _free(docs.sparkSession)
     state = cut(_seat_words(of_kinds(pairs, FIXED, TABLES), -1, (0.0, 0.0), base, root_discount), "seating")
     sums = [_sums(state)]
+    _free(docs.sparkSession)
     met, pairs = pairs, cut(of_kinds(pairs, STATIC, CODES, ASKED), "pairs")
     _drop(met)
     for sweep in range(SWEEPS):
