@@ -6,7 +6,7 @@ once.  Layout of a store:
 
     objects/kind=chunk   digest, payload (little-endian ids), n; the files are zstd-compressed
     objects/kind=recipe  doc_id, n, digests (32 bytes a chunk, in order), and the Merkle root over them
-    manifest             the recipes in ascending doc_id order with `start`, the number of ids of all documents before
+    manifest/part=P      the recipes in ascending doc_id order with `start`, the number of ids of all documents before
 
 Reading verifies every chunk against its address and every document against its Merkle root.
 
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from memloom.llm.bpe import ROWS, codec
+from memloom.llm.shared import cut
 from memloom.llm.textblocks import mix, parallelism, texts_of
 
 WINDOW = 8
@@ -65,6 +66,7 @@ def merkle(digests: bytes) -> bytes:
     return level[0] if level else hashlib.sha256(b"").digest()
 
 
+MANIFEST = "doc_id long, start long, n long, digests binary, root binary, part int"
 OBJECTS = "kind string, digest binary, payload binary, n long, doc_id long, digests binary, root binary"
 
 
@@ -114,7 +116,7 @@ def write_store(docs: DataFrame, at: str, path: str, end_id: int | None = END_ID
 
     dealt.mapInArrow(once, OBJECTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{at}/objects")
     recipes = objects_of(docs.sparkSession, at, "recipe").select("doc_id", "n", "digests", "root")
-    in_order(recipes).write.parquet(f"{at}/manifest")
+    in_order(recipes).write.partitionBy("part").parquet(f"{at}/manifest")
 
 
 def objects_of(spark: SparkSession, at: str, kind: str) -> DataFrame:
@@ -122,15 +124,21 @@ def objects_of(spark: SparkSession, at: str, kind: str) -> DataFrame:
 
 
 def in_order(recipes: DataFrame) -> DataFrame:
-    """Recipes sorted by id with `start`: range partitions, each one's sum added to those after it."""
+    """Recipes by `part` and, inside it, by id, with `start`: range partitions, each one's sum added to those after it.
+
+    The partitions are written before they are summed up: their borders are drawn from a sample, and sums of another
+    sample's partitions would not fit them.  Equal rows are told apart by their place, so that they can be split.
+    """
     spark = recipes.sparkSession
-    ordered = recipes.repartitionByRange(parallelism(spark), F.col("doc_id").asc_nulls_last(), F.col("root")).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "root").withColumn("part", F.spark_partition_id())
+    order = [F.col("doc_id").asc_nulls_last(), F.col("root"), F.col("place")]
+    ranged = recipes.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parallelism(spark), *order)
+    ordered = cut(ranged.withColumn("part", F.spark_partition_id()), "manifest")
     sums = ordered.groupBy("part").agg(F.sum("n").alias("own"))
     # one row a partition
     before = sums.select(F.col("part").alias("p"), F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    local = F.sum("n").over(Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "root").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    local = F.sum("n").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     out = ordered.withColumn("local", local).join(F.broadcast(before), F.col("part") == F.col("p"))
-    return out.select("doc_id", (F.col("before") + F.col("local")).cast("long").alias("start"), "n", "digests", "root")
+    return out.select("part", "doc_id", (F.col("before") + F.col("local")).cast("long").alias("start"), "n", "digests", "root")
 
 
 def read_chunks(spark: SparkSession, at: str, unit: str) -> DataFrame:
@@ -151,7 +159,7 @@ def read_chunks(spark: SparkSession, at: str, unit: str) -> DataFrame:
 
 def _manifest_chunks(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start, root, k, digest: one row a chunk of a document."""
-    m = spark.read.parquet(f"{at}/manifest").select("doc_id", "start", "n", "root", "digests")
+    m = spark.read.schema(MANIFEST).parquet(f"{at}/manifest").select("doc_id", "start", "n", "root", "digests")
     pieces = F.transform(F.sequence(F.lit(0), (F.length("digests") / DIGEST).cast("int") - 1), lambda k: F.substring("digests", k * DIGEST + 1, F.lit(DIGEST)))
     return m.select("doc_id", "start", "root", F.posexplode(pieces).alias("k", "digest"))
 

@@ -110,6 +110,24 @@ def test_id_store(spark, docs, none, rows, tmp_path):
     assert idstore.document_digests(spark, f"file://{tmp_path}/none", unit).count() == 0
 
 
+@pytest.mark.parametrize("parts", (4, 16, 51))
+def test_starts_of_many_documents(spark, parts):
+    """More rows a partition than Spark samples for its borders, so that two samples differ; half of the rows are equal and without an id."""
+    rows = spark.range(60_000).select(F.when(F.col("id") < 30_000, F.col("id") * 7 % 30_011).alias("doc_id"), F.when(F.col("id") < 30_000, F.col("id") % 50 + 1).otherwise(3).alias("n"), F.lit(b"").alias("digests"), F.sha2(F.when(F.col("id") < 30_000, F.col("id")).otherwise(0).cast("string"), 256).cast("binary").alias("root"))
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = idstore.in_order(rows.repartition(7)).select("part", "doc_id", "start", "n").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+    got.sort(key=lambda r: r["start"])
+    assert len(got) == 60_000 and [r["start"] for r in got] == [0, *np.cumsum([r["n"] for r in got])[:-1].tolist()]
+    known = [r["doc_id"] for r in got if r["doc_id"] is not None]
+    assert known == sorted(known) and all(r["doc_id"] is None for r in got[30_000:])
+    assert [r["part"] for r in got] == sorted(r["part"] for r in got)
+    assert max(Counter(r["part"] for r in got).values()) < 3 * 60_000 / parts
+
+
 def test_damage_is_found(spark, docs, tmp_path):
     at, unit = f"file://{tmp_path}/store", bpe.codec(tokenizer_path()).unit.str
     idstore.write_store(docs.where("doc_id < 5"), at, tokenizer_path())
