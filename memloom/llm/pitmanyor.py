@@ -6,7 +6,8 @@ unknown word.  A context without training text passes everything on to the root.
 
 Seating is sampled dish by dish: all customers of a dish leave and sit down again one after the other (large dishes in
 batches of a sixteenth), and the new seating is accepted with the Metropolis ratio of the two seatings' weights, which
-makes each step leave the posterior as it is.  All dishes of a sweep move at once given the last sweep's totals, which
+makes each step leave the posterior as it is.  Each dish draws its own random numbers, by its words' names, so scores
+don't depend on tasks or partitions.  All dishes of a sweep move at once given the last sweep's totals, which
 are those of the whole corpus.  A dish with one customer always has one table and needs no sampling.  Predictive
 probabilities are averaged over the kept sweeps.
 
@@ -39,6 +40,7 @@ SHARE = 1 / 2048  # from this share of all tokens on, a word's pairs are spread
 DISCOUNT, STRENGTH = 0.75, 1.0
 SWEEPS, KEPT = 5, 3
 END = np.uint64(0x454E442D4F462D54)  # the end token's hash; words' hashes are 64-bit as well
+TIMES = 1  # tasks a shuffle partition, as a task holds its pairs whole
 OWNERS = 4  # words' totals are light
 BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 30_000
 
@@ -67,7 +69,7 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
 
 def count_words(texts: DataFrame, rest: int, of: int) -> DataFrame:
     """word, n, all, distinct, once, twice: the most frequent words; with a null word, totals of one task."""
-    n = buckets_for(texts.sparkSession)
+    n = buckets_for(texts.sparkSession, TIMES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -100,7 +102,7 @@ def count_words(texts: DataFrame, rest: int, of: int) -> DataFrame:
         none = [0] * len(words)
         yield pa.record_batch([pa.array([*words.tolist(), None], pa.int64()), pa.array([*counts.tolist(), 0], pa.int64()), *(pa.array([*none, int(x)], pa.int64()) for x in (n.sum(), len(n), (n == 1).sum(), (n == 2).sum()))], names=["word", "n", "all", "distinct", "once", "twice"])
 
-    return exchange(texts.mapInArrow(send, "bucket int, data binary")).mapInArrow(meet, "word long, n long, all long, distinct long, once long, twice long")
+    return exchange(texts.mapInArrow(send, "bucket int, data binary"), times=TIMES).mapInArrow(meet, "word long, n long, all long, distinct long, once long, twice long")
 
 
 STATIC, CODES, ASKED, STREAM, PAIRS, FIXED, TABLES, TOTALS, SEATS, WORDS, SUMS, PAIR_ANSWER, WORD_ANSWER = range(13)
@@ -187,7 +189,7 @@ def _before(at: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
 
 def _blocks(texts: DataFrame, often: np.ndarray, rest: int, of: int, stream: bool) -> DataFrame:
     """A block's words (ASKED) and its pairs (PAIRS); with `stream`, its documents (STREAM)."""
-    n = buckets_for(texts.sparkSession)
+    n = buckets_for(texts.sparkSession, TIMES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -245,7 +247,7 @@ def _blocks(texts: DataFrame, often: np.ndarray, rest: int, of: int, stream: boo
 
 def _meet(sent: DataFrame) -> DataFrame:
     """Pairs with several customers (STATIC), what each block's pairs are (CODES), words' counts (FIXED) and first tables (TABLES); the rest as it came."""
-    n = buckets_for(sent.sparkSession)
+    n = buckets_for(sent.sparkSession, TIMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int, int, int, bytes]]:
@@ -285,13 +287,20 @@ def _meet(sent: DataFrame) -> DataFrame:
         yield from _rows(found())
         give_back()
 
-    return exchange(sent, "to").mapInArrow(run, ROW_TEXT)
+    return exchange(sent, "to", TIMES).mapInArrow(run, ROW_TEXT)
 
 
-def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def _uniform(key: np.ndarray, draw: np.ndarray | int) -> np.ndarray:
+    """Numbers in [0, 1) by what is drawn for and the draw's number, the same in whatever task they are drawn."""
+    with np.errstate(over="ignore"):
+        return (mix(key + np.asarray(draw).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 63) >> np.uint64(11)) * 2.0**-53
+
+
+def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tables of dishes whose customers sit down one after the other, and the log weight of what was chosen from.
 
-    fresh: the weight of a new table, (strength + discount * tables) * the parent's probability.
+    fresh: the weight of a new table, (strength + discount * tables) * the parent's probability.  key: of each dish, for
+    its customers' draws.
     """
     tables = (customers > 0).astype(np.float64)
     log_z = np.zeros(len(customers))
@@ -301,7 +310,11 @@ def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.rand
         m = np.minimum(step, customers[own] - k).astype(np.int64)
         z = k - discount * tables[own] + fresh[own]
         p = fresh[own] / z
-        new = rng.binomial(m, p) if step > 1 else rng.random(len(own)) < p
+        if step > 1:
+            who = np.repeat(np.arange(len(own)), m)
+            new = np.bincount(who, weights=_uniform(key[own][who], k + np.arange(len(who)) - (np.cumsum(m) - m)[who]) < p[who], minlength=len(own))
+        else:
+            new = _uniform(key[own], k) < p
         tables[own] = np.minimum(tables[own] + new, customers[own])
         log_z[own] += m * np.log(z)
         k += step
@@ -315,17 +328,25 @@ def _tables(bucket: int, names: np.ndarray, w: np.ndarray, u: np.ndarray, t: np.
         yield TABLES, b, bucket, _blob(names[s], as_context[s], as_dish[s])
 
 
-def seat_pairs(customers: np.ndarray, t: np.ndarray, z: np.ndarray, fresh: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def pair_keys(words: np.ndarray, contexts: np.ndarray, sweep: int) -> np.ndarray:
+    return mix(words ^ mix(contexts, 61), 200 + sweep)
+
+
+def word_keys(words: np.ndarray, sweep: int) -> np.ndarray:
+    return mix(words, 300 + sweep)
+
+
+def seat_pairs(customers: np.ndarray, t: np.ndarray, z: np.ndarray, fresh: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sweep's step over the contexts' dishes: tables and their log weight."""
-    new, new_z = seat(customers, fresh, DISCOUNT, rng)
-    take = np.log(rng.random(len(t))) < new_z - z
+    new, new_z = seat(customers, fresh, DISCOUNT, key)
+    take = np.log(_uniform(key, 0)) < new_z - z
     return np.where(take, new, t), np.where(take, new_z, z)
 
 
-def seat_root(customers: np.ndarray, t: np.ndarray, z: np.ndarray, fresh: float, discount: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+def seat_root(customers: np.ndarray, t: np.ndarray, z: np.ndarray, fresh: float, discount: float, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A sweep's step over the root's dishes."""
-    new, new_z = seat(customers, np.full(len(t), fresh), discount, rng)
-    take = (np.log(rng.random(len(t))) < new_z - z) | (t > customers) | ((t == 0) & (customers > 0))
+    new, new_z = seat(customers, np.full(len(t), fresh), discount, key)
+    take = (np.log(_uniform(key, 0)) < new_z - z) | (t > customers) | ((t == 0) & (customers > 0))
     return np.where(take, new, t), np.where(take, new_z, z)
 
 
@@ -334,7 +355,7 @@ def sample(pair_word: np.ndarray, pair_ctx: np.ndarray, pair_n: np.ndarray, word
 
     Of pairs with training counts: mean tables; of words and kept sweeps: customers and tables at the root; of contexts and kept sweeps: tables, in row 0 the root's, and in a last row the root's customers.
     """
-    rng = np.random.default_rng(seed)
+    words_at, contexts_at = (mix(np.arange(k, dtype=np.uint64), salt + 100 * seed) for k, salt in ((words, 1), (len(context_n), 2)))
     own = np.flatnonzero((pair_ctx > 0) & (pair_n > 0))
     w, u, c = pair_word[own], pair_ctx[own], pair_n[own]
     direct = np.bincount(pair_word[pair_ctx == 0], weights=pair_n[pair_ctx == 0], minlength=words)
@@ -347,9 +368,9 @@ def sample(pair_word: np.ndarray, pair_ctx: np.ndarray, pair_n: np.ndarray, word
         new_at_root = (STRENGTH + root_discount * root_t.sum()) * base
         parent = (root_c - root_discount * root_t + new_at_root) / (STRENGTH + root_c.sum())
         tables = np.bincount(u, weights=t, minlength=len(context_n))
-        t, z = seat_pairs(c, t, z, (STRENGTH + DISCOUNT * tables)[u] * parent[w], rng)
+        t, z = seat_pairs(c, t, z, (STRENGTH + DISCOUNT * tables)[u] * parent[w], pair_keys(words_at[w], contexts_at[u], sweep))
         root_c = direct + np.bincount(w, weights=t, minlength=words)
-        root_t, root_z = seat_root(root_c, root_t, root_z, new_at_root, root_discount, rng)
+        root_t, root_z = seat_root(root_c, root_t, root_z, new_at_root, root_discount, word_keys(words_at, sweep))
         if (k := sweep - (SWEEPS - KEPT)) >= 0:
             mean[own] += t / KEPT
             root[:, :, k] = root_c, root_t
@@ -360,7 +381,7 @@ def sample(pair_word: np.ndarray, pair_ctx: np.ndarray, pair_n: np.ndarray, word
 
 def _seat_contexts(rows: DataFrame, sweep: int, sums: tuple[float, float], base: float, root_discount: float) -> DataFrame:
     """STATIC, TOTALS and SEATS of the last sweep: SEATS and TABLES of this one."""
-    n = buckets_for(rows.sparkSession)
+    n = buckets_for(rows.sparkSession, TIMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int, int, int, bytes]]:
@@ -378,7 +399,7 @@ def _seat_contexts(rows: DataFrame, sweep: int, sums: tuple[float, float], base:
             tables, root = (np.concatenate([totals[b][k] for b in sorted(totals)]).astype(float) for k in range(2))  # words' tasks are ranges of hashes
             t, z, kept = seats if seats is not None else (np.ones(len(w)), np.full(len(w), -np.inf), np.zeros(len(w), np.uint32))
             parent = (root + (STRENGTH + root_discount * sums[0]) * base) / (STRENGTH + sums[1])
-            t, z = seat_pairs(count, t, z, (STRENGTH + DISCOUNT * tables)[u] * parent[w], np.random.default_rng([1, sweep, bucket]))
+            t, z = seat_pairs(count, t, z, (STRENGTH + DISCOUNT * tables)[u] * parent[w], pair_keys(names[w], names[u], sweep))
             if sweep >= SWEEPS - KEPT:
                 kept = kept + t
             yield SEATS, bucket, 0, _blob(t.astype(np.uint32), z, kept.astype(np.uint32))
@@ -387,7 +408,7 @@ def _seat_contexts(rows: DataFrame, sweep: int, sums: tuple[float, float], base:
         yield from _rows(found())
         give_back()
 
-    return exchange(rows, "to").mapInArrow(run, ROW_TEXT)
+    return exchange(rows, "to", TIMES).mapInArrow(run, ROW_TEXT)
 
 
 def _seat_words(rows: DataFrame, sweep: int, sums: tuple[float, float], base: float, root_discount: float) -> DataFrame:
@@ -424,7 +445,7 @@ def _seat_words(rows: DataFrame, sweep: int, sums: tuple[float, float], base: fl
             if state is None:
                 root_t, root_z = (root_c > 0).astype(float), np.full(len(h), -np.inf)
             else:
-                root_t, root_z = seat_root(root_c, root_t, root_z, (STRENGTH + root_discount * sums[0]) * base, root_discount, np.random.default_rng([2, sweep, bucket]))
+                root_t, root_z = seat_root(root_c, root_t, root_z, (STRENGTH + root_discount * sums[0]) * base, root_discount, word_keys(h, sweep))
             if (k := sweep - (SWEEPS - KEPT)) >= 0:
                 for x, now in zip(kept, (here, root_c, root_t), strict=True):
                     x[:, k] = now
@@ -437,7 +458,7 @@ def _seat_words(rows: DataFrame, sweep: int, sums: tuple[float, float], base: fl
         yield from _rows(found())
         give_back()
 
-    return exchange(rows, "to").mapInArrow(run, ROW_TEXT)
+    return exchange(rows, "to", TIMES).mapInArrow(run, ROW_TEXT)
 
 
 def _sums(state: DataFrame) -> tuple[float, float]:
@@ -501,7 +522,7 @@ def _answers(rows: DataFrame) -> DataFrame:
         yield from _rows(found())
         give_back()
 
-    return exchange(rows, "to").mapInArrow(run, ROW_TEXT)
+    return exchange(rows, "to", TIMES).mapInArrow(run, ROW_TEXT)
 
 
 def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -509,7 +530,7 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
 
     Texts whose crc32(id as text) modulo `of` is not `rest` teach; all are scored (log10 of the text's probability).
     """
-    n = buckets_for(docs.sparkSession)
+    n = buckets_for(docs.sparkSession, TIMES)
     texts = texts_of(docs, id_col, text_col)
     counted = cut(count_words(texts, rest, of), "words")
     total = counted.where("word is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all", "distinct", "once", "twice")]).first()
@@ -577,4 +598,4 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
             yield pa.record_batch([pa.array(ids, mask=null), pa.array(out), pa.array(size), pa.array(known), pa.array(np.full(len(ids), n_all)), pa.array(plain), pa.array(value), pa.array(10 ** (-value / size))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
         give_back()
 
-    return exchange(_blocks(texts, often, rest, of, True).union(answers), "to").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return exchange(_blocks(texts, often, rest, of, True).union(answers), "to", TIMES).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
