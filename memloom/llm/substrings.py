@@ -16,9 +16,10 @@ Equal symbols of one task are merged before each exchange, so a passage that hal
 a task.  Exact copies of a whole text are found beforehand and need no windows.
 
 Defined cases: a null or blank text has no words and nothing to remove; a document with fewer words than a window
-keeps them all; an id names one text, and rows that repeat it share its place in the order and don't remove each
-other's words; rows with a null id are texts of their own that come last and don't remove each other's words, only those
-that they repeat of themselves or of texts with an id; an empty table gives an empty result.
+keeps them all; rows that repeat an id share its place in the order, so that only the start decides between them, equal
+rows don't remove each other's words, and different texts have verdicts of their own; rows with a null id are texts of
+their own that come last and don't remove each other's words, only those that they repeat of themselves or of texts with
+an id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,71 +137,76 @@ def _least(name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         table, size = np.minimum(table[:-size], table[size:]), 2 * size
 
 
-def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order by keys (the first most significant), and in it whether each row starts a new group of all but the last two keys."""
-    order = np.lexsort(keys[::-1])
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = False
-    for k in keys[:-2]:
-        fresh[1:] |= k[order][1:] != k[order][:-1]
-    return order, fresh
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
-def _later(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray, border: int) -> tuple[np.ndarray, ...]:
-    """The windows in order, and which of them go: those whose words start earlier; documents beyond `border` don't see each other."""
-    order, fresh = _first_of(h, g, doc, at)
-    h, g, doc, at = h[order], g[order], doc[order], at[order]
+def _later(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray, sub: np.ndarray, border: int) -> tuple[np.ndarray, ...]:
+    """The windows in order, which of them go (those whose words start earlier), and which to ask about elsewhere.
+
+    Documents beyond `border` don't see each other.
+    """
+    order = np.lexsort((sub, at, doc, g, h))
+    h, g, doc, at, sub = h[order], g[order], doc[order], at[order], sub[order]
+    fresh = _changes(h, g)
     head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-    enters = fresh.copy()
-    enters[1:] |= doc[1:] != doc[:-1]
+    enters = fresh | _changes(doc)
     later = ((doc != doc[head]) | (at != at[head])) & ~(enters & (doc[head] > border))
-    return h, g, doc, at, later, fresh | (enters & ~later)
+    return h, g, doc, at, sub, later, ~later & (fresh | _changes(doc, at, sub))
 
 
 def _per_document(replies: DataFrame, columns: tuple) -> DataFrame:
-    """doc_id, spots: the replies to each document, as one packed value."""
+    """doc_id, sub, spots: the replies to each document, as one packed value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [unpack(x, np.int64, *columns) for b in batches for x in b.column(1).to_pylist()]
+        parts = [unpack(x, np.int64, np.uint32, *columns) for b in batches for x in b.column(1).to_pylist()]
         if not parts:
             return
-        doc, *cols = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(doc, kind="stable")
-        doc, cols = doc[order], [c[order] for c in cols]
-        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        doc, sub, *cols = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((sub, doc))
+        doc, sub, cols = doc[order], sub[order], [c[order] for c in cols]
+        at = np.flatnonzero(_changes(doc, sub))
         ends = np.append(at[1:], len(doc))
         for i in range(0, len(at), 4096):
             spots = [np.int64(e - s).tobytes() + b"".join(c[s:e].tobytes() for c in cols) for s, e in zip(at[i : i + 4096], ends[i : i + 4096], strict=True)]
-            yield pa.record_batch([pa.array(doc[at[i : i + 4096]]), pa.array(spots, pa.binary())], names=["doc_id", "spots"])
+            own = at[i : i + 4096]
+            yield pa.record_batch([pa.array(doc[own]), pa.array(sub[own].astype(np.int64)), pa.array(spots, pa.binary())], names=["doc_id", "sub", "spots"])
 
-    return exchange(replies).mapInArrow(run, "doc_id long, spots binary")
+    return exchange(replies).mapInArrow(run, "doc_id long, sub long, spots binary")
 
 
-def _by_document(doc: np.ndarray, n: int) -> np.ndarray:
-    return (mix(doc.view(np.uint64), 51) % np.uint64(n)).astype(np.int64)
+def _by_document(doc: np.ndarray, sub: np.ndarray, n: int) -> np.ndarray:
+    return (mix(doc.view(np.uint64) ^ mix(sub, 52), 51) % np.uint64(n)).astype(np.int64)
 
 
 def _repeated_symbols(texts: DataFrame, n: int, window: int) -> DataFrame:
-    """doc_id, spots (first window, number of windows) under symbols that occur more than once."""
+    """doc_id, sub, spots (first window, number of windows) under symbols that occur more than once."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list) -> Iterator[tuple[int, bytes]]:
-            key, doc, at, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order, fresh = _first_of(key, doc, at)
-            key, doc, at, size = key[order], doc[order], at[order], size[order]
-            often = np.repeat(np.diff(np.append(np.flatnonzero(fresh), len(key))) > 1, np.diff(np.append(np.flatnonzero(fresh), len(key))))
+            key, doc, at, sub, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((sub, at, doc, key))
+            key, doc, at, sub, size = key[order], doc[order], at[order], sub[order], size[order]
+            fresh = _changes(key)
+            count = np.diff(np.append(np.flatnonzero(fresh), len(key)))
+            often = np.repeat(count > 1, count)
             # a symbol repeated here is announced once, without windows; its windows need no answer
-            yield from pack((key[fresh] % np.uint64(n)).astype(np.int64), n, key[fresh], doc[fresh], at[fresh], np.where(often, 0, size)[fresh].astype(np.uint16))
-            yield from ((n + b, x) for b, x in pack(_by_document(doc[often], n), n, doc[often], at[often], size[often].astype(np.uint16)))
+            yield from pack((key[fresh] % np.uint64(n)).astype(np.int64), n, key[fresh], doc[fresh], at[fresh], sub[fresh], np.where(often, 0, size)[fresh].astype(np.uint16))
+            yield from ((n + b, x) for b, x in pack(_by_document(doc[often], sub[often], n), n, doc[often], sub[often], at[often], size[often].astype(np.uint16)))
 
         def pairs() -> Iterator[tuple[int, bytes]]:
             parts, held = [], 0
             for b in batches:
-                ids = np.asarray(b.column(0), np.int64)
+                ids, subs = np.asarray(b.column(0), np.int64), np.asarray(b.column(2), np.int64).astype(np.uint32)
                 for i, block in word_blocks(b.column(1)):
                     row = block.row
                     key, start, size = pick(block.hashes(), row, block.first, window)
-                    parts.append((key, ids[i + row[start]], (start - block.first[row[start]]).astype(np.int32), size))
+                    parts.append((key, ids[i + row[start]], (start - block.first[row[start]]).astype(np.int32), subs[i + row[start]], size))
                     held += len(key)
                     if held > FLUSH:
                         yield from flush(parts)
@@ -218,14 +224,14 @@ def _repeated_symbols(texts: DataFrame, n: int, window: int) -> DataFrame:
                     if k >= n:
                         yield k - n, x
                     else:
-                        parts.append(unpack(x, np.uint64, np.int64, np.int32, np.uint16))
+                        parts.append(unpack(x, np.uint64, np.int64, np.int32, np.uint32, np.uint16))
             if parts:
-                key, doc, at, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-                order, fresh = _first_of(key, doc, at)
-                group = np.cumsum(fresh) - 1
+                key, doc, at, sub, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+                order = np.lexsort((sub, at, doc, key))
+                group = np.cumsum(_changes(key[order])) - 1
                 known = np.bincount(group, weights=np.where(size[order] == 0, 2, 1)) > 1
                 own = order[known[group] & (size[order] > 0)]
-                yield from pack(_by_document(doc[own], n), n, doc[own], at[own], size[own])
+                yield from pack(_by_document(doc[own], sub[own], n), n, doc[own], sub[own], at[own], size[own])
 
         yield from packed_batches(pairs())
 
@@ -234,36 +240,34 @@ def _repeated_symbols(texts: DataFrame, n: int, window: int) -> DataFrame:
 
 
 def _later_windows(rows: DataFrame, n: int, window: int, border: int) -> DataFrame:
-    """rows: doc_id, text, spots. doc_id, spots (window starts) whose words also start earlier."""
+    """rows: doc_id, text, sub, spots. doc_id, sub, spots (window starts) whose words also start earlier."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list) -> Iterator[tuple[int, bytes]]:
-            h, g, doc, at, later, asks = _later(*(np.concatenate(c) for c in zip(*parts, strict=True)), border)
+            h, g, doc, at, sub, later, asks = _later(*(np.concatenate(c) for c in zip(*parts, strict=True)), border)
             own = np.flatnonzero(asks)
-            own = own[np.lexsort((at[own], doc[own]))]
-            yield from pack((h[own] % np.uint64(n)).astype(np.int64), n, h[own], g[own], doc[own], at[own])
+            own = own[np.lexsort((at[own], sub[own], doc[own]))]
+            yield from pack((h[own] % np.uint64(n)).astype(np.int64), n, h[own], g[own], doc[own], at[own], sub[own])
             own = np.flatnonzero(later)
-            own = own[np.lexsort((at[own], doc[own]))]
-            yield from ((n + b, x) for b, x in pack(_by_document(doc[own], n), n, doc[own], at[own]))
+            own = own[np.lexsort((at[own], sub[own], doc[own]))]
+            yield from ((n + b, x) for b, x in pack(_by_document(doc[own], sub[own], n), n, doc[own], sub[own], at[own]))
 
         def pairs() -> Iterator[tuple[int, bytes]]:
             parts, held = [], 0
             for b in batches:
-                ids, spots = np.asarray(b.column(0), np.int64), b.column(2).to_pylist()
+                ids, subs, spots = np.asarray(b.column(0), np.int64), np.asarray(b.column(2), np.int64).astype(np.uint32), b.column(3).to_pylist()
                 for i, block in word_blocks(b.column(1)):
                     words = block.hashes()
                     total, second = running_sequence(words, 43), running_sequence(words, 47)
-                    starts, docs = [], []
+                    starts, names = [], []
                     for k in range(block.rows):
                         at, size = unpack(spots[i + k], np.int32, np.uint16)
                         size = size.astype(np.int64)
                         own = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                        own = own[own + window <= block.counts[k]]  # another row of this id may be shorter
                         starts.append(own + block.first[k])
-                        docs.append(np.full(len(own), ids[i + k]))
-                    p, doc = np.concatenate(starts), np.concatenate(docs)
-                    row = np.repeat(np.arange(block.rows), [len(x) for x in starts])
-                    parts.append((span_hash(total, p, p + window), span_hash(second, p, p + window).astype(np.uint32), doc, (p - block.first[row]).astype(np.int32)))
+                        names.append(np.full(len(own), i + k))
+                    p, row = np.concatenate(starts), np.concatenate(names)
+                    parts.append((span_hash(total, p, p + window), span_hash(second, p, p + window).astype(np.uint32), ids[row], (p - block.first[row - i]).astype(np.int32), subs[row]))
                     held += len(p)
                     if held > FLUSH:
                         yield from flush(parts)
@@ -281,12 +285,12 @@ def _later_windows(rows: DataFrame, n: int, window: int, border: int) -> DataFra
                     if k >= n:
                         yield k - n, x
                     else:
-                        parts.append(unpack(x, np.uint64, np.uint32, np.int64, np.int32))
+                        parts.append(unpack(x, np.uint64, np.uint32, np.int64, np.int32, np.uint32))
             if parts:
-                _, _, doc, at, later, _ = _later(*(np.concatenate(c) for c in zip(*parts, strict=True)), border)
+                _, _, doc, at, sub, later, _ = _later(*(np.concatenate(c) for c in zip(*parts, strict=True)), border)
                 own = np.flatnonzero(later)
-                own = own[np.lexsort((at[own], doc[own]))]
-                yield from pack(_by_document(doc[own], n), n, doc[own], at[own])
+                own = own[np.lexsort((at[own], sub[own], doc[own]))]
+                yield from pack(_by_document(doc[own], sub[own], n), n, doc[own], sub[own], at[own])
 
         yield from packed_batches(pairs())
 
@@ -295,10 +299,10 @@ def _later_windows(rows: DataFrame, n: int, window: int, border: int) -> DataFra
 
 
 def _copies(texts: DataFrame, border: int) -> DataFrame:
-    """doc_id of every text that a smaller id, up to `border`, has as well."""
-    named = texts.where("text is not null").select("doc_id", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.length("text").alias("c"))
+    """doc_id and sub of every text that a smaller id, up to `border`, has as well."""
+    named = texts.where("text is not null").select("doc_id", "sub", F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b"), F.length("text").alias("c"))
     first = cut(named.groupBy("a", "b", "c").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("first") <= border)).drop("n"), "copies")
-    return named.join(first, ["a", "b", "c"]).where("doc_id > first").select("doc_id").distinct()
+    return named.join(first, ["a", "b", "c"]).where("doc_id > first").select("doc_id", "sub").distinct()
 
 
 def _keyed(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -328,11 +332,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     n = buckets_for(spark)
     own = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
     rows, border = _keyed(texts_of(docs, id_col, text_col, *own))
-    texts = rows.select("doc_id", "text")
+    # texts under one id are told apart by 32 bits of their hash
+    rows = rows.withColumn("sub", F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(0xFFFFFFFF))
+    texts, key = rows.select("doc_id", "text", "sub"), ["doc_id", "sub"]
     copies = cut(_copies(texts, border), "copies")
-    spots = cut(_repeated_symbols(texts, n, window).join(copies, "doc_id", "left_anti"), "symbols")
-    later = cut(_later_windows(texts.join(spots, "doc_id"), n, window, border), "windows")
-    marks = later.select("doc_id", "spots", F.lit(False).alias("copy")).union(copies.select("doc_id", F.lit(None).cast("binary"), F.lit(True)))
+    spots = cut(_repeated_symbols(texts, n, window).join(copies, key, "left_anti"), "symbols")
+    later = cut(_later_windows(texts.join(spots, key).select("doc_id", "text", "sub", "spots"), n, window, border), "windows")
+    marks = later.select(*key, "spots", F.lit(False).alias("copy")).union(copies.select(*key, F.lit(None).cast("binary"), F.lit(True)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -346,7 +352,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                         left = []
                     elif spots:
                         (at,) = unpack(spots, np.int32)
-                        at = at[at + window <= len(words)]
                         cover = np.zeros(len(words) + 1, np.int64)
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + window, -1)
@@ -356,8 +361,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                     kept.append(text if unchanged and text and len(left) == len(words) else b" ".join(left).decode())
                 yield pa.record_batch([part.column(0), *part.columns[2:-2], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", *part.schema.names[2:-2], "n_words", "n_removed", "kept_text"])
 
-    joined = rows.join(marks, "doc_id", "left")
-    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[2:])
+    joined = rows.join(marks, key, "left").select(*rows.drop("sub").columns, "spots", "copy")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in joined.schema[2:-2])
     out = joined.mapInArrow(finish, f"doc_id long{more}, n_words long, n_removed long, kept_text string")
     named = [F.col(f"_{i}").alias(c) for i, c in enumerate(keep)]
     return out.select(F.when(F.col("doc_id") <= border, F.col("doc_id")).alias("doc_id"), *named, "n_words", "n_removed", "kept_text")

@@ -181,3 +181,14 @@ def test_substrings_null_ids(spark):
     both = spark.createDataFrame([(1, passage), (2, text[2] + " " + passage), (2, text[3]), (1 << 62, text[0]), (-5, text[0])], "doc_id long, text string")
     got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(both).collect())
     assert got == Counter([(1, 30, 0), (2, 330, 30), (2, 25, 0), (1 << 62, 60, 60), (-5, 60, 0)])
+
+
+@pytest.mark.parametrize("parts", (1, 5))
+def test_substrings_of_repeated_ids(spark, parts):
+    """Texts under one id have verdicts of their own, and only the start decides between them."""
+    rng = random.Random(9)
+    text = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(n)) for n in (60, 45, 80, 30)]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (2, text[1]), (3, text[2] + " " + text[3]), (3, text[3]), (3, text[2]), (4, text[1] + " " + text[2]), (4, text[0] + " tail")]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect())
+    # of document 3's two places of text[3], the earlier start is in the text that has nothing else
+    assert got == Counter([(1, 60, 0), (2, 60, 60), (2, 45, 0), (2, 45, 0), (3, 110, 30), (3, 30, 0), (3, 80, 0), (4, 125, 125), (4, 61, 60)])
