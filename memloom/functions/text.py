@@ -89,7 +89,7 @@ def extension(path: Column) -> Column:
 def segmented(text: Column) -> Column:
     """Runs of Chinese characters as overlapping pairs between blanks (an approximation of dictionary segmentation)."""
     pairs = F.regexp_replace(F.regexp_replace(text, f"({CJK}+)", " $1 "), f"({CJK})(?=({CJK}))", "$1$2\u0001 ")
-    return F.regexp_replace(F.regexp_replace(pairs, f"\u0001 {CJK}(?!{CJK})", ""), "\u0001", "")
+    return F.when(text.rlike(CJK), F.regexp_replace(F.regexp_replace(pairs, f"\u0001 {CJK}(?!{CJK})", ""), "\u0001", "")).otherwise(text)
 
 
 def folded(text: Column) -> Column:
@@ -98,7 +98,9 @@ def folded(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The index's tokens in order: runs of letters and digits, without case or single diacritics."""
-    return F.regexp_extract_all(folded(segmented(text)), F.lit("[\\p{L}\\p{N}\\p{Co}]+"), 0)
+    every = F.regexp_extract_all(folded(segmented(text)), F.lit("[\\p{L}\\p{N}\\p{Co}]+"), 0)
+    # most texts have nothing to fold or segment
+    return F.when(text.rlike("[^\\x00-\\x7F]"), every).otherwise(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0))
 
 
 def query_tokens(query: Column) -> Column:

@@ -128,13 +128,15 @@ class Store:
             fresh = chunked(plan.where("action = 'index'"), self.chunk_size).withColumn("updated_at", F.lit(now).cast("long"))
             fresh.dropDuplicates(["id"]).write.parquet(fresh_at)
             fresh = self.spark.read.parquet(fresh_at)
+            ix.indexed(fresh).write.parquet(f"{work}-index")
+            made = self.spark.read.parquet(f"{work}-index")
             rest = sy.without(chunks, changed, "path", "source")
             others = files.where(F.col("source") != source)
             self.commit({
                 "files": others.unionByName(sy.next_files(plan)),
                 "chunks": rest.unionByName(fresh.select(*rest.columns)),
-                "postings": sy.without(self.table("postings"), gone, "id").unionByName(ix.postings(fresh)),
-                "doc_stats": sy.without(self.table("doc_stats"), gone, "id").unionByName(ix.doc_stats(fresh)),
+                "postings": sy.without(self.table("postings"), gone, "id").unionByName(ix.postings_of(made)),
+                "doc_stats": sy.without(self.table("doc_stats"), gone, "id").unionByName(ix.lengths_of(made)),
             })
         return {k: int(v or 0) for k, v in done.items()}
 

@@ -158,7 +158,7 @@ def session_documents(spark, sf_dir):
 
 @query(f"WITH {LINES}, {bm25_sql('line_chunks', '(SELECT 0 AS query_id, 1 AS query WHERE false)').split('tot AS')[0].rstrip().rstrip(',')} SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(f) AS BIGINT) AS cf FROM tf GROUP BY term")
 def postings_df(spark, sf_dir):
-    return ix.term_stats(ix.postings(line_chunks(spark, sf_dir)))
+    return ix.term_counts(line_chunks(spark, sf_dir))
 
 
 @query(f"WITH {LINES}, {ONE}, {bm25_sql('line_chunks', 'one')} SELECT path, start_line, end_line, round(rank, 6) AS score FROM ranked JOIN line_chunks USING (id) ORDER BY rank DESC, path, start_line, id LIMIT 10")

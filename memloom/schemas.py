@@ -2,7 +2,7 @@
 
 FILES = "path string, source string, hash string, mtime_ms double, size long"
 CHUNKS = "id string, path string, source string, start_line int, end_line int, hash string, text string, updated_at long"
-POSTINGS = "id string, term string, positions array<int>"
+POSTINGS = "id string, term string, positions array<int>, dl int"
 DOC_STATS = "id string, dl int"
 VECTORS = "id string, embedding array<float>"
 CACHE = "hash string, embedding array<float>, updated_at long"
@@ -10,4 +10,4 @@ ACCESS = "path string, start_line int, accessed_at long"
 #: What a scan of sources hands to `sync`: text is null where a file could not be read.
 LISTING = "path string, source string, mtime_ms double, size long, text string"
 TABLES = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "doc_stats": DOC_STATS, "vectors": VECTORS, "cache": CACHE, "access": ACCESS}
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2

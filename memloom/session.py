@@ -1,11 +1,11 @@
-"""What a session needs so that its Python workers find this package."""
+"""What a session needs so that its Python workers find this package, and rows spread over its cores."""
 
 from __future__ import annotations
 
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HERE = str(Path(__file__).resolve().parents[1])
 
@@ -16,3 +16,15 @@ def make_importable(spark: SparkSession) -> None:
     have = env.get("PYTHONPATH", "")
     if HERE not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (HERE, have) if x)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt to all cores where Spark's own splits would be fewer than these; larger tables stay where they are.
+
+    A file's row groups aren't split, so a table of one small file would be one task's work.  The border is Spark's own
+    least split (`spark.sql.files.openCostInBytes`) a core, so this never moves more than that.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else rows
