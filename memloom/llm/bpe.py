@@ -102,29 +102,37 @@ class Codec:
         return [flat[s:e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
     def _forget(self) -> None:
-        self.names, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.runs: list[tuple[np.ndarray, ...]] = []
         self.pool = np.zeros(0, self.unit)
 
+    def _remember(self, *new: np.ndarray) -> None:
+        """Adds names, checks, places and sizes. Runs are sorted by name, and each is over twice as long as the next."""
+        order = np.argsort(new[0], kind="stable")
+        self.runs.append(tuple(x[order] for x in new))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) <= 2 * len(self.runs[-1][0]):
+            last, before = self.runs.pop(), self.runs.pop()
+            order = np.argsort(np.concatenate([before[0], last[0]]), kind="stable")
+            self.runs.append(tuple(np.concatenate([a, b])[order] for a, b in zip(before, last, strict=True)))
+
     def _find(self, pieces: pa.Array, usual: bool) -> tuple[np.ndarray, np.ndarray]:
         """Where in the pool each piece's ids are, and how many. A piece is known by 128 bits of hash; new ones are encoded."""
-        if len(self.names) > MEMORY_PIECES:
+        if sum(len(r[0]) for r in self.runs) > MEMORY_PIECES:
             self._forget()
         buf, off = utf8_column(pieces)
         name, check = (span_hash(running_hash(x), off[:-1], off[1:]) for x in (buf, buf ^ np.uint8(0x5A)))
-        spot = np.searchsorted(self.names, name)
-        near = np.minimum(spot, max(0, len(self.names) - 1))
-        known = (self.names[near] == name) & (self.checks[near] == check) if len(self.names) else np.zeros(len(name), bool)
         at, size = np.zeros(len(name), np.int64), np.zeros(len(name), np.int64)
-        at[known], size[known] = self.at[near[known]], self.size[near[known]]
-        new = np.flatnonzero(~known)
+        new = np.argsort(name)  # in order, so that looking up walks each run once
+        for names, checks, places, sizes in self.runs:
+            near = np.minimum(np.searchsorted(names, name[new]), len(names) - 1)
+            known = (names[near] == name[new]) & (checks[near] == check[new])
+            at[new[known]], size[new[known]] = places[near[known]], sizes[near[known]]
+            new = new[~known]
         if len(new):
+            new.sort()
             ids, where, n = self._encode_pieces(pieces.take(pa.array(new)).to_pylist(), usual)
             at[new], size[new] = len(self.pool) + where, n
             self.pool = np.concatenate([self.pool, ids])
-            new = new[np.argsort(name[new], kind="stable")]
-            self.checks, self.at, self.size = (np.insert(have, spot[new], x[new]) for have, x in ((self.checks, check), (self.at, at), (self.size, size)))
-            self.names = np.insert(self.names, spot[new], name[new])
+            self._remember(name[new], check[new], at[new].astype(np.uint32), n.astype(np.int32))
         return at, size
 
     def _encode_pieces(self, pieces: list[bytes], usual: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

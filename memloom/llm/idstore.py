@@ -16,6 +16,7 @@ given by their content; a null id sorts last; an empty table gives an empty stor
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -36,24 +37,37 @@ END_ID = 2
 DIGEST = 32
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Chunk ends. The hash at i covers ids i - WINDOW + 1 .. i of this stream alone."""
+@functools.cache
+def _codes(size: int) -> np.ndarray:
+    return mix(np.arange(size, dtype=np.uint64), 31)
+
+
+def cut_points(ids: np.ndarray, edges: np.ndarray) -> list[list[int]]:
+    """Chunk ends of each stream ids[edges[k]:edges[k + 1]], counted from its start.
+
+    The hash at i covers the last `WINDOW` ids.  Nearer than that to its start a stream has no cut, as chunks are
+    longer, so what stands before it doesn't matter.
+    """
     n = len(ids)
-    if n <= LEAST:
-        return [n]
+    h = np.zeros(n, np.uint64)
+    code = _codes(1 << max(16, int(ids.max(initial=0)).bit_length()))[ids]
     with np.errstate(over="ignore"):
-        code, h = mix(ids.astype(np.uint64), 31), np.zeros(n, np.uint64)
-        for k in range(WINDOW):
+        for k in range(min(WINDOW, n)):
             h[k:] += code[: n - k] << np.uint64(5 * k)
     wanted = np.flatnonzero(mix(h, 32) % np.uint64(AVERAGE) == 0) + 1
+    at = np.searchsorted(wanted, edges, "right")
+    return [_ends((wanted[i:j] - a).tolist(), b - a) for i, j, a, b in zip(at[:-1].tolist(), at[1:].tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _ends(wanted: list[int], n: int) -> list[int]:
+    """Cuts at the wanted places that leave chunks of `LEAST` to `MOST` ids, the last chunk being what remains."""
     ends, last = [], 0
-    for e in [*wanted.tolist(), n]:
+    for e in [*wanted, n]:
         while e - last > MOST:
             last += MOST
             ends.append(last)
-        if e == n or e - last >= LEAST:
-            if e > last:
-                ends.append(e)
+        if e > last and (e == n or e - last >= LEAST):
+            ends.append(e)
             last = e
     return ends
 
@@ -82,19 +96,21 @@ def write_store(docs: DataFrame, at: str, path: str, end_id: int | None = END_ID
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
                 rows = []
-                for name, ids in zip(b.column(0).slice(i, ROWS).to_pylist(), c.encode_column(b.column(1).slice(i, ROWS)), strict=True):
-                    if end_id is not None:
-                        ids = np.append(ids, c.unit.type(end_id))
+                streams = c.encode_column(b.column(1).slice(i, ROWS))
+                own = [] if end_id is None else [np.array([end_id], c.unit)]
+                flat = np.concatenate([x for s in streams for x in (s, *own)] or [np.zeros(0, c.unit)])
+                edges = np.concatenate([[0], np.cumsum([len(s) + len(own) for s in streams])]).astype(np.int64)
+                for name, start, n, ends in zip(b.column(0).slice(i, ROWS).to_pylist(), edges[:-1].tolist(), np.diff(edges).tolist(), cut_points(flat, edges), strict=True):
                     last, recipe = 0, []
-                    for e in cut_points(ids):
-                        data = ids[last:e].tobytes()
+                    for e in ends:
+                        data = flat[start + last : start + e].tobytes()
                         recipe.append(d := hashlib.sha256(data).digest())
                         if d not in sent:
                             sent.add(d)
                             rows.append(("chunk", d, data, e - last, None, None, None))
                         last = e
                     digests = b"".join(recipe)
-                    rows.append(("recipe", None, None, len(ids), name, digests, merkle(digests)))
+                    rows.append(("recipe", None, None, n, name, digests, merkle(digests)))
                 if len(sent) > 200_000:
                     sent.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

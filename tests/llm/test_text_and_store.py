@@ -140,7 +140,8 @@ def test_damage_is_found(spark, docs, tmp_path):
 @settings(max_examples=30, deadline=None)
 def test_chunks_follow_content(prefix, body):
     ids = np.array(prefix + body, np.uint16)
-    ends = idstore.cut_points(ids)
-    assert ends[-1] == len(ids) and all(b - a <= idstore.MOST for a, b in zip([0, *ends], ends))
+    ends, alone = idstore.cut_points(np.concatenate([ids, ids[:70], ids]), np.array([0, len(ids), len(ids) + 70, 2 * len(ids) + 70]))[::2]
+    assert ends == alone == idstore.cut_points(ids, np.array([0, len(ids)]))[0]
+    assert ends[-1] == len(ids) and all(a < b <= a + idstore.MOST for a, b in zip([0, *ends], ends)) and all(b - a >= idstore.LEAST for a, b in zip([0, *ends], ends[:-1]))
     a, b = b"spark", bytes(3000)
     assert idstore.crc_join(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
