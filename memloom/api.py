@@ -29,9 +29,11 @@ class Memory:
     def sync(self, force: bool = False, sources: tuple[str, ...] = ("memory", "sessions")) -> dict[str, dict]:
         c, done = self.config, {}
         if "memory" in sources:
-            done["memory"] = self.store.sync(fi.listing(self.spark, fi.list_files(c.workspace, c.extra_dirs)[0]), "memory", force)
+            known = {} if force else self.store.stats("memory")
+            done["memory"] = self.store.sync(fi.listing(self.spark, fi.list_files(c.workspace, c.extra_dirs)[0], known=known), "memory", force)
         if "sessions" in sources and c.session_dirs:
-            done["sessions"] = self.store.sync(ss.listing(self.spark, ss.list_sessions(c.session_dirs, c.session_days, c.session_max)), "sessions", force)
+            known = {} if force else self.store.stats("sessions")
+            done["sessions"] = self.store.sync(ss.listing(self.spark, ss.list_sessions(c.session_dirs, c.session_days, c.session_max), known), "sessions", force)
         if self.embed_fn is not None:
             self.store.backfill(self.embed_fn)
         self.synced |= dict.fromkeys(sources, time.time())

@@ -1,4 +1,4 @@
-"""python -m memloom.cli search QUERY | status: JSON to standard output."""
+"""python -m memloom.cli search QUERY | status | config show|set|profiles|drop: JSON to standard output."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import argparse
 import json
 import sys
 
-from memloom.config import load_config, with_overrides
+from memloom.config import as_dict, drop_profile, list_profiles, load_config, set_value, with_overrides
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,11 +23,43 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("--after")
     search.add_argument("--before")
     sub.add_parser("status")
+    config = sub.add_parser("config").add_subparsers(dest="action", required=True)
+    config.add_parser("show")
+    config.add_parser("profiles")
+    one = config.add_parser("set")
+    one.add_argument("key")
+    one.add_argument("value", help="JSON, or else a text")
+    config.add_parser("drop").add_argument("name")
     return p
 
 
+def _configure(a: argparse.Namespace) -> int:
+    """Settings need no session."""
+    try:
+        if a.action == "set":
+            try:
+                value = json.loads(a.value)
+            except ValueError:
+                value = a.value
+            set_value(a.config, a.key, value, a.profile)
+            out = {"key": a.key, "value": value}
+        elif a.action == "drop":
+            out = {"dropped": drop_profile(a.config, a.name)}
+        elif a.action == "profiles":
+            out = {"profiles": list_profiles(a.config)}
+        else:
+            out = as_dict(load_config(a.config, a.profile))
+    except (KeyError, ValueError) as e:
+        print(json.dumps({"error": str(e)}))
+        return 1
+    print(json.dumps(out, indent=2, ensure_ascii=False))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
+    if a.command == "config":
+        return _configure(a)
     names = ("workspace", "store", "max_results", "min_score", "token_max", "fts_weight", "chunk_size")
     config = with_overrides(load_config(a.config, a.profile), **{n: getattr(a, n) for n in names})
     from pyspark.sql import SparkSession

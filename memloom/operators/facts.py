@@ -17,7 +17,7 @@ from memloom.sources.files import EXTENSIONS
 
 # The patterns of entries and references, and the limits of the duplicate test.
 ENTRY = re.compile(f"- (.+?)(?:[{WS}]+\\[ref:.*?\\])?(?:[{WS}]+_\\(source:.*?\\)_)?(?:[{WS}]+—[{WS}]+[0-9]{{4}}.*)?")
-REF = re.compile(r"\[ref:([^\]\n]*)\]")
+REF = re.compile(r"\[ref:(memory/evidence/[^\]\n]+)\]")
 BLANKS = re.compile(f"[{WS}]+")
 NOT_WORD = re.compile(f"[^a-z0-9一-鿿{WS}-]")
 SAME_SCORE, SAME_WORDS, LEAST_WORDS = 0.6, 0.5, 2
@@ -96,9 +96,10 @@ class Facts:
         return f"memory/evidence/{name}.md"
 
     def _drop_evidence(self, line: str) -> None:
+        """Removes the evidence file of an entry; what else a reference may name is the user's own."""
         if m := REF.search(line):
             place = os.path.realpath(os.path.join(self.workspace, m[1].strip()))
-            if place.startswith(os.path.realpath(os.path.join(self.workspace, "memory")) + os.sep) and os.path.isfile(place):
+            if place.startswith(os.path.realpath(os.path.join(self.workspace, "memory", "evidence")) + os.sep) and os.path.isfile(place):
                 os.remove(place)
 
     def similar(self, fact: str) -> dict | None:

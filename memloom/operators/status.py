@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# From where on to warn, how many duplicates to show, and the wording of the warnings.
+# From where on to warn, and how many duplicates to show.
 MANY_FILES, MANY_CHUNKS, SHOWN = 50, 500, 5
-MANY_FILES_TEXT = "High file count ({}). Consider consolidating related memories."
-DUPLICATES_TEXT = "Found {} chunk(s) with duplicate content across files: {}"
-LARGE_FILES_TEXT = "Large files: {}. Consider splitting."
+MANY_FILES_TEXT = "{} files are indexed; fewer, larger ones are easier to keep in order."
+DUPLICATES_TEXT = "The same content is in several files ({} shown): {}"
+LARGE_FILES_TEXT = "Many chunks in one file: {}. Smaller files are found more precisely."
 
 
 def counts(files: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:

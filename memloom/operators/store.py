@@ -1,16 +1,23 @@
-"""The store: Parquet tables in versioned folders and one pointer file.
+"""The store: Parquet tables in versioned folders and a log of versions.
 
-A commit writes the changed tables beside the old ones and then swaps the pointer, so readers see either all of it or
-none.  The pointer also holds the schema version and chunk size; a store made with others is rebuilt from the sources,
-which keeps only the embedding cache.
+A commit writes the changed tables beside the old ones and then adds one file to the log, `log/<version>`, which names
+the folders of all tables.  The file is complete before it gets that name, and the name can be given once only, so
+readers see either all of a commit or none, and of two writers that started from the same version one fails.  Syncs start
+again then, and rows that are only added are added to the newer version.  A version also holds the schema version and
+chunk size; a store made with others is rebuilt from the sources, which keeps only the embedding cache.
+
+The lock of the one embedding writer is a lease with the holder's host: it counts until it is given back or runs out; on
+the holder's own host also no longer than its process.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import socket
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,7 +28,13 @@ from memloom.operators.search import Index
 from memloom.operators.status import counts, warnings
 from memloom.schemas import SCHEMA_VERSION, TABLES
 
-POINTER, LOCK, LOCK_MS = "CURRENT", "LOCK", 3_600_000
+LOG, LOCK, LOCK_MS = "log", "LOCK", 3_600_000
+TRIES = 5
+LOG_FOLDERS = 64  # of the access log, before they are put together
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first."""
 
 
 class Store:
@@ -31,7 +44,8 @@ class Store:
         self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         self._fs = self._path("x").getFileSystem(spark._jsc.hadoopConfiguration())
         self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("x").toUri(), spark._jsc.hadoopConfiguration())
-        state = self._read(POINTER)
+        self._held: str | None = None
+        state = self._latest()
         if state and (state["schema_version"], state["chunk_size"]) != (SCHEMA_VERSION, self.chunk_size):
             self._put({"version": state["version"] + 1, "tables": {k: v for k, v in state["tables"].items() if k == "cache"}})
 
@@ -46,23 +60,41 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, name: str, data: dict, overwrite: bool) -> None:
-        stream = self._fs.create(self._path(name), overwrite)
+    def _write_once(self, name: str, data: dict) -> bool:
+        """A file with all of its content, unless there is one of this name already; False then."""
+        new = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(new, False)
         stream.write(bytearray(json.dumps(data).encode()))
         stream.close()
+        try:
+            if self._fs.getScheme() == "file":  # renaming would replace the other file here, linking doesn't
+                os.link(new.toUri().getPath(), self._path(name).toUri().getPath())
+            else:
+                self._context.rename(new, self._path(name), self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception:
+            if self._fs.exists(self._path(name)):
+                return False
+            raise
+        finally:
+            self._fs.delete(new, False)
+        return True
+
+    def _versions(self) -> list[str]:
+        if not self._fs.exists(self._path(LOG)):
+            return []
+        return sorted(n for s in self._fs.listStatus(self._path(LOG)) if (n := s.getPath().getName()).isdigit())
+
+    def _latest(self) -> dict | None:
+        found = self._versions()
+        return self._read(f"{LOG}/{found[-1]}") if found else None
 
     def _put(self, state: dict) -> None:
-        state = state | {"schema_version": SCHEMA_VERSION, "chunk_size": self.chunk_size}
-        new = f"{POINTER}.{uuid.uuid4().hex}"
-        self._write(new, state, False)
-        over = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = over
-        self._context.rename(self._path(new), self._path(POINTER), options)
+        if not self._write_once(f"{LOG}/{state['version']:012d}", state | {"schema_version": SCHEMA_VERSION, "chunk_size": self.chunk_size}):
+            raise Conflict("the store changed meanwhile")
 
     @property
     def state(self) -> dict:
-        return self._read(POINTER) or {"version": 0, "tables": {}}
+        return self._latest() or {"version": 0, "tables": {}}
 
     def table(self, name: str) -> DataFrame:
         at = self.state["tables"].get(name)
@@ -70,66 +102,110 @@ class Store:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{x}" for x in at))
 
-    def commit(self, tables: dict[str, DataFrame], append: dict[str, DataFrame] | None = None) -> int:
-        """New contents of some tables, rows to add to others; the rest stays. Fails where another writer was faster."""
-        state = self.state
-        version, places = state["version"] + 1, dict(state["tables"])
+    def commit(self, tables: dict[str, DataFrame], append: dict[str, DataFrame] | None = None, since: dict | None = None) -> int:
+        """New contents of some tables, rows to add to others; the rest stays.
+
+        `since` is the state that the new contents were made from (by default what is there now): raises `Conflict` where
+        another writer was faster.  Rows that are only added don't depend on it and go to whatever is the latest version.
+        """
+        state, made = since or self.state, {}
         for name, rows in {**tables, **(append or {})}.items():
-            at = f"{name}/v={version}-{uuid.uuid4().hex[:8]}"
-            rows.select(*[f.name for f in self.table(name).schema]).write.parquet(f"{self.root}/{at}")
-            places[name] = [*places.get(name, []), at] if append and name in append else [at]
-        if self.state["version"] != state["version"]:
-            raise RuntimeError("the store changed meanwhile")
-        self._put({"version": version, "tables": places})
-        return version
-
-    def vacuum(self) -> int:
-        """Removes table folders that the pointer no longer names."""
+            made[name] = f"{name}/v={state['version'] + 1}-{uuid.uuid4().hex[:8]}"
+            rows.select(*[f.name for f in self.table(name).schema]).write.parquet(f"{self.root}/{made[name]}")
+        for left in reversed(range(TRIES)):
+            places = dict(state["tables"])
+            for name, at in made.items():
+                places[name] = [*places.get(name, []), at] if name not in tables else [at]
+            try:
+                self._put({"version": state["version"] + 1, "tables": places})
+                return state["version"] + 1
+            except Conflict:
+                if tables or not left:
+                    raise
+                state = self.state
+        raise AssertionError
+
+    def vacuum(self, work: bool = True) -> int:
+        """Removes table folders that the latest version doesn't name, older versions, and what stopped writers left in work/."""
         kept, gone = {x for v in self.state["tables"].values() for x in v}, 0
         for name in TABLES:
             if self._fs.exists(self._path(name)):
                 for s in self._fs.listStatus(self._path(name)):
                     if f"{name}/{s.getPath().getName()}" not in kept:
                         gone += self._fs.delete(s.getPath(), True)
+        for name in self._versions()[:-1]:
+            self._fs.delete(self._path(f"{LOG}/{name}"), False)
+        if work:
+            self._fs.delete(self._path("work"), True)
         return gone
 
     # one writer
 
     def lock(self, now_ms: int | None = None) -> bool:
         now = now_ms or int(time.time() * 1000)
+        own = {"id": uuid.uuid4().hex, "host": socket.gethostname(), "pid": os.getpid(), "started_at": now}
         held = self._read(LOCK)
-        if held and now - held["started_at"] < LOCK_MS and (held["pid"] == os.getpid() or _alive(held["pid"])):
-            return False
-        try:
-            self._write(LOCK, {"pid": os.getpid(), "started_at": now}, held is not None)
-        except Exception:  # another writer made it between the two calls
+        if held:
+            if now - held["started_at"] < LOCK_MS and (held["host"] != own["host"] or _alive(held["pid"])):
+                return False
+            old = f"{LOCK}.{own['id']}.old"
+            if not self._fs.rename(self._path(LOCK), self._path(old)):
+                return False
+            moved = self._read(old)
+            if moved["id"] != held["id"]:  # another writer took over between the two calls: give it back
+                self._write_once(LOCK, moved)
+                self._fs.delete(self._path(old), False)
+                return False
+            self._fs.delete(self._path(old), False)
+        if not self._write_once(LOCK, own):
             return False
+        self._held = own["id"]
         return True
 
     def unlock(self) -> None:
-        self._fs.delete(self._path(LOCK), False)
+        held = self._read(LOCK)
+        if held and held["id"] == self._held:
+            self._fs.delete(self._path(LOCK), False)
+        self._held = None
 
     # operations
 
+    def stats(self, source: str) -> dict[str, tuple[float, int]]:
+        """Time and size of each file of a workspace source, so that only what changed has to be read."""
+        return {r["path"]: (r["mtime_ms"], r["size"]) for r in self.table("files").where(F.col("source") == source).select("path", "mtime_ms", "size").collect()}
+
     def sync(self, listing: DataFrame, source: str = "memory", force: bool = False, now_ms: int | None = None) -> dict:
-        """Brings one source's files up to date: {indexed, skipped, deleted}."""
-        now = now_ms or int(time.time() * 1000)
+        """Brings one source's files up to date: {indexed, skipped, deleted}. Starts again where another writer was faster."""
+        return self._again(lambda work: self._sync(listing, source, force, now_ms or int(time.time() * 1000), work))
+
+    def _again(self, write: Callable[[str], dict | bool]) -> dict | bool:
+        for left in reversed(range(TRIES)):
+            work = f"work/{uuid.uuid4().hex}"
+            try:
+                return write(f"{self.root}/{work}")
+            except Conflict:
+                if not left:
+                    raise
+            finally:
+                self._fs.delete(self._path(work), True)
+        raise AssertionError
+
+    def _sync(self, listing: DataFrame, source: str, force: bool, now: int, work: str) -> dict:
+        since = self.state
         files = self.table("files")
-        work = f"{self.root}/work/{uuid.uuid4().hex}"
         protect = source != "sessions"
-        sy.classify(listing, files.where(F.col("source") == source), force, protect).write.parquet(work)
-        plan = self.spark.read.parquet(work)
+        sy.classify(listing, files.where(F.col("source") == source), force, protect).write.parquet(f"{work}/plan")
+        plan = self.spark.read.parquet(f"{work}/plan")
         done = sy.outcome(plan).first().asDict()
         if done["indexed"] or done["deleted"] or plan.where("action = 'touch'").limit(1).count():
             changed = plan.where("action in ('index', 'delete')").select("path", "source")
             chunks = self.table("chunks")
             gone = chunks.join(changed, ["path", "source"]).select("id")
-            fresh_at = f"{work}-chunks"
             fresh = chunked(plan.where("action = 'index'"), self.chunk_size).withColumn("updated_at", F.lit(now).cast("long"))
-            fresh.dropDuplicates(["id"]).write.parquet(fresh_at)
-            fresh = self.spark.read.parquet(fresh_at)
-            ix.indexed(fresh).write.parquet(f"{work}-index")
-            made = self.spark.read.parquet(f"{work}-index")
+            fresh.dropDuplicates(["id"]).write.parquet(f"{work}/chunks")
+            fresh = self.spark.read.parquet(f"{work}/chunks")
+            ix.indexed(fresh).write.parquet(f"{work}/index")
+            made = self.spark.read.parquet(f"{work}/index")
             rest = sy.without(chunks, changed, "path", "source")
             others = files.where(F.col("source") != source)
             self.commit({
@@ -137,7 +213,7 @@ class Store:
                 "chunks": rest.unionByName(fresh.select(*rest.columns)),
                 "postings": sy.without(self.table("postings"), gone, "id").unionByName(ix.postings_of(made)),
                 "doc_stats": sy.without(self.table("doc_stats"), gone, "id").unionByName(ix.lengths_of(made)),
-            })
+            }, since=since)
         return {k: int(v or 0) for k, v in done.items()}
 
     def backfill(self, embed_fn: sy.EmbedFn | None, now_ms: int | None = None) -> bool:
@@ -145,25 +221,37 @@ class Store:
         if not self.lock():
             return False
         try:
-            n = iter(range(1000))
-
-            def materialize(df: DataFrame) -> DataFrame:
-                at = f"{self.root}/work/{uuid.uuid4().hex}-{next(n)}"
-                df.write.parquet(at)
-                return self.spark.read.schema(df.schema).parquet(at)
-
-            # vectors of replaced chunks keep serving their content
-            old = self.table("vectors").join(self.table("chunks").select("id", "hash"), "id").select("hash", "embedding").dropDuplicates(["hash"])
-            cache = self.table("cache")
-            cache = cache.unionByName(sy.without(old, cache, "hash").withColumn("updated_at", F.lit(0).cast("long")))
-            vectors, cache = sy.backfill(self.table("chunks"), self.table("vectors"), cache, embed_fn, now_ms or int(time.time() * 1000), materialize)
-            self.commit({"vectors": vectors, "cache": cache})
-            return True
+            return self._again(lambda work: self._backfill(embed_fn, now_ms or int(time.time() * 1000), work))
         finally:
             self.unlock()
 
+    def _backfill(self, embed_fn: sy.EmbedFn | None, now: int, work: str) -> bool:
+        n = iter(range(1000))
+
+        def materialize(df: DataFrame) -> DataFrame:
+            at = f"{work}/{next(n)}"
+            df.write.parquet(at)
+            return self.spark.read.schema(df.schema).parquet(at)
+
+        since = self.state
+        # vectors of replaced chunks keep serving their content
+        old = self.table("vectors").join(self.table("chunks").select("id", "hash"), "id").select("hash", "embedding").dropDuplicates(["hash"])
+        cache = self.table("cache")
+        cache = cache.unionByName(sy.without(old, cache, "hash").withColumn("updated_at", F.lit(0).cast("long")))
+        vectors, cache = sy.backfill(self.table("chunks"), self.table("vectors"), cache, embed_fn, now, materialize)
+        self.commit({"vectors": vectors, "cache": cache}, since=since)
+        return True
+
     def record(self, accesses: DataFrame) -> None:
-        self.commit({}, {"access": accesses})
+        """Adds to the access log; from `LOG_FOLDERS` folders on it becomes one again."""
+        state = self.state
+        if len(state["tables"].get("access", [])) < LOG_FOLDERS:
+            self.commit({}, {"access": accesses})
+            return
+        try:
+            self.commit({"access": self.table("access").unionByName(accesses).coalesce(1)}, since=state)
+        except Conflict:
+            self.commit({}, {"access": accesses})
 
     def index(self) -> Index:
         """For search. Accesses from before a chunk's last indexing don't count."""

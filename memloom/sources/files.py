@@ -91,12 +91,18 @@ def list_files(workspace: str, extra_dirs: tuple[str, ...] = ()) -> tuple[list[F
     return out, links
 
 
-def listing(spark: SparkSession, stats: list[FileStat], source: str = "memory") -> DataFrame:
-    """path, source, mtime_ms, size, text (null where a file can't be read)."""
+def changed(s: FileStat, known: dict[str, tuple[float, int]]) -> bool:
+    """Whether a file has another time or size than when it was last indexed, so that it has to be read."""
+    old = known.get(s.path)
+    return old is None or abs(s.mtime_ms - old[0]) >= 1 or s.size != old[1]
+
+
+def listing(spark: SparkSession, stats: list[FileStat], source: str = "memory", known: dict[str, tuple[float, int]] | None = None) -> DataFrame:
+    """path, source, mtime_ms, size, text (null where a file can't be read, or needn't be: its time and size are as `known`)."""
     rows = []
     for s in stats:
         try:
-            text = Path(s.place).read_text(encoding="utf-8", errors="replace")
+            text = Path(s.place).read_text(encoding="utf-8", errors="replace") if changed(s, known or {}) else None
         except OSError:
             text = None
         rows.append((s.path, source, s.mtime_ms, s.size, text))

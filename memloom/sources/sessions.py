@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from memloom.functions import text as tx
-from memloom.sources.files import FileStat
+from memloom.sources.files import FileStat, changed
 
 COMMAND = "^(?:/|<command-|<local-command-)"
 
@@ -88,11 +88,11 @@ def documents(rows: DataFrame) -> DataFrame:
     return one.select("path", F.concat(F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(""), F.array_join("lines", "\n")).alias("text"))
 
 
-def listing(spark: SparkSession, stats: list[FileStat]) -> DataFrame:
-    """path, source, mtime_ms, size, text (null where a transcript has no message)."""
+def listing(spark: SparkSession, stats: list[FileStat], old: dict[str, tuple[float, int]] | None = None) -> DataFrame:
+    """path, source, mtime_ms, size, text (null where a transcript has no message, or needn't be read: it is as in `old`)."""
     known = spark.createDataFrame([(s.path, s.place, s.mtime_ms, s.size) for s in stats], "path string, place string, mtime_ms double, size long")
     lines = []
-    for s in stats:
+    for s in (s for s in stats if changed(s, old or {})):
         try:
             text = Path(s.place).read_text(encoding="utf-8", errors="replace")
         except OSError:

@@ -1,14 +1,16 @@
 import json
 import os
+import socket
 import time
 
 import pytest
 
+from memloom import cli
 from memloom.api import Memory
 from memloom.config import MemoryConfig, list_profiles, load_config, set_value
 from memloom.operators import sync as sy
 from memloom.operators.facts import Facts, best_entry, find_by_text
-from memloom.operators.store import Store
+from memloom.operators.store import Conflict, Store
 from memloom.sources import files as fi
 from memloom.sources import sessions as ss
 from memloom.streaming.sync import apply_changes, run_sync, stream_changes
@@ -182,3 +184,90 @@ def test_memory_end_to_end(spark, tmp_path):
     assert m.get("memory/ui.md", 3, 1).startswith("- Prefers dark mode")
     status = m.status()
     assert status["files"] == 6 and status["warnings"] == [] and status["last_sync_at"]
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/store"
+    a, b = Store(spark, at), Store(spark, at)
+    row = lambda name: listing(spark, (name, "memory", 1.0, 1, name))
+    a.sync(row("a.md"))
+    since, files = b.state, b.table("files")
+    a.record(spark.createDataFrame([("a.md", 1, 5)], "path string, start_line int, accessed_at long"))
+    with pytest.raises(Conflict):
+        b.commit({"files": files}, since=since)
+    b.commit({}, {"access": spark.createDataFrame([("a.md", 1, 6)], "path string, start_line int, accessed_at long")}, since=since)
+    assert a.table("access").count() == 2  # rows that are only added meet in the latest version
+    put, turns = Store._put, iter([True])
+
+    def late(self, state):
+        if self is b and next(turns, False):
+            a.record(spark.createDataFrame([("a.md", 1, 7)], "path string, start_line int, accessed_at long"))
+        put(self, state)
+
+    monkeypatch.setattr(Store, "_put", late)
+    assert b.sync(row("b.md")) == {"indexed": 1, "skipped": 0, "deleted": 1}
+    assert a.table("access").count() == 3 and [r["path"] for r in a.table("files").collect()] == ["b.md"]
+    assert not os.path.exists(tmp_path / "store" / "work" / "x") and not list((tmp_path / "store" / "work").iterdir())
+    a.vacuum()
+    assert len(list((tmp_path / "store" / "log").glob("0*"))) == 1 and a.table("access").count() == 3
+
+
+def test_access_log_is_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("memloom.operators.store.LOG_FOLDERS", 3)
+    s = Store(spark, f"file://{tmp_path}/store")
+    for i in range(5):
+        s.record(spark.createDataFrame([("a.md", 1, i)], "path string, start_line int, accessed_at long"))
+    assert len(s.state["tables"]["access"]) <= 3 and sorted(r["accessed_at"] for r in s.table("access").collect()) == list(range(5))
+
+
+def test_lock_is_a_lease(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    own = {"id": "x", "host": "elsewhere", "pid": 1 << 30, "started_at": int(time.time() * 1000)}
+    assert s._write_once("LOCK", own) and not s._write_once("LOCK", own)
+    assert not s.lock() and not s.backfill(embed)  # another host's process can't be seen from here
+    s.unlock()
+    assert (tmp_path / "store" / "LOCK").exists()  # not this store's to give back
+    assert s.lock(own["started_at"] + 3_600_001)
+    s.unlock()
+    assert not (tmp_path / "store" / "LOCK").exists()
+    assert s._write_once("LOCK", own | {"host": socket.gethostname()}) and s.lock()  # its process has ended
+    s.unlock()
+
+
+def test_unchanged_files_are_not_read(spark, tmp_path, monkeypatch):
+    w = tmp_path / "w" / "memory"
+    w.mkdir(parents=True)
+    logs = tmp_path / "logs" / "p"
+    logs.mkdir(parents=True)
+    for i in range(3):
+        (w / f"n{i}.md").write_text(f"text {i}")
+        (logs / f"s{i}.jsonl").write_text(json.dumps({"type": "user", "message": {"content": f"hi {i}"}}))
+    m = Memory(spark, MemoryConfig(workspace=str(tmp_path / "w"), store=f"file://{tmp_path}/s", session_dirs=((str(tmp_path / "logs"), "claude"),)))
+    assert m.sync()["sessions"]["indexed"] == 3
+    read, plain = [], fi.Path.read_text
+    monkeypatch.setattr(fi.Path, "read_text", lambda self, *a, **k: read.append(self.name) or plain(self, *a, **k))
+    (w / "n1.md").write_text("other text")
+    assert m.sync() == {"memory": {"indexed": 1, "skipped": 2, "deleted": 0}, "sessions": {"indexed": 0, "skipped": 3, "deleted": 0}}
+    assert read == ["n1.md"]
+
+
+def test_only_evidence_is_dropped(tmp_path):
+    f = Facts(str(tmp_path), lambda q, n, s: [])
+    f.write("other", "decisions")
+    assert f.write("see the plan [ref:memory/decisions.md]", "notes")["stored"] and f.forget("see the plan")["forgotten"]
+    assert f.write("climb [ref:memory/evidence/../decisions.md]", "notes")["stored"] and f.forget("climb")["forgotten"]
+    assert (tmp_path / "memory" / "decisions.md").exists()
+
+
+def test_config_commands(tmp_path, capsys):
+    at = ["--config", str(tmp_path / "c.json")]
+    assert cli.main([*at, "config", "set", "max_results", "7"]) == 0 and cli.main([*at, "config", "set", "max_results", "700"]) == 1
+    assert cli.main([*at, "--profile", "work", "config", "set", "workspace", "/w"]) == 0
+    capsys.readouterr()
+    assert cli.main([*at, "--profile", "work", "config", "show"]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert (shown["workspace"], shown["max_results"]) == ("/w", 7)
+    cli.main([*at, "config", "profiles"])
+    assert json.loads(capsys.readouterr().out) == {"profiles": ["default", "work"]}
+    cli.main([*at, "config", "drop", "work"])
+    assert json.loads(capsys.readouterr().out) == {"dropped": True}
