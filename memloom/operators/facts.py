@@ -1,4 +1,7 @@
-"""Facts in Markdown: writing, finding, replacing and forgetting entries. Files are driver work, search is a Spark job."""
+"""Facts in Markdown: writing, finding, replacing and forgetting entries.
+
+One fact's files are driver work and its search is a Spark job; the same rules over tables of entries are DataFrame operators.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import Row
+from pyspark.sql import DataFrame, Row, Window, functions as F
 
 from memloom.functions.scores import ROOT_FILES
 from memloom.operators.chunkers import TRIM, WS
@@ -75,6 +78,26 @@ def best_entry(lines: list[str], first: int, last: int, wanted: str) -> int | No
     return -max(found)[1] if found else None
 
 
+def exact_duplicates(entries: DataFrame) -> DataFrame:
+    """entries: path, start_line, fact (normalised). Those whose fact stands in their file already, with `first_line`."""
+    first = F.min("start_line").over(Window.partitionBy("path", "fact"))
+    return entries.where("fact is not null").withColumn("first_line", first).where("start_line > first_line")
+
+
+def first_matches(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """path, wanted, start_line: in each file the first entry that equals a normalised text, contains it or lies in it."""
+    have, text = F.col("fact"), F.col("wanted")
+    return entries.join(wanted, "path").where(F.contains(have, text) | F.contains(text, have)).groupBy("path", "wanted").agg(F.min("start_line").alias("start_line"))
+
+
+def best_matches(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """path, wanted, shared, start_line: in each file the entry that shares the most words with a text; the first of equals."""
+    words = F.filter(F.split("fact", " "), lambda w: F.array_contains(F.split("wanted", " "), w))
+    rows = entries.where("fact is not null").join(wanted, "path").select("path", "wanted", F.struct(F.size(words).alias("shared"), (-F.col("start_line")).alias("back")).alias("m"))
+    best = rows.groupBy("path", "wanted").agg(F.max("m").alias("m"))
+    return best.select("path", "wanted", "m.shared", (-F.col("m.back")).alias("start_line"))
+
+
 class Facts:
     def __init__(self, workspace: str, search: SearchFn, resync: Callable[[], None] = lambda: None):
         self.workspace, self.search, self.resync = workspace, search, resync

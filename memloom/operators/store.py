@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from memloom.operators import index as ix
 from memloom.operators import sync as sy
 from memloom.operators.chunkers import chunked
-from memloom.operators.search import Index
+from memloom.operators.search import Index, counted_accesses
 from memloom.operators.status import counts, warnings
 from memloom.schemas import SCHEMA_VERSION, TABLES
 
@@ -234,10 +234,7 @@ class Store:
             return self.spark.read.schema(df.schema).parquet(at)
 
         since = self.state
-        # vectors of replaced chunks keep serving their content
-        old = self.table("vectors").join(self.table("chunks").select("id", "hash"), "id").select("hash", "embedding").dropDuplicates(["hash"])
-        cache = self.table("cache")
-        cache = cache.unionByName(sy.without(old, cache, "hash").withColumn("updated_at", F.lit(0).cast("long")))
+        cache = sy.salvaged(self.table("vectors"), self.table("chunks"), self.table("cache"))
         vectors, cache = sy.backfill(self.table("chunks"), self.table("vectors"), cache, embed_fn, now, materialize)
         self.commit({"vectors": vectors, "cache": cache}, since=since)
         return True
@@ -256,8 +253,7 @@ class Store:
     def index(self) -> Index:
         """For search. Accesses from before a chunk's last indexing don't count."""
         chunks, log = self.table("chunks"), self.table("access")
-        since = chunks.groupBy("path", "start_line").agg(F.max("updated_at").alias("since"))
-        access = log.join(since, ["path", "start_line"]).where("accessed_at >= since").select("path", "start_line", "accessed_at")
+        access = counted_accesses(chunks, log)
         has = self.state["tables"]
         return Index(chunks, self.table("postings"), self.table("doc_stats"), self.table("vectors") if "vectors" in has else None, self.table("files"), access)
 

@@ -73,6 +73,12 @@ def collect_cache(cache: DataFrame, chunks: DataFrame) -> DataFrame:
     return keep_only(cache, chunks, "hash")
 
 
+def salvaged(vectors: DataFrame, chunks: DataFrame, cache: DataFrame) -> DataFrame:
+    """The cache with the content of chunks that have a vector, so that replaced chunks' vectors keep serving it."""
+    old = vectors.join(chunks.select("id", "hash"), "id").select("hash", "embedding").dropDuplicates(["hash"])
+    return cache.unionByName(without(old, cache, "hash").withColumn("updated_at", F.lit(0).cast("long")))
+
+
 def embed(texts: DataFrame, embed_fn: EmbedFn, batch: int = 100) -> DataFrame:
     """hash, text -> hash, embedding; rows for which the function returns nothing are left out."""
 

@@ -1,0 +1,5 @@
+"""Registered queries: importing the package fills `catalogue.QUERIES` and `catalogue.ORACLES`."""
+
+from memloom.plans import catalogue, chunks, rules
+
+__all__ = ["catalogue", "chunks", "rules"]

@@ -16,7 +16,7 @@ from memloom.operators import index as ix
 from memloom.operators import search as se
 from memloom.operators import status as stt
 from memloom.operators import sync as sy
-from memloom.operators.chunkers import chunked, jsonl_chunked
+from memloom.operators.chunkers import jsonl_chunked
 from memloom.operators.vectors import nearest
 from memloom.sources import sessions as ss
 from memloom.sources.files import EXTENSIONS
@@ -108,31 +108,20 @@ def jsonl_line_chunks(spark, sf_dir):
     return line_chunks(spark, sf_dir).select("path", "start_line", "end_line", "hash", "id")
 
 
-@query()
-def markdown_chunks(spark, sf_dir):
-    return chunked(files(spark, sf_dir), 64).select("path", "start_line", "end_line", "hash", "id")
-
-
-@query()
-def routed_chunks(spark, sf_dir):
-    """Conversations as JSON, JSON lines and YAML files, each through its own chunker."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    json_text = F.concat(F.lit("[\n"), F.array_join(F.transform("t", lambda x: F.to_json(x)), ",\n"), F.lit("\n]"))
-    lines = F.array_join(F.transform("t", lambda x: F.to_json(x)), "\n")
-    yaml = F.array_join(F.transform("t", lambda x: F.concat(F.lit("turn"), x["turn"].cast("string"), F.lit(":\n  role: "), x["role"])), "\n")
-    kinds = F.array(*[F.struct(F.lit(e).alias("e"), c.alias("text")) for e, c in (("json", json_text), ("jsonl", lines), ("yaml", yaml))])
-    made = turns.select("conv_id", F.explode(kinds).alias("k"))
-    return chunked(made.select(F.format_string("memory/%d.%s", "conv_id", "k.e").alias("path"), F.lit("memory").alias("source"), "k.text")).select("path", "start_line", "end_line", "hash", "id")
-
-
 @query("SELECT 'memory/' || doc_id || '.md' AS path, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS lines FROM documents")
 def range_read(spark, sf_dir):
     return files(spark, sf_dir).select("path", tx.line_range(F.col("text"), 2, 3).alias("lines"))
 
 
-@query("SELECT page_id, lower(regexp_extract(url || '.Md', '(\\.[^./]*)$', 1)) AS extension, lower(regexp_extract(url || '.Md', '(\\.[^./]*)$', 1)) IN ('.md', '.txt', '.json', '.jsonl', '.yaml', '.yml') AS known FROM pages".replace("\\\\", "\\"))
+ENDINGS = ("", ".MD", ".txt", ".html", "/notes.jsonl", ".tar.yaml", "/.md", ".YmL", ".json/", ".jsonx")
+
+
+@query(rf"""WITH p AS (SELECT page_id, url || list_extract([{', '.join(f"'{e}'" for e in ENDINGS)}], CAST(page_id % {len(ENDINGS)} + 1 AS INTEGER)) AS path FROM pages)
+SELECT page_id, lower(regexp_extract(path, '(\.[^./]*)$', 1)) AS extension, lower(regexp_extract(path, '(\.[^./]*)$', 1)) IN ('.md', '.txt', '.json', '.jsonl', '.yaml', '.yml') AS known FROM p""")
 def extension_whitelist(spark, sf_dir):
-    ext = tx.extension(F.concat("url", F.lit(".Md")))
+    """URLs with known and unknown endings, in both cases of letters, and without any."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS) + 1).cast("int"))
+    ext = tx.extension(F.concat("url", ending))
     return table(spark, sf_dir, "pages").select("page_id", ext.alias("extension"), ext.isin(*EXTENSIONS).alias("known"))
 
 

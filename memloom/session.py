@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +22,13 @@ def make_importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (HERE, have) if x)
 
 
+def input_bytes(rows: DataFrame) -> int | None:
+    """Bytes of the files and local rows behind a plan; None where Spark doesn't know them."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    return size if size < 1 << 60 else None
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows dealt to all cores where Spark's own splits would be fewer than these; larger tables stay where they are.
 
@@ -25,6 +36,26 @@ def spread(rows: DataFrame) -> DataFrame:
     least split (`spark.sql.files.openCostInBytes`) a core, so this never moves more than that.
     """
     spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return rows.repartition(cores) if size < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes() else rows
+    cores, size = spark.sparkContext.defaultParallelism, input_bytes(rows)
+    small = size is not None and size < cores * spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    return rows.repartition(cores) if small else rows
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it (`spark.checkpoint.dir`).
+
+    Where it is unset and all run on this machine, as in tests, a temporary folder, which goes when Python ends.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or "local-cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        made = tempfile.mkdtemp(prefix="memloom-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        at = f"file://{made}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
