@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memloom.llm.shared import cut
-from memloom.llm.textblocks import Block, buckets_for, exchange, give_back, mix, pack, packed_batches, texts_of, unpack_all, word_blocks
+from memloom.llm.textblocks import Block, buckets_of, exchange, give_back, mix, pack, packed_batches, texts_of, unpack_all, word_blocks
 
 SHARE = 1 / 2048  # from this share of all tokens on, a word's pairs are spread over tasks by context
 DISCOUNT, STRENGTH = 0.75, 1.0
 SWEEPS, KEPT = 5, 3
 END = np.uint64(0x454E442D4F462D54)  # the end token's hash; words' hashes are 64-bit as well
-TIMES = 1  # tasks a shuffle partition, as a task holds its pairs whole
-OWNERS = 4  # words' totals are light
+BUCKET_BYTES = 5 << 20  # of input a bucket, as a task holds a bucket's pairs whole
+OWNERS = 8  # words' totals are light
 BLOCK_TOKENS, BLOCK_DOCS = 1_200_000, 30_000
 
 
@@ -67,9 +67,8 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
-def count_words(texts: DataFrame, rest: int, of: int) -> DataFrame:
+def count_words(texts: DataFrame, rest: int, of: int, n: int) -> DataFrame:
     """word, n, all, distinct, once, twice: the most frequent words; with a null word, totals of one task."""
-    n = buckets_for(texts.sparkSession, TIMES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -102,7 +101,7 @@ def count_words(texts: DataFrame, rest: int, of: int) -> DataFrame:
         none = [0] * len(words)
         yield pa.record_batch([pa.array([*words.tolist(), None], pa.int64()), pa.array([*counts.tolist(), 0], pa.int64()), *(pa.array([*none, int(x)], pa.int64()) for x in (n.sum(), len(n), (n == 1).sum(), (n == 2).sum()))], names=["word", "n", "all", "distinct", "once", "twice"])
 
-    return exchange(texts.mapInArrow(send, "bucket int, data binary"), times=TIMES).mapInArrow(meet, "word long, n long, all long, distinct long, once long, twice long")
+    return exchange(texts.mapInArrow(send, "bucket int, data binary"), n=n).mapInArrow(meet, "word long, n long, all long, distinct long, once long, twice long")
 
 
 STATIC, CODES, ASKED, STREAM, PAIRS, FIXED, TABLES, TOTALS, SEATS, WORDS, SUMS, PAIR_ANSWER, WORD_ANSWER = range(13)
@@ -155,6 +154,15 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int, by
         yield from zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """A task's buckets one after the other, each with its rows (kind, src, data) in an order of their own."""
+    rows: dict[int, list] = {}
+    for kind, to, src, data in _each(batches):
+        rows.setdefault(to, []).append((kind, src, data))
+    for to in sorted(rows):
+        yield to, sorted(rows.pop(to), key=lambda r: r[:2])
+
+
 def _home(block: int) -> int:
     """What deals a block of documents to a task."""
     return (block >> 24) + 31 * (block & 0xFFFFFF)
@@ -187,9 +195,8 @@ def _before(at: np.ndarray, size: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
-def _blocks(texts: DataFrame, often: np.ndarray, rest: int, of: int, stream: bool) -> DataFrame:
+def _blocks(texts: DataFrame, often: np.ndarray, rest: int, of: int, n: int, stream: bool) -> DataFrame:
     """A block's words (ASKED) and its pairs (PAIRS); with `stream`, its documents (STREAM)."""
-    n = buckets_for(texts.sparkSession, TIMES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -245,21 +252,19 @@ def _blocks(texts: DataFrame, often: np.ndarray, rest: int, of: int, stream: boo
     return texts.mapInArrow(send, ROW_TEXT)
 
 
-def _meet(sent: DataFrame) -> DataFrame:
+def _meet(sent: DataFrame, n: int) -> DataFrame:
     """Pairs with several customers (STATIC), what each block's pairs are (CODES), words' counts (FIXED) and first tables (TABLES); the rest as it came."""
-    n = buckets_for(sent.sparkSession, TIMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int, int, bytes]]:
-            blocks, parts, bucket = [], [], 0
-            for kind, to, block, data in _each(batches):
+        def found(bucket: int, rows: list) -> Iterator[tuple[int, int, int, bytes]]:
+            blocks, parts = [], []
+            for kind, block, data in rows:
                 if kind == PAIRS:
                     w, size, u, place, times = _columns(data, np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)
                     parts.append((np.repeat(w, size), u[place], times))
                     blocks.append(block)
-                    bucket = to
                 else:
-                    yield kind, to, block, data
+                    yield kind, bucket, block, data
             if not parts:
                 return
             lengths = [len(p[1]) for p in parts]
@@ -284,10 +289,10 @@ def _meet(sent: DataFrame) -> DataFrame:
             yield STATIC, bucket, 0, _blob(names[used], w.astype(np.uint32), u.astype(np.uint32), count)
             yield from _tables(bucket, names[used], w, u, np.ones(len(w)), n)
 
-        yield from _rows(found())
+        yield from _rows(r for bucket, rows in _by_bucket(batches) for r in found(bucket, rows))
         give_back()
 
-    return exchange(sent, "to", TIMES).mapInArrow(run, ROW_TEXT)
+    return exchange(sent, "to", n).mapInArrow(run, ROW_TEXT)
 
 
 def _uniform(key: np.ndarray, draw: np.ndarray | int) -> np.ndarray:
@@ -379,16 +384,15 @@ def sample(pair_word: np.ndarray, pair_ctx: np.ndarray, pair_n: np.ndarray, word
     return mean, root[0], root[1], totals
 
 
-def _seat_contexts(rows: DataFrame, sweep: int, sums: tuple[float, float], base: float, root_discount: float) -> DataFrame:
+def _seat_contexts(rows: DataFrame, n: int, sweep: int, sums: tuple[float, float], base: float, root_discount: float) -> DataFrame:
     """STATIC, TOTALS and SEATS of the last sweep: SEATS and TABLES of this one."""
-    n = buckets_for(rows.sparkSession, TIMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int, int, bytes]]:
-            static, seats, totals, bucket = None, None, {}, 0
-            for kind, to, src, data in _each(batches):
+        def found(bucket: int, rows: list) -> Iterator[tuple[int, int, int, bytes]]:
+            static, seats, totals = None, None, {}
+            for kind, src, data in rows:
                 if kind == STATIC:
-                    static, bucket = _columns(data, np.uint64, np.uint32, np.uint32, np.int64), to
+                    static = _columns(data, np.uint64, np.uint32, np.uint32, np.int64)
                 elif kind == SEATS:
                     seats = _columns(data, np.uint32, np.float64, np.uint32)
                 else:
@@ -405,19 +409,19 @@ def _seat_contexts(rows: DataFrame, sweep: int, sums: tuple[float, float], base:
             yield SEATS, bucket, 0, _blob(t.astype(np.uint32), z, kept.astype(np.uint32))
             yield from _tables(bucket, names, w, u, t, n)
 
-        yield from _rows(found())
+        yield from _rows(r for bucket, rows in _by_bucket(batches) for r in found(bucket, rows))
         give_back()
 
-    return exchange(rows, "to", TIMES).mapInArrow(run, ROW_TEXT)
+    return exchange(rows, "to", n).mapInArrow(run, ROW_TEXT)
 
 
-def _seat_words(rows: DataFrame, sweep: int, sums: tuple[float, float], base: float, root_discount: float) -> DataFrame:
+def _seat_words(rows: DataFrame, n: int, sweep: int, sums: tuple[float, float], base: float, root_discount: float) -> DataFrame:
     """FIXED or WORDS, and TABLES: WORDS, the TOTALS for each task that sent tables, and SUMS at the root; the rest as it came."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int, int, bytes]]:
-            fixed, tables, state, bucket = [], [], None, 0
-            for kind, to, src, data in _each(batches):
+        def found(bucket: int, rows: list) -> Iterator[tuple[int, int, int, bytes]]:
+            fixed, tables, state = [], [], None
+            for kind, src, data in rows:
                 if kind == FIXED:
                     fixed.append(_columns(data, np.uint64, np.int64, np.int64, np.int64))
                 elif kind == WORDS:
@@ -425,9 +429,7 @@ def _seat_words(rows: DataFrame, sweep: int, sums: tuple[float, float], base: fl
                 elif kind == TABLES:
                     tables.append((src, *_columns(data, np.uint64, np.uint32, np.uint32)))
                 else:
-                    yield kind, to, src, data
-                    continue
-                bucket = to
+                    yield kind, bucket, src, data
             if state is None and not fixed:
                 return
             if state is None:
@@ -455,10 +457,10 @@ def _seat_words(rows: DataFrame, sweep: int, sums: tuple[float, float], base: fl
             yield WORDS, bucket, 0, _blob(h, total, one_u, one_w, root_t.astype(np.int64), root_z, *kept)
             yield SUMS, bucket, 0, _blob(np.array([root_t.sum(), root_c.sum()]))
 
-        yield from _rows(found())
+        yield from _rows(r for bucket, rows in _by_bucket(batches) for r in found(bucket, rows))
         give_back()
 
-    return exchange(rows, "to", TIMES).mapInArrow(run, ROW_TEXT)
+    return exchange(rows, "to", n).mapInArrow(run, ROW_TEXT)
 
 
 def _sums(state: DataFrame) -> tuple[float, float]:
@@ -482,19 +484,18 @@ def _drop(table: DataFrame) -> None:
     _free(spark)
 
 
-def _answers(rows: DataFrame) -> DataFrame:
+def _answers(rows: DataFrame, n: int) -> DataFrame:
     """To each block: its pairs' customers and tables (PAIR_ANSWER); its words' counts, tables as a context, and customers and tables at the root (WORD_ANSWER).
 
     Tables come as a sum over the kept sweeps in the first, in the second as the first kept sweep's and the others' differences.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int, int, bytes]]:
-            codes, asked, bucket = [], [], 0
+        def found(bucket: int, rows: list) -> Iterator[tuple[int, int, int, bytes]]:
+            codes, asked = [], []
             words = [np.zeros(0, t) for t in WORD_STATE]
             count, kept = np.zeros(0, np.int64), np.zeros(0, np.uint32)
-            for kind, to, src, data in _each(batches):
-                bucket = to
+            for kind, src, data in rows:
                 if kind == CODES:
                     blocks, lengths, code = _columns(data, np.int64, np.int64, np.int32)
                     codes += zip(blocks.tolist(), np.split(code, np.cumsum(lengths)[:-1]), strict=True)
@@ -519,10 +520,10 @@ def _answers(rows: DataFrame) -> DataFrame:
                 at = np.where(h[at] == names, at, len(h)) if len(h) else np.zeros(len(names), int)
                 yield WORD_ANSWER, _home(block), block, _blob(np.array([bucket]), total[at], *(x[at].T for x in kept_words))
 
-        yield from _rows(found())
+        yield from _rows(r for bucket, rows in _by_bucket(batches) for r in found(bucket, rows))
         give_back()
 
-    return exchange(rows, "to", TIMES).mapInArrow(run, ROW_TEXT)
+    return exchange(rows, "to", n).mapInArrow(run, ROW_TEXT)
 
 
 def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -530,9 +531,9 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
 
     Texts whose crc32(id as text) modulo `of` is not `rest` teach; all are scored (log10 of the text's probability).
     """
-    n = buckets_for(docs.sparkSession, TIMES)
+    n = buckets_of(docs, BUCKET_BYTES)
     texts = texts_of(docs, id_col, text_col)
-    counted = cut(count_words(texts, rest, of), "words")
+    counted = cut(count_words(texts, rest, of, n), "words")
     total = counted.where("word is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("all", "distinct", "once", "twice")]).first()
     n_all, vocabulary = int(total["all"]), int(total["distinct"])
     often = np.array([r["word"] for r in counted.where(F.col("word").isNotNull() & (F.col("n") >= SHARE * n_all)).select("word").collect()], np.int64).view(np.uint64)  # 1 / SHARE rows at most
@@ -543,20 +544,20 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
     def of_kinds(rows: DataFrame, *kinds: int) -> DataFrame:
         return rows.where(F.col("kind").isin(*kinds))
 
-    pairs = cut(_meet(_blocks(texts, often, rest, of, False)), "pairs")
+    pairs = cut(_meet(_blocks(texts, often, rest, of, n, False), n), "pairs")
     _free(docs.sparkSession)
-    state = cut(_seat_words(of_kinds(pairs, FIXED, TABLES), -1, (0.0, 0.0), base, root_discount), "seating")
+    state = cut(_seat_words(of_kinds(pairs, FIXED, TABLES), n, -1, (0.0, 0.0), base, root_discount), "seating")
     sums = [_sums(state)]
     _free(docs.sparkSession)
     met, pairs = pairs, cut(of_kinds(pairs, STATIC, CODES, ASKED), "pairs")
     _drop(met)
     for sweep in range(SWEEPS):
-        seated = _seat_contexts(of_kinds(pairs, STATIC).union(of_kinds(state, TOTALS, SEATS)), sweep, sums[-1], base, root_discount)
-        last, state = state, cut(_seat_words(seated.union(of_kinds(state, WORDS)), sweep, sums[-1], base, root_discount), "seating")
+        seated = _seat_contexts(of_kinds(pairs, STATIC).union(of_kinds(state, TOTALS, SEATS)), n, sweep, sums[-1], base, root_discount)
+        last, state = state, cut(_seat_words(seated.union(of_kinds(state, WORDS)), n, sweep, sums[-1], base, root_discount), "seating")
         sums.append(_sums(state))
         del seated
         _drop(last)
-    answers = _answers(pairs.union(of_kinds(state, SEATS, WORDS)))
+    answers = _answers(pairs.union(of_kinds(state, SEATS, WORDS)), n)
     root_t, root_n = (np.array(x) for x in zip(*sums[-KEPT:], strict=True))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -598,4 +599,4 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
             yield pa.record_batch([pa.array(ids, mask=null), pa.array(out), pa.array(size), pa.array(known), pa.array(np.full(len(ids), n_all)), pa.array(plain), pa.array(value), pa.array(10 ** (-value / size))], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
         give_back()
 
-    return exchange(_blocks(texts, often, rest, of, True).union(answers), "to", TIMES).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return exchange(_blocks(texts, often, rest, of, n, True).union(answers), "to", n).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -7,13 +7,14 @@ blocks of bounded bytes, and every word of a block gets a 64-bit hash without a
 from __future__ import annotations
 
 import ctypes
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from memloom.session import input_bytes, spread
+
 BLOCK_BYTES = 2 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -86,12 +87,12 @@ def utf8_column(col) -> tuple[np.ndarray, np.ndarray]:
     return buf, off
 
 
-def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows of up to `limit` bytes together; one longer text is a block of its own."""
+def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of rows of up to `limit` bytes together, and up to `rows` rows; one longer text is a block of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        yield i, min(j, n)
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1), i + (rows or n))
+        yield i, j
         i = j
 
 
@@ -138,16 +139,22 @@ def word_blocks(column, lower: bool = False, breaks: np.ndarray = SPACE, limit:
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """Only what an operator reads, under its own names, so that other columns can't clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return spread(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
 def parallelism(spark) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets_for(spark, times: int = 1) -> int:
-    """A bucket a shuffle partition (or several times as many of both); `exchange` sees to it that no two share one."""
-    return parallelism(spark) * times
+def buckets_for(spark) -> int:
+    """A bucket a shuffle partition; `exchange` sees to it that no two share one."""
+    return parallelism(spark)
+
+
+def buckets_of(rows: DataFrame, each: int) -> int:
+    """So many buckets that `each` bytes of input fall into one; a bucket a shuffle partition where the input's size isn't known."""
+    size = input_bytes(rows)
+    return parallelism(rows.sparkSession) if size is None else max(1, -(-size // each))
 
 
 def give_back() -> None:
@@ -159,36 +166,10 @@ def give_back() -> None:
         return
 
 
-def _spark_hash(x: int) -> int:
-    """Spark's hash of an int (Murmur3, seed 42), without sign."""
-    full = 0xFFFFFFFF
-    k = x * 0xCC9E2D51 & full
-    k = ((k << 15 | k >> 17) & full) * 0x1B873593 & full
-    h = 42 ^ k
-    h = ((h << 13 | h >> 19) & full) * 5 + 0xE6546B64 & full
-    h ^= 4
-    h = (h ^ h >> 16) * 0x85EBCA6B & full
-    h = (h ^ h >> 13) * 0xC2B2AE35 & full
-    return h ^ h >> 16
-
-
-@functools.cache
-def _labels(n: int) -> tuple[int, ...]:
-    """For each of n hash partitions an int that falls into it."""
-    out: dict[int, int] = {}
-    x = 0
-    while len(out) < n:
-        h = _spark_hash(x)
-        out.setdefault((h - (1 << 32) if h >= 1 << 31 else h) % n, x)
-        x += 1
-    return tuple(out[i] for i in range(n))
-
-
-def exchange(packed: DataFrame, key: str = "bucket", times: int = 1) -> DataFrame:
-    """Rows of a bucket (the key modulo the number of partitions) meet in one task, and every task has one bucket."""
-    n = buckets_for(packed.sparkSession, times)
-    label = F.element_at(F.array(*map(F.lit, _labels(n))), (F.pmod(F.col(key), n) + 1).cast("int"))
-    return packed.repartition(n, label)
+def exchange(packed: DataFrame, key: str = "bucket", n: int | None = None) -> DataFrame:
+    """Rows of a bucket (the key modulo n, by default the number of shuffle partitions) meet in one task, and every task has one bucket."""
+    n = n or buckets_for(packed.sparkSession)
+    return packed.repartitionById(n, F.pmod(F.col(key), F.lit(n)).cast("int"))
 
 
 def pack(bucket: np.ndarray, n: int, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -232,3 +213,29 @@ def unpack_all(batches, *types) -> list[np.ndarray]:
             for have, col in zip(got, unpack(blob, *types), strict=True):
                 have.append(col)
     return [np.concatenate(have) if have else np.zeros(0, t) for have, t in zip(got, types, strict=True)]
+
+
+def hot_keys(keyed: DataFrame, least: int, column: str = "keys", local: int = 64) -> np.ndarray:
+    """Keys of packed lists (64-bit, in a binary column) that would fill a task: at least `least` rows, and an eighth of a task's share of all.
+
+    A task names the keys that it has `local` times or more, so one that goes unnamed has fewer rows than that a task.
+    Sums are lower bounds of the true counts, so there are at most eight a shuffle partition.
+    """
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64) for b in batches]
+        keys, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        own = n >= local
+        yield pa.record_batch([pa.array([*keys[own].tolist(), None], pa.int64()), pa.array([*n[own].tolist(), int(n.sum())], pa.int64())], names=["key", "n"])
+
+    named = keyed.select(column).mapInArrow(often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    total = F.max(F.when(F.col("key").isNull(), F.col("n")))
+    border = max(least, -(-(named.agg(total).first()[0] or 0) // (8 * parallelism(keyed.sparkSession))))
+    return np.array(sorted(r["key"] for r in named.where(F.col("key").isNotNull() & (F.col("n") >= border)).select("key").collect()), np.int64)
+
+
+def deal(keys: np.ndarray, ids: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """Buckets by key; of hot keys by id as well, so that all buckets share them."""
+    name = keys.view(np.uint64)
+    own = np.isin(keys, hot)
+    return (np.where(own, mix(mix(name) ^ mix(ids.view(np.uint64), 1), 2), name) % np.uint64(n)).astype(np.int64)
