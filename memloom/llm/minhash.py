@@ -5,14 +5,15 @@ slots and offers it the ranks 0, 1, 2, ... with a random fraction each; a slot k
 one element never share a slot, which lowers the variance, and a document stops as soon as no slot can still improve.
 
 1. Equal sets collapse to a class, named by its smallest id, so that exact copies cost nothing further.
-2. Classes that agree on all rows of a band share a bucket.  Signatures are only sent for buckets of two or more; a
-   large bucket is dealt out as pairs of blocks.  Pairs whose signatures agree enough join candidate clusters.
-3. Within a cluster full shingle sets are compared, again in blocks; classes already known to be connected need no
-   further comparison, so a cluster gives at most one link a class instead of all its pairs.  A few pivots sit in every
-   block of a large cluster, which connects most of it at once; who is left outside is compared with all others.
+2. Classes that agree on all rows of a band share a bucket.  Signatures are only sent for buckets of two or more.  Pairs
+   whose signatures agree enough join candidate clusters.  A band's key that many classes have is dealt to all tasks.
+3. Within a cluster full shingle sets are compared.
 4. The links' components are the result.
 
-With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability 5e-8.  No bucket is capped.
+In both comparisons classes already known to be connected need no further one, so a group gives at most one link a class
+instead of all its pairs.  A large group is dealt out in blocks.  A few pivots sit in every block, which connects most of
+a group of near copies at once, and costs a row a member; who is left outside its largest component is compared with all
+others.  With 32 bands of 4 rows a pair at similarity 0.8 shares no bucket with probability 5e-8.  No bucket is capped.
 
 Defined cases: a null or blank text has the empty set, is linked with nothing and is kept; a text with fewer than k
 words is one shingle of all its words; a null id takes part in nothing; rows that repeat an id are one document.
@@ -20,7 +21,8 @@ words is one shingle of all its words; a null id takes part in nothing; rows tha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from memloom.llm.graph import components
 from memloom.llm.shared import cut
-from memloom.llm.textblocks import Block, buckets_for, exchange, mix, pack, packed_batches, parallelism, texts_of, unpack_all, word_blocks
+from memloom.llm.textblocks import Block, buckets_for, deal, exchange, hot_keys, mix, pack, packed_batches, parallelism, texts_of, unpack_all, word_blocks
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
@@ -149,16 +151,17 @@ class Unions:
 
 
 def _shared_buckets(table: DataFrame) -> DataFrame:
-    """doc_id, key, n: of the buckets of two or more classes."""
+    """doc_id, key, size: of the buckets of two or more classes."""
     spark = table.sparkSession
     n_buckets = buckets_for(spark)
+    hot = hot_keys(table, BLOCK, "bands")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
             for b in batches:
-                ids = np.asarray(b.column(0), np.int64)
+                ids = np.repeat(np.asarray(b.column(0), np.int64), BANDS)
                 keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-                yield from pack((keys.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), n_buckets, keys, np.repeat(ids, BANDS))
+                yield from pack(deal(keys, ids, hot, n_buckets), n_buckets, keys, ids)
 
         yield from packed_batches(pairs())
 
@@ -169,19 +172,17 @@ def _shared_buckets(table: DataFrame) -> DataFrame:
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
         n = np.diff(np.append(edge, len(keys)))
         n = np.repeat(n, n)
-        keep = n > 1
-        yield pa.record_batch([pa.array(ids[keep]), pa.array(keys[keep]), pa.array(n[keep].astype(np.int64))], names=["doc_id", "key", "n"])
+        n[np.isin(keys, hot)] = 0  # only a part of them is here
+        keep = n != 1
+        yield pa.record_batch([pa.array(ids[keep]), pa.array(keys[keep]), pa.array(n[keep].astype(np.int64))], names=["doc_id", "key", "size"])
 
     packed = table.select("doc_id", "bands").mapInArrow(split, "bucket int, data binary")
-    return exchange(packed).mapInArrow(meet, "doc_id long, key long, n long")
-
-
-def _in_blocks(rows: DataFrame, count: str, ident: str, size: int = BLOCK) -> DataFrame:
-    """Each row once a pair of blocks (i <= j) of its group that it belongs to, with `side`: 0 in i, 1 in j only."""
-    parts = F.ceil(F.col(count) / size).cast("int")
-    own = F.pmod(F.xxhash64(ident), parts).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own <= o, 0).otherwise(1).alias("side")))
-    return rows.withColumn("_p", F.explode(pairs)).select("*", F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), F.col("_p.side").alias("side")).drop("_p")
+    rows = exchange(packed).mapInArrow(meet, "doc_id long, key long, size long")
+    if not len(hot):
+        return rows
+    rows = cut(rows, "buckets")
+    whole = rows.where("size = 0").groupBy("key").agg(F.count("*").alias("whole"))  # few keys
+    return rows.join(F.broadcast(whole), "key", "left").select("doc_id", "key", F.when(F.col("size") == 0, F.col("whole")).otherwise(F.col("size")).alias("size"))
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,41 +199,31 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(table: DataFrame) -> DataFrame:
     """a, b: links between classes whose signatures agree, enough to connect all that agree within a bucket."""
-    rows = _in_blocks(_shared_buckets(table).join(table.select("doc_id", "short"), "doc_id"), "n", "doc_id")
+    rows = _shared_buckets(table).join(table.select("doc_id", F.col("short").alias("data")), "doc_id")
+    return _linked(cut(rows.withColumnRenamed("key", "cluster"), "buckets"), BLOCK, link_signatures).distinct()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        col = lambda k: np.concatenate([np.asarray(b.column(k), np.int64) for b in got])
-        ids, keys, i, j = map(col, range(4))
-        sig = np.frombuffer(b"".join(x for b in got for x in b.column(4).to_pylist()), np.uint8).reshape(-1, SLOTS)
-        least = AGREE * SLOTS
-        order, cut_at = _groups(keys, i, j)
-        a, b = [], []
-        for s, e in zip(cut_at[:-1], cut_at[1:], strict=True):
-            own = order[s:e]
-            own = own[np.argsort(ids[own])]
-            x, known = sig[own], Unions(len(own))
-            for p in range(len(own) - 1):
-                rest = np.flatnonzero(known.label != known.label[p])
-                rest = rest[rest > p]
-                if not len(rest):
-                    if (known.label == known.label[0]).all():
-                        break
-                    continue
-                new = known.join(p, rest[(x[rest] == x[p]).sum(axis=1) >= least])
-                a += [ids[own[p]]] * len(new)
-                b += ids[own[new]].tolist()
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    spark = rows.sparkSession
-    dealt = rows.select("doc_id", "key", "i", "j", "short").repartition(parallelism(spark), "key", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+def link_signatures(ids: np.ndarray, data: list[bytes], side: np.ndarray, known: Unions) -> tuple[list[int], list[int]]:
+    """Links that connect all members whose signatures agree in `AGREE` of the slots. Members of side 0 ask; side 1 only answers."""
+    x = np.frombuffer(b"".join(data), np.uint8).reshape(-1, SLOTS)
+    a, b = [], []
+    asked = np.zeros(len(ids), bool)
+    for p in np.flatnonzero(side == 0):
+        asked[p] = True
+        rest = np.flatnonzero((known.label != known.label[p]) & ~asked)
+        if not len(rest):
+            if (known.label == known.label[0]).all():
+                break
+            continue
+        new = known.join(p, rest[(x[rest] == x[p]).sum(axis=1) >= AGREE * SLOTS])
+        a += [int(ids[p])] * len(new)
+        b += ids[new].tolist()
+    return a, b
 
 
-def link_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known: Unions, percent: int) -> tuple[list[int], list[int]]:
+def link_sets(ids: np.ndarray, data: list[bytes], side: np.ndarray, known: Unions, percent: int) -> tuple[list[int], list[int]]:
     """Links that connect all members whose Jaccard similarity is percent or more. Members of side 0 ask; side 1 only answers."""
+    sets = [np.frombuffer(x, np.uint64) for x in data]
     sizes = np.array([len(s) for s in sets])
     start = np.concatenate([[0], np.cumsum(sizes)])
     _, word = np.unique(np.concatenate(sets), return_inverse=True)
@@ -256,8 +247,11 @@ def link_sets(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known:
     return a, b
 
 
-def _verify(rows: DataFrame, percent: int, keys: list[str]) -> DataFrame:
-    """a, b: verified links. rows: keys, doc_id, side, comp (known components), grams (the set); one task has all rows of its keys."""
+Link = Callable[[np.ndarray, list[bytes], np.ndarray, Unions], tuple[list[int], list[int]]]
+
+
+def _compare(rows: DataFrame, keys: list[str], link: Link) -> DataFrame:
+    """a, b: links. rows: keys, doc_id, side, comp (known components), data; one task has all rows of its keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -266,7 +260,7 @@ def _verify(rows: DataFrame, percent: int, keys: list[str]) -> DataFrame:
         width = len(keys)
         col = lambda k: np.concatenate([np.asarray(b.column(k), np.int64) for b in got])
         cols = [col(k) for k in range(width + 3)]
-        grams = [x for b in got for x in b.column(width + 3).to_pylist()]
+        data = [x for b in got for x in b.column(width + 3).to_pylist()]
         order, cut_at = _groups(*cols[:width])
         ids, side, comp = cols[width:]
         for s, e in zip(cut_at[:-1], cut_at[1:], strict=True):
@@ -274,15 +268,28 @@ def _verify(rows: DataFrame, percent: int, keys: list[str]) -> DataFrame:
             own = own[np.lexsort((ids[own], side[own]))]
             known = Unions(len(own))
             known.label = np.unique(comp[own], return_inverse=True)[1]
-            a, b = link_sets(ids[own], [np.frombuffer(grams[k], np.uint64) for k in own], side[own], known, percent)
+            a, b = link(ids[own], [data[k] for k in own], side[own], known)
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     spark = rows.sparkSession
-    return rows.select(*keys, "doc_id", "side", "comp", "grams").repartition(parallelism(spark), *keys).mapInArrow(run, "a long, b long")
+    return rows.select(*keys, "doc_id", "side", "comp", "data").repartition(parallelism(spark), *keys).mapInArrow(run, "a long, b long")
+
+
+def _linked(rows: DataFrame, block: int, link: Link) -> DataFrame:
+    """a, b: links that connect what `link` connects within each cluster. rows: cluster, doc_id, size (of the cluster), data."""
+    parts = F.ceil(F.col("size") / block).cast("int")
+    # within blocks first: most of a large cluster is connected there
+    blocks = rows.select("*", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("i"))
+    large = rows.where(F.col("size") > block)
+    picks = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(PIVOTS - 1)] + [F.min("doc_id")]
+    chosen = large.groupBy("cluster").agg(F.array_distinct(F.array(*picks)).alias("p")).select("cluster", F.explode("p").alias("doc_id"))
+    pivots = large.join(chosen, ["cluster", "doc_id"]).select(*rows.columns, F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"))
+    links = cut(_compare(blocks.unionByName(pivots).withColumn("side", F.lit(0)).withColumn("comp", F.col("doc_id")), ["cluster", "i"], link), "links")
+    return links if large.isEmpty() else cut(links.union(_across(large, links, block, link)), "links")
 
 
 def _full_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """members' columns and grams, their full sets."""
+    """members' columns and data, their full sets."""
     own = members.select(F.col("doc_id").alias("_m"), *[c for c in members.columns if c != "doc_id"])
     rows = texts_of(docs, id_col, text_col).join(own, F.col("doc_id") == F.col("_m")).drop("_m")
 
@@ -290,10 +297,10 @@ def _full_sets(docs: DataFrame, members: DataFrame, k: int, id_col: str, text_co
         for b in batches:
             for i, block in word_blocks(b.column(1), lower=True):
                 grams = [s.tobytes() for s in shingles(block, k)]
-                yield pa.record_batch([b.column(0).slice(i, block.rows), *(c.slice(i, block.rows) for c in b.columns[2:]), pa.array(grams, pa.binary())], names=["doc_id", *b.schema.names[2:], "grams"])
+                yield pa.record_batch([b.column(0).slice(i, block.rows), *(c.slice(i, block.rows) for c in b.columns[2:]), pa.array(grams, pa.binary())], names=["doc_id", *b.schema.names[2:], "data"])
 
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rows.schema[2:])
-    return rows.mapInArrow(run, f"doc_id long{more}, grams binary").dropDuplicates(["doc_id"])
+    return rows.mapInArrow(run, f"doc_id long{more}, data binary").dropDuplicates(["doc_id"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,36 +308,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     every = cut(signatures(docs, k, id_col, text_col), "signatures")
     classes = cut(every.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
     table = every.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    clusters = cut(components(cut(_candidates(cut(table.select("doc_id", "short", "bands"), "reps")), "candidates")), "clusters")
+    clusters = cut(components(_candidates(cut(table.select("doc_id", "short", "bands"), "reps"))), "clusters")
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     members = cut(clusters.join(sizes, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster"), "size"), "members")
     full = cut(_full_sets(docs, members, k, id_col, text_col), "sets")
-    parts = F.ceil(F.col("size") / SET_BLOCK).cast("int")
-    # within blocks first: most of a large cluster is connected there
-    blocks = full.select("*", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("i"))
-    large = full.where(F.col("size") > SET_BLOCK)
-    picks = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k))) for k in range(PIVOTS - 1)] + [F.min("doc_id")]
-    chosen = large.groupBy("cluster").agg(F.array_distinct(F.array(*picks)).alias("p")).select(F.explode("p").alias("doc_id"))
-    pivots = large.join(chosen, "doc_id").select("*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"))
-    blocks = blocks.unionByName(pivots).withColumn("side", F.lit(0)).withColumn("comp", F.col("doc_id"))
-    links = cut(_verify(blocks, percent, ["cluster", "i"]), "links")
-    if not large.isEmpty():
-        links = cut(links.union(_across(large, links, percent)), "links")
-    found = components(links)
+    found = components(_linked(full, SET_BLOCK, partial(link_sets, percent=percent)))
     named = cut(classes.join(found, classes["rep"] == found["id"], "left").select("k1", "k2", F.coalesce("component", "rep").alias("component")), "named")
-    out = every.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
-    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    filled = every.where("n > 0 and doc_id is not null").select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"])
+    # blank texts have one name all together and no component: they stay where they are
+    blank = every.where("not (n > 0 and doc_id is not null)").select("doc_id", "n", F.col("doc_id").alias("component"))
+    out = filled.select("doc_id", "n", "component").unionByName(blank)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _across(large: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def _across(large: DataFrame, links: DataFrame, block: int, link: Link) -> DataFrame:
     """Links between the blocks of large clusters: whoever is outside a cluster's largest component asks all others."""
     found = components(links)
-    known = cut(large.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "cluster", "size", "grams", F.coalesce("component", "doc_id").alias("comp")), "known")
+    known = cut(large.join(found, F.col("doc_id") == F.col("id"), "left").select("doc_id", "cluster", "size", "data", F.coalesce("component", "doc_id").alias("comp")), "known")
     main = known.groupBy("cluster", "comp").count().groupBy("cluster").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("all"))
     main = cut(main.select("cluster", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.count")).alias("outside")).where("outside > 0"), "main")
     rows = known.join(main, "cluster")
-    ask_parts, all_parts = F.ceil(F.col("outside") / SET_BLOCK).cast("int"), F.ceil(F.col("size") / SET_BLOCK).cast("int")
+    ask_parts, all_parts = F.ceil(F.col("outside") / block).cast("int"), F.ceil(F.col("size") / block).cast("int")
     asks = rows.where("comp <> main").select("*", F.pmod(F.xxhash64("doc_id"), ask_parts).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), all_parts - 1)).alias("j"), F.lit(0).alias("side"))
     answers = rows.select("*", F.explode(F.sequence(F.lit(0), ask_parts - 1)).alias("i"), F.pmod(F.xxhash64("doc_id"), all_parts).cast("int").alias("j"), F.lit(1).alias("side"))
-    return _verify(asks.unionByName(answers), percent, ["cluster", "i", "j"])
+    return _compare(asks.unionByName(answers), ["cluster", "i", "j"], link)

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.llm.graph import components
-from memloom.llm.minhash import Unions, _groups, _in_blocks
+from memloom.llm.minhash import Unions, _groups
 from memloom.llm.shared import cut
-from memloom.llm.textblocks import buckets_for, exchange, mix, pack, packed_batches, parallelism, running_hash, span_hash, unpack_all
+from memloom.llm.textblocks import buckets_for, deal, exchange, hot_keys, mix, pack, packed_batches, parallelism, running_hash, span_hash, unpack_all
 
 MEET, MISS = 0.72, 1e-4
 PART = 512  # vectors turned at a time
@@ -132,14 +132,15 @@ def _busy_buckets(coded: DataFrame, tables: int, names: int) -> DataFrame:
     """vec_id, key, slot (table and whether stored), n: of buckets with a stored vector and another one."""
     spark = coded.sparkSession
     n_buckets, per = buckets_for(spark), tables * (1 + names)
+    hot = hot_keys(coded, BLOCK)
     slot = np.repeat(np.arange(tables), 1 + names) * 2 + np.tile(np.arange(1 + names) == 0, tables)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs():
             for b in batches:
                 keys = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-                ids = np.asarray(b.column(0), np.int64)
-                yield from pack((keys.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), n_buckets, keys, np.repeat(ids, per), np.tile(slot, len(ids)).astype(np.int32))
+                ids = np.repeat(np.asarray(b.column(0), np.int64), per)
+                yield from pack(deal(keys, ids, hot, n_buckets), n_buckets, keys, ids, np.tile(slot, b.num_rows).astype(np.int32))
 
         yield from packed_batches(pairs())
 
@@ -150,11 +151,30 @@ def _busy_buckets(coded: DataFrame, tables: int, names: int) -> DataFrame:
         at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
         n = np.diff(np.append(at, len(keys)))
         stored = np.add.reduceat(slots & 1, at) if len(at) else n
-        keep = np.repeat((n > 1) & (stored > 0), n)
-        yield pa.record_batch([pa.array(ids[keep]), pa.array(keys[keep]), pa.array(slots[keep]), pa.array(np.repeat(n, n)[keep].astype(np.int64))], names=["vec_id", "key", "slot", "n"])
+        n[np.isin(keys[at], hot)] = 0  # only a part of them is here
+        size = np.diff(np.append(at, len(keys)))
+        keep = np.repeat((n == 0) | ((n > 1) & (stored > 0)), size)
+        n = np.repeat(n, size)
+        yield pa.record_batch([pa.array(ids[keep]), pa.array(keys[keep]), pa.array(slots[keep]), pa.array(n[keep].astype(np.int64))], names=["vec_id", "key", "slot", "n"])
 
     packed = coded.select("vec_id", "keys").mapInArrow(split, "bucket int, data binary")
-    return exchange(packed).mapInArrow(meet, "vec_id long, key long, slot int, n long")
+    rows = exchange(packed).mapInArrow(meet, "vec_id long, key long, slot int, n long")
+    if not len(hot):
+        return rows
+    rows = cut(rows, "buckets")
+    whole = rows.where("n = 0").groupBy("key").agg(F.count("*").alias("whole"))  # few keys
+    return rows.join(F.broadcast(whole), "key", "left").select("vec_id", "key", "slot", F.when(F.col("n") == 0, F.col("whole")).otherwise(F.col("n")).alias("n"))
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Each row once a pair of blocks (i <= j) of its bucket that it belongs to, with `side`: 0 in i, 1 in j only.
+
+    Links are counted, so every pair of a bucket has to be looked at; blocks of `BLOCK` vectors keep copies few.
+    """
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("vec_id"), parts).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"), F.when(own <= o, 0).otherwise(1).alias("side")))
+    return rows.select("*", F.inline(pairs))
 
 
 def meeting(near_a, next_a, near_b, next_b) -> tuple[np.ndarray, np.ndarray]:
@@ -233,7 +253,7 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.95, id_col: str = "
     reps = every.where("k1 is not null").join(weights, "vec_id").dropDuplicates(["vec_id"])
     coded = cut(_coded(reps, tables, names), "coded")
     busy = _busy_buckets(coded, tables, names).join(coded.select("vec_id", "m", "unit", "codes"), "vec_id")
-    found = cut(_link(_in_blocks(busy, "n", "vec_id", BLOCK), least, tables, names), "links")
+    found = cut(_link(_in_blocks(busy), least, tables, names), "links")
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     comps = components(found.where("b is not null")).withColumnRenamed("id", "rep")
     named = classes.join(counts, "rep", "left").join(comps, "rep", "left")
