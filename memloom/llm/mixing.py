@@ -7,19 +7,25 @@ document, and these residuals meet in the groups of the next level of a reductio
 which is rounded at random with its fraction as probability.  So the words taken of a source differ from its target
 by less than one document.
 
+A row's group follows from a hash of what it holds and, for equal rows, its number among them, so that reruns decide
+alike however the input is partitioned, and neither null nor repeated ids, nor equal rows, fill a group.
+
 Defined cases: a null text has size 0; a null source is a source (ordered last); a document of size 0 is copied like
-any other and takes 0 words; rows that repeat an id are documents of their own; an empty table gives an empty result.
+any other and takes 0 words; rows that repeat an id are documents of their own; equal rows are told apart by number only,
+so which of them is taken how often may change; an empty table gives an empty result.
 The number of distinct sources is metadata and is taken to fit the driver; documents never meet there.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F
 
 from memloom.llm.shared import cut
 from memloom.llm.textblocks import texts_of, word_blocks
@@ -29,15 +35,36 @@ WEIGHTS = (1, 2, 3)
 MOST = 3.0
 
 
-def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: words of the whole text."""
+def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", identity: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words of the whole text), h1 and h2 (of what the row holds), part (the task), local (its number among equal rows there).
+
+    What a row holds are the three columns, and those of `identity`.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             sizes = [block.counts for _, block in word_blocks(b.column(1))]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], names=["doc_id", "source", "size"])
+            local = []
+            for key in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                local.append(seen[key])
+                seen[key] += 1
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(np.concatenate(sizes) if sizes else [], pa.int64()), b.column(3), b.column(4), pa.array([part] * b.num_rows, pa.int32()), pa.array(local, pa.int64())], names=["doc_id", "source", "size", "h1", "h2", "part", "local"])
+
+    held = [F.col(c) for c in (id_col, text_col, source_col, *identity)]
+    hashes = [F.xxhash64(F.lit(salt), *held).alias(f"h{salt}") for salt in (1, 2)]
+    rows = texts_of(docs, id_col, text_col, F.col(source_col).cast("string").alias("source"), *hashes)
+    return rows.mapInArrow(count, "doc_id long, source string, size long, h1 long, h2 long, part int, local long")
+
 
-    return texts_of(docs, id_col, text_col, F.col(source_col).cast("string").alias("source")).mapInArrow(count, "doc_id long, source string, size long")
+def numbered(sized: DataFrame) -> DataFrame:
+    """sized with `number`: 0, 1, 2, ... among equal rows of all tasks."""
+    key = ["h1", "h2"]
+    # those that occur in several tasks; there is one row a key and task, and a task's own numbers go after the others'
+    shared = sized.groupBy(*key).agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select(*key)
+    counts = sized.join(shared, key, "left_semi").groupBy(*key, "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*key).orderBy("part")) - F.col("n")
+    return sized.join(counts.select(*key, "part", before.alias("before")), [*key, "part"], "left").withColumn("number", F.coalesce("before", F.lit(0)) + F.col("local")).drop("before", "local", "part")
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> dict[str | None, float]:
@@ -96,27 +123,41 @@ def _merge(depth: int, seed: int):
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often the mix takes each document.
+    """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
+    return _mixed(cut(word_counts(docs, id_col, text_col, source_col), "mix-sizes"), weights, most, seed).drop("h1", "h2")
 
-    Groups are formed by a hash of the id, so a rerun decides alike however the input is partitioned.
-    """
-    sized = cut(word_counts(docs, id_col, text_col, source_col), "mix-sizes")
+
+def taken_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs' rows, with their own columns, as often as the mix takes them. Texts are shuffled once."""
+    sized = cut(word_counts(docs, id_col, text_col, source_col, tuple(docs.columns)), "mix-sizes")
+    mixed = _mixed(sized, options.get("weights", WEIGHTS), options.get("most", MOST), options.get("seed", 17))
+    times = mixed.groupBy("h1", "h2").agg(F.sum("copies").alias("times")).where("times > 0")
+    # the caller's columns go in one struct, so that none can clash; equal rows are one that is taken as often as they are together
+    held = [F.col(c) for c in (id_col, text_col, source_col, *docs.columns)]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[F.xxhash64(F.lit(salt), *held).alias(f"h{salt}") for salt in (1, 2)])
+    one = rows.groupBy("h1", "h2").agg(F.first("row").alias("row")).join(times, ["h1", "h2"])
+    return one.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
+
+
+def _mixed(sized: DataFrame, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """sized: doc_id, source, size, h1, h2, part, local (a written table). doc_id, source, size, source_size, target, copies, h1, h2."""
     found = [tuple(r) for r in sized.groupBy("source").agg(F.sum("size").cast("long"), F.count("*")).collect()]
     want = targets([(s, n) for s, n, _ in found], weights, most)
     spark = sized.sparkSession
-    plan = spark.createDataFrame([(s, n, float(want[s]), want[s] / n if n else 0.0, -(-k // GROUP)) for s, n, k in found], "source string, source_size long, target double, rate double, groups int")
-    keyed = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).select(
-        sized["doc_id"], sized["source"], "size", "source_size", "target", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"),
-        F.pmod(F.xxhash64(sized["doc_id"], F.lit(seed)), F.col("groups")).cast("int").alias("g"),
+    plan = spark.createDataFrame([(s, n, float(want[s]), want[s] / n if n else 0.0, -(-k // GROUP)) for s, n, k in found], "name string, source_size long, target double, rate double, groups int")
+    rows = numbered(sized)
+    keyed = rows.join(F.broadcast(plan), rows["source"].eqNullSafe(plan["name"])).select(
+        "doc_id", "source", "size", "h1", "h2", "number", "source_size", "target", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("part"),
+        F.pmod(F.xxhash64("h1", "h2", "number", F.lit(seed)), F.col("groups")).cast("int").alias("g"),
     )
 
     def first(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "size"], kind="stable", na_position="last").reset_index(drop=True)
+        rows = rows.sort_values(["h1", "h2", "number"], kind="stable").reset_index(drop=True)
         rows["k"] = np.arange(len(rows))
         name = "" if pd.isna(rows["source"].iloc[0]) else str(rows["source"].iloc[0])
         return _pivot(rows, seed ^ hash_text(f"{name}/{int(rows['g'].iloc[0])}"))
 
-    schema = "doc_id long, source string, size long, source_size long, target double, whole int, part double, g int, k long"
+    schema = "doc_id long, source string, size long, h1 long, h2 long, number long, source_size long, target double, whole int, part double, g int, k long"
     level = cut(keyed.groupBy("source", "g").applyInPandas(first, schema), "mix-level")
     rest = level.where("part > 0 and part < 1").select("source", "g", "k", F.col("size").cast("double").alias("size"), "part", F.col("g").alias("at"))
     depth, groups = 0, max([1, *(-(-k // GROUP) for _, _, k in found)])
@@ -126,7 +167,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     settled = rest.select(F.col("source").alias("s"), F.col("g").alias("sg"), F.col("k").alias("sk"), F.when((F.col("part") > 0) & (F.col("part") < 1), (last < F.col("part")).cast("double")).otherwise(F.col("part")).alias("end"))
     done = level.join(settled, level["source"].eqNullSafe(settled["s"]) & (level["g"] == settled["sg"]) & (level["k"] == settled["sk"]), "left")
-    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round(F.coalesce("end", "part"))).cast("int").alias("copies"))
+    return done.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.round(F.coalesce("end", "part"))).cast("int").alias("copies"), "h1", "h2")
 
 
 def hash_text(x: str) -> int:
