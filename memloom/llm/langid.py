@@ -7,7 +7,8 @@ centroid's own training texts is rejected.
 
 The classifier is fitted on a bounded sample (`PER_LANGUAGE` texts a language, by a hash of the id); everything else
 sees whole tables and whole texts.  Defined cases: a null text, or one without a letter, is `und` with score 0; with
-no labelled text everything is `und`; rows with a null language teach nothing.
+no labelled text everything is `und`; rows with a null language teach nothing; a null id teaches nothing and is not held
+out; rows that repeat an id are predicted one by one.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from memloom.llm.shared import cut
 from memloom.llm.textblocks import LOWER, blocks, texts_of, utf8_column
 
 DIMS = 1 << 13
 PER_LANGUAGE = 600
 CENTROIDS = 4
+ROWS = 256  # texts whose counts are held at a time
 UNKNOWN = "und"
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[[*range(65, 91), *range(97, 123), *range(0x80, 256)]] = True
@@ -95,14 +98,13 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             buf, off = utf8_column(b.column(1))
-            for i, j in blocks(off, 1 << 20):
+            for i, j in blocks(off, 1 << 20, ROWS):
                 counts = gram_counts(buf[off[i] : off[j]], off[i : j + 1] - off[i])
                 at = [np.flatnonzero(c) for c in counts]
                 yield pa.record_batch([b.column(2).slice(i, j - i), pa.array([x.astype(np.int32) for x in at], pa.list_(pa.int32())), pa.array([c[x].astype(np.int32) for c, x in zip(counts, at, strict=True)], pa.list_(pa.int32()))], names=["lang", "slot", "n"])
 
-    rows = sample.mapInArrow(features, "lang string, slot array<int>, n array<int>").persist()
-    try:
-        total = rows.count()
+    rows = cut(sample.mapInArrow(features, "lang string, slot array<int>, n array<int>"), "languages")
+    if total := rows.count():
         seen = rows.select(F.explode("slot").alias("slot")).groupBy("slot").count().toPandas()
         df = np.zeros(DIMS)
         df[seen["slot"].to_numpy(int)] = seen["count"].to_numpy()
@@ -120,8 +122,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
             return pd.DataFrame({"lang": part["lang"].iloc[0], "k": range(len(c)), "c": [v.astype("<f4").tobytes() for v in c], "least": least})
 
         got = rows.groupBy("lang").applyInPandas(centre, "lang string, k int, c binary, least double").toPandas().sort_values(["lang", "k"])
-    finally:
-        rows.unpersist()
+    else:
+        return Model([], np.zeros((0, DIMS), np.float32), np.zeros(0), np.ones(DIMS, np.float32))
     return Model(got["lang"].tolist(), np.stack([np.frombuffer(c, "<f4") for c in got["c"]]), got["least"].to_numpy(float), idf)
 
 
@@ -132,13 +134,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         matrix = np.ascontiguousarray(model.centroids.T)
         for b in batches:
             buf, off = utf8_column(b.column(1))
-            for i, j in blocks(off, 1 << 20):
-                own, cut = buf[off[i] : off[j]], off[i : j + 1] - off[i]
-                letters = np.diff(np.concatenate([[0], np.cumsum(ASCII_LETTERS[own])])[cut]) > 0
-                for k in np.flatnonzero(~letters & (np.diff(cut) > 0)):
-                    letters[k] = any(map(str.isalpha, own[cut[k] : cut[k + 1]].tobytes().decode("utf-8", "replace")))
+            for i, j in blocks(off, 1 << 20, ROWS):
+                own, edge = buf[off[i] : off[j]], off[i : j + 1] - off[i]
+                letters = np.diff(np.concatenate([[0], np.cumsum(ASCII_LETTERS[own])])[edge]) > 0
+                for k in np.flatnonzero(~letters & (np.diff(edge) > 0)):
+                    letters[k] = any(map(str.isalpha, own[edge[k] : edge[k + 1]].tobytes().decode("utf-8", "replace")))
                 if model.langs:
-                    cos = tfidf(gram_counts(own, cut), model.idf) @ matrix
+                    cos = tfidf(gram_counts(own, edge), model.idf) @ matrix
                     best = np.argmax(cos, axis=1)
                     score = np.where(letters, np.clip(cos[np.arange(j - i), best].astype(float), 0, 1), 0.0)
                     far = ~letters | (score < model.least[best])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memloom.llm import bpe, idstore, langid, media, minhash, mixing, pitmanyor, substrings, toxicity, vectors
-from memloom.llm.shared import fold, new_dir
+from memloom.llm.shared import fold
+from memloom.session import new_dir
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, fold("doc_id", 5) != 0)
-    return langid.predict(docs, model).withColumn("held_out", fold("doc_id", 5) == 0)
+    return langid.predict(docs, model).withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)))
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
-    return toxicity.score(docs, model).withColumn("held_out", fold("doc_id", 5) == 0).withColumn("offending", F.to_json("offending"))
+    return toxicity.score(docs, model).withColumn("held_out", F.coalesce(fold("doc_id", 5) == 0, F.lit(False))).withColumn("offending", F.to_json("offending"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

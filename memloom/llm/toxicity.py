@@ -5,9 +5,10 @@ the noisy-or of its sentences: it is toxic if any sentence is.  Training maximis
 labels through the noisy-or, so blame settles on the sentences that tell toxic documents from others; the same
 sentence scores then locate the offence.
 
-Fitted on a bounded, hash-chosen sample of labelled rows (`MAX_TRAIN`); every text is scored whole.  Defined cases: a
-null or empty text has no sentence and scores 0; without labels of both kinds every text scores the share of label 1;
-several labels of one document count as their largest.
+Fitted on a bounded, hash-chosen sample of labelled rows (`MAX_TRAIN` rows, `TRAIN_BYTES` of text, of texts of up to
+`TEXT_BYTES`); every text is scored whole.  Defined cases: a null or empty text has no sentence and scores 0; without
+labels of both kinds every text scores the share of label 1; several labels of one document count as their largest; a
+null id teaches nothing and is not held out; rows that repeat an id are scored one by one, and all teach.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from memloom.llm.textblocks import Block, mix, texts_of, word_blocks
 
 DIMS = 1 << 18
 MAX_TRAIN = 6000
+TRAIN_BYTES, TEXT_BYTES = 32 << 20, 1 << 20
 MIN_DOCS = 4
 APART = 5.0  # standard deviations between a feature's share of label 1 and all documents'
 KINDS = (None, 4, 5)  # a word's features: itself and its first bytes, which inflected forms share
@@ -97,7 +99,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     share = max_train / max(1, known.count())
     draw = F.pmod(F.xxhash64("_id", F.lit(13)), F.lit(1 << 30)).cast("double") / float(1 << 30)
     few = known.where(draw < share)  # about max_train rows, so that they may be sent to all executors
-    sample = texts_of(docs, id_col, text_col).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label")
+    texts = texts_of(docs, id_col, text_col).where(F.octet_length("text") <= TEXT_BYTES)
+    chosen = texts.join(F.broadcast(few), F.col("doc_id") == F.col("_id"))
+    size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sample = chosen.where(draw < share * min(1.0, TRAIN_BYTES / max(1, size))).select("doc_id", "text", "_label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
