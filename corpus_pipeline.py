@@ -11,7 +11,7 @@ Rows with a null id pass the second stage untouched; a null text counts as empty
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memloom.llm import bpe, minhash, mixing, substrings, toxicity
 from memloom.llm.queries import table, tokenizer_path
@@ -35,11 +35,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_times"), F.row_number().over(Window.partitionBy("doc_id").orderBy("size", "copies")).alias("_m"))
-    # rows that repeat an id are told apart by their place among them
-    rows = docs.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text"), F.xxhash64("text"))))
-    taken = rows.join(mixed.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_m")))
-    return taken.withColumn("_c", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    return mixing.taken_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
