@@ -24,16 +24,15 @@ training text every token has probability 1, as in the add-one base; rows that r
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from memloom.llm.shared import cut
+from memloom.llm.shared import cut, drop, free
 from memloom.llm.textblocks import Block, buckets_of, exchange, give_back, mix, pack, packed_batches, texts_of, unpack_all, word_blocks
 
 SHARE = 1 / 2048  # from this share of all tokens on, a word's pairs are spread over tasks by context
@@ -469,21 +468,6 @@ def _sums(state: DataFrame) -> tuple[float, float]:
     return tuple(np.sum(found, axis=0).tolist()) if found else (0.0, 0.0)
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets Spark clear the files of exchanges that are done with."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def _drop(table: DataFrame) -> None:
-    """Deletes a table that `cut` wrote and no later step reads."""
-    spark = table.sparkSession
-    for at in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    _free(spark)
-
-
 def _answers(rows: DataFrame, n: int) -> DataFrame:
     """To each block: its pairs' customers and tables (PAIR_ANSWER); its words' counts, tables as a context, and customers and tables at the root (WORD_ANSWER).
 
@@ -545,18 +529,18 @@ def score(docs: DataFrame, rest: int = 2, of: int = 7, id_col: str = "doc_id", t
         return rows.where(F.col("kind").isin(*kinds))
 
     pairs = cut(_meet(_blocks(texts, often, rest, of, n, False), n), "pairs")
-    _free(docs.sparkSession)
+    free(docs.sparkSession)
     state = cut(_seat_words(of_kinds(pairs, FIXED, TABLES), n, -1, (0.0, 0.0), base, root_discount), "seating")
     sums = [_sums(state)]
-    _free(docs.sparkSession)
+    free(docs.sparkSession)
     met, pairs = pairs, cut(of_kinds(pairs, STATIC, CODES, ASKED), "pairs")
-    _drop(met)
+    drop(met)
     for sweep in range(SWEEPS):
         seated = _seat_contexts(of_kinds(pairs, STATIC).union(of_kinds(state, TOTALS, SEATS)), n, sweep, sums[-1], base, root_discount)
         last, state = state, cut(_seat_words(seated.union(of_kinds(state, WORDS)), n, sweep, sums[-1], base, root_discount), "seating")
         sums.append(_sums(state))
         del seated
-        _drop(last)
+        drop(last)
     answers = _answers(pairs.union(of_kinds(state, SEATS, WORDS)), n)
     root_t, root_n = (np.array(x) for x in zip(*sums[-KEPT:], strict=True))
 

@@ -1,16 +1,18 @@
 """Substring dedup by recompression.
 
-Rounds of naming shorten every document's word sequence: maximal runs of one symbol get a name, then each pair of a
-"left" and a "right" symbol (a coin flipped on the symbol) gets a name.  A name is a hash of what it stands for, so
-names agree everywhere without an exchange, and equal passages carry equal symbols except near their ends.  With each
-symbol goes its context: the words that alone decide that it arises there.
-
-1. Every window of `window` words picks, of the highest symbols whose context lies inside it, the one with the least
-   hash.  The choice depends on the window's words only, so equal windows pick equal symbols.  A window without such a
-   symbol (long runs of one word) stands for itself.
-2. Picked symbols meet by their context's hash; those that occur once are done with.
-3. Windows under repeated symbols are verified by 96-bit hashes of all their words.  The first in order of
-   (document, position) stays; the words of every other one are removed.
+Levels of naming shorten every document's word sequence: maximal runs of one symbol get a name, then each pair of a
+"left" and a "right" symbol (a coin flipped on the symbol) gets a name.  A name is a hash of what it stands for, so that
+equal passages carry equal symbols everywhere except near their ends.  With each symbol goes its context: the words that
+alone decide that it arises there.
+
+1. A Spark round names `LEVELS` levels of runs and pairs.  Every window of `window` words picks, of the highest symbols
+   whose context lies inside it, the one with the least hash.  The choice depends on the window's words only, so equal
+   windows pick equal symbols.  A window without such a symbol (long runs of one word) stands for itself.
+2. Picked names meet in a table of all names of the round, by their context's hash.  Windows under names that occur once
+   are done with; the next round names the next levels over the windows that are left, whose symbols are longer and
+   rarer.  Rounds go on while they tell windows apart, up to the level that outgrows a window.
+3. Windows under repeated symbols of the last round are verified by 96-bit hashes of all their words.  The first in
+   order of (document, position) stays; the words of every other one are removed.
 
 Equal symbols of one task are merged before each exchange, so a passage that half of all documents share costs one row
 a task.  Exact copies of a whole text are found beforehand and need no windows.
@@ -31,11 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from memloom.llm.shared import cut
+from memloom.llm.shared import cut, drop
 from memloom.llm.textblocks import buckets_for, exchange, mix, pack, packed_batches, running_sequence, span_hash, texts_of, unpack, word_blocks
 
 WINDOW = 20
-ROUNDS = 2
+LEVELS = 2  # named in a round
+WORTH = 0.9  # a round that leaves more than this of the windows is the last
 FLUSH = 4_000_000  # symbols that a task merges at a time
 LAST = (1 << 63) - 1  # the largest number for a row
 
@@ -91,15 +94,16 @@ class Symbols:
         self._take(~tails, name, low, high)
 
 
-def pick(words: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over the windows of a block: key, first window start, and number of windows of each picked symbol."""
+def pick(words: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int = WINDOW, depth: int = LEVELS, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over the windows of a block (or those at `starts`): key, first window start, number of windows, and level of each picked symbol."""
     total = running_sequence(words, 41)
-    starts = np.flatnonzero(np.arange(len(words)) + window <= first[1:][doc])
+    if starts is None:
+        starts = np.flatnonzero(np.arange(len(words)) + window <= first[1:][doc])
     none = np.zeros(0, int)
     if not len(starts):
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.uint64), none, none, none
     levels, symbols = [], Symbols(words, doc, first)
-    for r in range(ROUNDS):
+    for r in range(depth):
         symbols.name_runs(100 + 4 * r)
         symbols.name_pairs(101 + 4 * r)
         levels.append((symbols.name, symbols.low, symbols.high))
@@ -112,7 +116,7 @@ def pick(words: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int = WI
         todo_now, lo, hi = todo[some], lo[some], hi[some]
         best = _least(name, lo, hi)
         key[todo_now] = span_hash(total, low[best], high[best])
-        owner[todo_now] = best * ROUNDS + level
+        owner[todo_now] = best * depth + level
         todo = todo[~some]
         if not len(todo):
             break
@@ -120,7 +124,8 @@ def pick(words: np.ndarray, doc: np.ndarray, first: np.ndarray, window: int = WI
         key[todo] = span_hash(total, starts[todo], starts[todo] + window)
         owner[todo] = -2 - todo
     change = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    return key[change], starts[change], np.diff(np.append(change, len(starts)))
+    of = owner[change]
+    return key[change], starts[change], np.diff(np.append(change, len(starts))), np.where(of < 0, -1, of % depth)
 
 
 def _least(name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -161,7 +166,7 @@ def _later(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray, sub: n
 
 
 def _per_document(replies: DataFrame, columns: tuple) -> DataFrame:
-    """doc_id, sub, spots: the replies to each document, as one packed value."""
+    """doc_id, sub, spots, windows: the replies to each document, as one packed value, and how many windows they name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(x, np.int64, np.uint32, *columns) for b in batches for x in b.column(1).to_pylist()]
@@ -172,26 +177,50 @@ def _per_document(replies: DataFrame, columns: tuple) -> DataFrame:
         doc, sub, cols = doc[order], sub[order], [c[order] for c in cols]
         at = np.flatnonzero(_changes(doc, sub))
         ends = np.append(at[1:], len(doc))
+        count = np.add.reduceat(cols[1].astype(np.int64), at) if len(cols) > 1 else ends - at
         for i in range(0, len(at), 4096):
             spots = [np.int64(e - s).tobytes() + b"".join(c[s:e].tobytes() for c in cols) for s, e in zip(at[i : i + 4096], ends[i : i + 4096], strict=True)]
             own = at[i : i + 4096]
-            yield pa.record_batch([pa.array(doc[own]), pa.array(sub[own].astype(np.int64)), pa.array(spots, pa.binary())], names=["doc_id", "sub", "spots"])
+            yield pa.record_batch([pa.array(doc[own]), pa.array(sub[own].astype(np.int64)), pa.array(spots, pa.binary()), pa.array(count[i : i + 4096])], names=["doc_id", "sub", "spots", "windows"])
 
-    return exchange(replies).mapInArrow(run, "doc_id long, sub long, spots binary")
+    return exchange(replies).mapInArrow(run, "doc_id long, sub long, spots binary, windows long")
 
 
 def _by_document(doc: np.ndarray, sub: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.view(np.uint64) ^ mix(sub, 52), 51) % np.uint64(n)).astype(np.int64)
 
 
-def _repeated_symbols(texts: DataFrame, n: int, window: int) -> DataFrame:
-    """doc_id, sub, spots (first window, number of windows) under symbols that occur more than once."""
+def _starts(spots: list[bytes], block, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows that a block's spots (first window, number of windows) name: where they start in the block, and their rows."""
+    starts, rows = [], []
+    for k in range(block.rows):
+        at, size = unpack(spots[i + k], np.int32, np.uint16)
+        size = size.astype(np.int64)
+        own = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        own.sort()
+        starts.append(own + block.first[k])
+        rows.append(np.full(len(own), k))
+    return np.concatenate(starts), np.concatenate(rows)
+
+
+def _repeated_symbols(texts: DataFrame, n: int, window: int, depth: int) -> DataFrame:
+    """A round: doc_id, sub, spots (first window, number of windows) under symbols of up to `depth` levels that occur more than once.
+
+    texts: doc_id, text, sub, and from the second round on the spots that the last one left, of which those under
+    symbols that were named before stay as they are.
+    """
+    known = depth - LEVELS if "spots" in texts.columns else -1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list) -> Iterator[tuple[int, bytes]]:
-            key, doc, at, sub, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+            key, doc, at, sub, size, level = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.lexsort((sub, at, doc, key))
-            key, doc, at, sub, size = key[order], doc[order], at[order], sub[order], size[order]
+            key, doc, at, sub, size, level = key[order], doc[order], at[order], sub[order], size[order], level[order]
+            stays = level < known
+            yield from ((n + b, x) for b, x in pack(_by_document(doc[stays], sub[stays], n), n, doc[stays], sub[stays], at[stays], size[stays].astype(np.uint16)))
+            key, doc, at, sub, size = (c[~stays] for c in (key, doc, at, sub, size))
+            if not len(key):
+                return
             fresh = _changes(key)
             count = np.diff(np.append(np.flatnonzero(fresh), len(key)))
             often = np.repeat(count > 1, count)
@@ -204,9 +233,9 @@ def _repeated_symbols(texts: DataFrame, n: int, window: int) -> DataFrame:
             for b in batches:
                 ids, subs = np.asarray(b.column(0), np.int64), np.asarray(b.column(2), np.int64).astype(np.uint32)
                 for i, block in word_blocks(b.column(1)):
-                    row = block.row
-                    key, start, size = pick(block.hashes(), row, block.first, window)
-                    parts.append((key, ids[i + row[start]], (start - block.first[row[start]]).astype(np.int32), subs[i + row[start]], size))
+                    row, left = block.row, None if known < 0 else _starts(b.column(3).slice(i, block.rows).to_pylist(), block, 0)[0]
+                    key, start, size, level = pick(block.hashes(), row, block.first, window, depth, left)
+                    parts.append((key, ids[i + row[start]], (start - block.first[row[start]]).astype(np.int32), subs[i + row[start]], size, level))
                     held += len(key)
                     if held > FLUSH:
                         yield from flush(parts)
@@ -259,15 +288,8 @@ def _later_windows(rows: DataFrame, n: int, window: int, border: int) -> DataFra
                 for i, block in word_blocks(b.column(1)):
                     words = block.hashes()
                     total, second = running_sequence(words, 43), running_sequence(words, 47)
-                    starts, names = [], []
-                    for k in range(block.rows):
-                        at, size = unpack(spots[i + k], np.int32, np.uint16)
-                        size = size.astype(np.int64)
-                        own = np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                        starts.append(own + block.first[k])
-                        names.append(np.full(len(own), i + k))
-                    p, row = np.concatenate(starts), np.concatenate(names)
-                    parts.append((span_hash(total, p, p + window), span_hash(second, p, p + window).astype(np.uint32), ids[row], (p - block.first[row - i]).astype(np.int32), subs[row]))
+                    p, row = _starts(spots, block, i)
+                    parts.append((span_hash(total, p, p + window), span_hash(second, p, p + window).astype(np.uint32), ids[i + row], (p - block.first[row]).astype(np.int32), subs[i + row]))
                     held += len(p)
                     if held > FLUSH:
                         yield from flush(parts)
@@ -323,6 +345,22 @@ def _keyed(rows: DataFrame) -> tuple[DataFrame, int]:
     return rows.where("doc_id is not null").unionByName(nulls.withColumn("doc_id", first + F.col("_at")).drop("_part", "_at")), border
 
 
+def _rounds(texts: DataFrame, copies: DataFrame, n: int, window: int) -> DataFrame:
+    """doc_id, sub, spots: the windows that no round of naming has told apart from all others."""
+    key, depth = ["doc_id", "sub"], LEVELS
+    spots = cut(_repeated_symbols(texts, n, window, depth).join(copies, key, "left_anti"), "symbols")
+    left = spots.agg(F.sum("windows")).first()[0] or 0
+    # a pair in four is named at each level, so symbols grow by a third
+    while left and (4 / 3) ** (depth + LEVELS) < window:
+        depth, before = depth + LEVELS, left
+        last, spots = spots, cut(_repeated_symbols(texts.join(spots, key).select("doc_id", "text", "sub", "spots"), n, window, depth), "symbols")
+        drop(last)
+        left = spots.agg(F.sum("windows")).first()[0] or 0
+        if left > WORTH * before:
+            break
+    return spots
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), unchanged: bool = False) -> DataFrame:
     """doc_id, keep columns, n_words, n_removed, kept_text: the words that are left, joined by one space.
 
@@ -336,7 +374,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows = rows.withColumn("sub", F.coalesce(F.xxhash64("text"), F.lit(0)).bitwiseAND(0xFFFFFFFF))
     texts, key = rows.select("doc_id", "text", "sub"), ["doc_id", "sub"]
     copies = cut(_copies(texts, border), "copies")
-    spots = cut(_repeated_symbols(texts, n, window).join(copies, key, "left_anti"), "symbols")
+    spots = _rounds(texts, copies, n, window)
     later = cut(_later_windows(texts.join(spots, key).select("doc_id", "text", "sub", "spots"), n, window, border), "windows")
     marks = later.select(*key, "spots", F.lit(False).alias("copy")).union(copies.select(*key, F.lit(None).cast("binary"), F.lit(True)))
 
