@@ -9,13 +9,15 @@ merely looks like a signature fails its validator and is not reported.
 its signature and lengths alone.
 
 Defined cases: a null value has type null and no parts; an empty value is `application/octet-stream`; media inside
-media (from its first byte to its end) is not reported twice.
+media (from its first byte to its end) is not reported twice; rows that repeat an id are stored and described one by one.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -57,7 +59,29 @@ def automaton():
     return a
 
 
-def _png(d: bytes, s: int) -> int | None:
+class Marks:
+    """Where byte strings stand in a value, each looked for once however many signatures ask."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {}
+
+    def __call__(self, mark: bytes) -> list[int]:
+        if mark not in self.found:
+            self.found[mark] = [m.start() for m in re.finditer(re.escape(mark), self.data)]
+        return self.found[mark]
+
+    def next(self, mark: bytes, at: int) -> int | None:
+        """The first one from `at` on."""
+        found = self(mark)
+        return found[k] if (k := bisect.bisect_left(found, at)) < len(found) else None
+
+    def last(self, mark: bytes, at: int, end: int) -> int | None:
+        """The last one from `at` on, before `end`."""
+        found = self(mark)
+        return found[k] if (k := bisect.bisect_left(found, end) - 1) >= 0 and found[k] >= at else None
+
+
+def _png(d: bytes, s: int, marks: Marks) -> int | None:
     at = s + 8
     while at + 12 <= len(d):
         size, kind = struct.unpack_from(">I4s", d, at)
@@ -76,7 +100,7 @@ def _blocks(d: bytes, at: int) -> int:
     return at + 1
 
 
-def _gif(d: bytes, s: int) -> int | None:
+def _gif(d: bytes, s: int, marks: Marks) -> int | None:
     try:
         at = s + 13 + (3 << (d[s + 10] & 7) + 1 if d[s + 10] & 0x80 else 0)
         while True:
@@ -92,7 +116,7 @@ def _gif(d: bytes, s: int) -> int | None:
         return None
 
 
-def _jpeg(d: bytes, s: int) -> int | None:
+def _jpeg(d: bytes, s: int, marks: Marks) -> int | None:
     at = s + 2
     while at + 4 <= len(d) and d[at] == 0xFF and d[at + 1] not in (0xD8, 0xD9, 0x00):
         kind, size = d[at + 1], struct.unpack_from(">H", d, at + 2)[0]
@@ -113,7 +137,7 @@ def _jpeg(d: bytes, s: int) -> int | None:
     return None
 
 
-def _bmp(d: bytes, s: int) -> int | None:
+def _bmp(d: bytes, s: int, marks: Marks) -> int | None:
     if s + 30 > len(d):
         return None
     size, spare, start, head, width, height, planes, bits = struct.unpack_from("<IIIIiiHH", d, s + 2)
@@ -133,21 +157,24 @@ def _riff(d: bytes, s: int) -> tuple[int, str] | None:
     return (end, kind) if at == end else None
 
 
-def _pdf(d: bytes, s: int) -> int | None:
-    end = d.find(b"%%EOF", s)
-    return end + 5 if end >= 0 and d.find(b"startxref", s, end) >= 0 else None
+def _pdf(d: bytes, s: int, marks: Marks) -> int | None:
+    """To the last end mark before another PDF: updates of a file are written after its first one."""
+    limit = marks.next(b"%PDF-", s + 5)
+    end = marks.last(b"%%EOF", s, len(d) if limit is None else limit)
+    start = None if end is None else marks.next(b"startxref", s)
+    return end + 5 if start is not None and start < end else None
 
 
-def _zip(d: bytes, s: int) -> int | None:
-    end = d.find(b"PK\x05\x06", s)
-    if end < 0 or end + 22 > len(d):
+def _zip(d: bytes, s: int, marks: Marks) -> int | None:
+    end = marks.next(b"PK\x05\x06", s)
+    if end is None or end + 22 > len(d):
         return None
     size, start, note = struct.unpack_from("<IIH", d, end + 12)
     ok = s + start + size == end and (size == 0 or d[s + start : s + start + 4] == b"PK\x01\x02") and end + 22 + note <= len(d)
     return end + 22 + note if ok else None
 
 
-def _gzip(d: bytes, s: int) -> int | None:
+def _gzip(d: bytes, s: int, marks: Marks) -> int | None:
     work, at = zlib.decompressobj(31), s
     try:
         while at < len(d) and not work.eof:
@@ -158,7 +185,7 @@ def _gzip(d: bytes, s: int) -> int | None:
     return min(at, len(d)) - len(work.unused_data) if work.eof else None
 
 
-def _ogg(d: bytes, s: int) -> int | None:
+def _ogg(d: bytes, s: int, marks: Marks) -> int | None:
     at, pages = s, 0
     while d[at : at + 4] == b"OggS" and at + 27 <= len(d) and d[at + 4] == 0:
         n = d[at + 26]
@@ -168,26 +195,106 @@ def _ogg(d: bytes, s: int) -> int | None:
     return at if pages else None
 
 
-def _flac(d: bytes, s: int) -> int | None:
-    at, last = s + 4, False
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for x in range(256):
+        x <<= bits - 8
+        for _ in range(8):
+            x = (x << 1 ^ (poly if x >> bits - 1 else 0)) & (1 << bits) - 1
+        out.append(x)
+    return out
+
+
+CRC8, CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_header(d: bytes, s: int) -> int | None:
+    """The end of a frame header: its number's length, optional sizes, and a checksum over all of it."""
+    if s + 6 > len(d) or d[s] != 0xFF or d[s + 1] not in (0xF8, 0xF9) or d[s + 3] & 1:
+        return None
+    size, rate, lead = d[s + 2] >> 4, d[s + 2] & 15, d[s + 4]
+    number = 1 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length()
+    if size == 0 or rate == 15 or d[s + 3] >> 4 > 10 or not 1 <= number <= 7 or 0x80 <= lead < 0xC0:
+        return None
+    end = s + 4 + number + {6: 1, 7: 2}.get(size, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    crc = 0
+    for x in d[s:end]:
+        crc = CRC8[crc ^ x]
+    return end + 1 if end < len(d) and d[end] == crc else None
+
+
+def _flac_frame(d: bytes, s: int, least: int) -> int | None:
+    """The end of a frame, where its checksum closes: before another frame's header if there is one, else at the first such place."""
+    if (at := _flac_header(d, s)) is None:
+        return None
+    crc, first = 0, None
+    for i in range(s, len(d)):
+        crc = (crc << 8 & 0xFFFF) ^ CRC16[crc >> 8 ^ d[i]]
+        # over a frame and its own checksum it is 0
+        if crc == 0 and i + 1 >= max(at + 2, s + least):
+            first = first or i + 1
+            if i + 1 == len(d) or _flac_header(d, i + 1) is not None:
+                return i + 1
+        if first and i > first + FLAC_FAR:
+            break
+    return first
+
+
+FLAC_FAR = 1 << 16  # bytes after a possible end in which another frame may still show that it was none
+
+
+def _flac(d: bytes, s: int, marks: Marks) -> int | None:
+    at, last, least = s + 4, False, 0
     while not last:
         if at + 4 > len(d):
             return None
         last, kind, size = d[at] >> 7, d[at] & 127, int.from_bytes(d[at + 1 : at + 4], "big")
         if (at == s + 4) != (kind == 0) or (kind == 0 and size != 34) or at + 4 + size > len(d):
             return None
+        if kind == 0:
+            least = int.from_bytes(d[at + 8 : at + 11], "big")
         at += 4 + size
-    return len(d) if d[at : at + 2] in (b"\xff\xf8", b"\xff\xf9") else None
+    end = None
+    while (to := _flac_frame(d, at, least)) is not None:
+        at = end = to
+    return end
+
+
+# Kilobits a second of MPEG audio by version 1 or 2 and layer, and samples a second of version 1.
+MPEG_RATES = {
+    (1, 1): (32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+    (2, 3): (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+MPEG_SAMPLES = (44100, 48000, 32000)
+
+
+def _mpeg_frame(d: bytes, s: int) -> int | None:
+    """The end of a frame, which its header tells."""
+    if s + 4 > len(d) or d[s] != 0xFF or d[s + 1] & 0xE0 != 0xE0:
+        return None
+    version, layer, rate, sample, pad = d[s + 1] >> 3 & 3, 4 - (d[s + 1] >> 1 & 3), d[s + 2] >> 4, d[s + 2] >> 2 & 3, d[s + 2] >> 1 & 1
+    if version == 1 or layer == 4 or rate in (0, 15) or sample == 3:
+        return None
+    kbits = MPEG_RATES[1 if version == 3 else 2, layer][rate - 1]
+    hertz = MPEG_SAMPLES[sample] // {3: 1, 2: 2, 0: 4}[version]
+    size = (12000 * kbits // hertz + pad) * 4 if layer == 1 else (72000 if layer == 3 and version != 3 else 144000) * kbits // hertz + pad
+    return s + size if s + size <= len(d) else None
 
 
-def _mp3(d: bytes, s: int) -> int | None:
+def _mp3(d: bytes, s: int, marks: Marks) -> int | None:
     if s + 10 > len(d) or d[s + 3] not in (2, 3, 4) or any(x & 0x80 for x in d[s + 6 : s + 10]):
         return None
-    at = s + 10 + sum(x << 7 * (3 - i) for i, x in enumerate(d[s + 6 : s + 10]))
-    return len(d) if at + 2 <= len(d) and d[at] == 0xFF and d[at + 1] & 0xE0 == 0xE0 else None
+    at, end = s + 10 + sum(x << 7 * (3 - i) for i, x in enumerate(d[s + 6 : s + 10])), None
+    while (to := _mpeg_frame(d, at)) is not None:
+        at = end = to
+    return end + 128 if end and d[end : end + 3] == b"TAG" and end + 128 <= len(d) else end
 
 
-def _mp4(d: bytes, s: int) -> int | None:
+def _mp4(d: bytes, s: int, marks: Marks) -> int | None:
     at, seen = s, set()
     while at + 8 <= len(d):
         size, kind = struct.unpack_from(">I4s", d, at)
@@ -207,7 +314,7 @@ CHECKS = {
 def find_media(data: bytes) -> list[tuple[str, int, int]]:
     """(type, start, end) of all valid media in data, in order, none inside another."""
     found: list[tuple[str, int, int]] = []
-    free = 0
+    free, marks = 0, Marks(data)
     for end, (size, kind, at) in automaton().iter(data.decode("latin-1")):
         start = end + 1 - size - at
         if start < free:
@@ -216,7 +323,7 @@ def find_media(data: bytes) -> list[tuple[str, int, int]]:
             got = _riff(data, start)
             stop, kind = got if got else (None, kind)
         else:
-            stop = CHECKS[kind](data, start)
+            stop = CHECKS[kind](data, start, marks)
         if stop is not None:
             found.append((kind, start, stop))
             free = stop

@@ -6,6 +6,7 @@ import io
 import math
 import random
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -177,6 +178,20 @@ def png():
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
 
 
+def crc(data, table, bits):
+    x = 0
+    for b in data:
+        x = (x << 8 & (1 << bits) - 1) ^ table[(x >> bits - 8) ^ b]
+    return x.to_bytes(bits // 8, "big")
+
+
+def flac_frame(number, size):
+    rng = random.Random(number)
+    head = b"\xff\xf8\xc9\x08" + bytes([number])
+    body = head + crc(head, media.CRC8, 8) + bytes(rng.randrange(256) for _ in range(size))
+    return body + crc(body, media.CRC16, 16)
+
+
 def samples():
     z = io.BytesIO()
     with zipfile.ZipFile(z, "w") as f:
@@ -186,9 +201,9 @@ def samples():
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04cd" + b"\x12\xff\x00\x34" + b"\xff\xd9"
     mp4 = struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4s", 12, b"mdat") + b"data"
     ogg = b"OggS\0\x02" + bytes(20) + b"\x01\x05hello"
-    flac = b"fLaC\x80\x00\x00\x22" + bytes(34) + b"\xff\xf8\x00\x00"
-    mp3 = b"ID3\x03\0\0\0\0\0\x04abcd\xff\xfb\x90\0"
-    pdf = b"%PDF-1.4\nstartxref\n0\n%%EOF"
+    flac = b"fLaC\x80\x00\x00\x22" + bytes(34) + flac_frame(0, 90) + flac_frame(1, 300) + flac_frame(2, 17)
+    mp3 = b"ID3\x03\0\0\0\0\0\x04abcd" + 3 * (b"\xff\xfb\x90\0" + bytes(413)) + b"TAG" + bytes(125)
+    pdf = b"%PDF-1.4\nstartxref\n0\n%%EOF\n1 0 obj\nstartxref\n9\n%%EOF"
     return {
         "image/png": png(), "application/zip": z.getvalue(), "application/gzip": gzip.compress(b"text"), "image/bmp": bmp, "image/gif": gif, "image/jpeg": jpeg,
         "video/mp4": mp4, "audio/ogg": ogg, "audio/flac": flac, "audio/mpeg": mp3, "application/pdf": pdf, "audio/wav": media.wave(b"abc"),
@@ -208,10 +223,23 @@ def test_carving_and_false_signatures():
     assert [(t, d[s:e] in (png(), media.wave(b"xy"))) for t, s, e in media.find_media(d)] == [("image/png", True), ("audio/wav", True)]
     for t, x in samples().items():
         for broken in (x[: len(x) // 2], x[:9]):
-            assert all(k != t or s > 0 or t in ("application/pdf",) for k, s, _ in media.find_media(broken)), t
+            assert all(k != t or s > 0 or t in ("application/pdf", "audio/flac", "audio/mpeg") for k, s, _ in media.find_media(broken)), t
     assert media.find_media(b"") == []
 
 
+def test_media_end_where_they_end():
+    """What follows a stream without a length of its own is carved as well, and a lost tail isn't part of it."""
+    for kind in ("audio/flac", "audio/mpeg", "application/pdf"):
+        x = samples()[kind]
+        assert media.find_media(b"-" + x + b"tail" + png() + x) == [(kind, 1, 1 + len(x)), ("image/png", 5 + len(x), 5 + len(x) + len(png())), (kind, 5 + len(x) + len(png()), 5 + 2 * len(x) + len(png()))]
+    flac = samples()["audio/flac"]
+    assert media.find_media(flac[:-3]) == [("audio/flac", 0, len(flac) - len(flac_frame(2, 17)))]
+    assert media.find_media(flac[:60]) == [] and media.find_media(samples()["audio/mpeg"][:300]) == []
+    began = time.process_time()
+    assert media.find_media(b"%PDF-" * 40_000) == [] and media.find_media(b"PK\x03\x04" * 40_000) == []
+    assert time.process_time() - began < 3
+
+
 def test_media_columns(spark, docs, none, rows):
     got = Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media.media_digest(docs).collect())
     want = Counter()
