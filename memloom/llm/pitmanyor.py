@@ -354,12 +354,12 @@ def seat_root(customers: np.ndarray, t: np.ndarray, z: np.ndarray, fresh: float,
     return np.where(take, new, t), np.where(take, new_z, z)
 
 
-def sample(pair_word: np.ndarray, pair_ctx: np.ndarray, pair_n: np.ndarray, words: int, context_n: np.ndarray, vocabulary: int, root_discount: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The sweeps over a corpus that one task holds; context 0 is the root itself.
+def sample(pair_word: np.ndarray, pair_ctx: np.ndarray, pair_n: np.ndarray, words: int, context_n: np.ndarray, vocabulary: int, root_discount: float, seed: int = 0, names: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sweeps over a corpus that one task holds; context 0 is the root itself. names: hashes of words and contexts, for their draws.
 
     Of pairs with training counts: mean tables; of words and kept sweeps: customers and tables at the root; of contexts and kept sweeps: tables, in row 0 the root's, and in a last row the root's customers.
     """
-    words_at, contexts_at = (mix(np.arange(k, dtype=np.uint64), salt + 100 * seed) for k, salt in ((words, 1), (len(context_n), 2)))
+    words_at, contexts_at = names or (mix(np.arange(k, dtype=np.uint64), salt + 100 * seed) for k, salt in ((words, 1), (len(context_n), 2)))
     own = np.flatnonzero((pair_ctx > 0) & (pair_n > 0))
     w, u, c = pair_word[own], pair_ctx[own], pair_n[own]
     direct = np.bincount(pair_word[pair_ctx == 0], weights=pair_n[pair_ctx == 0], minlength=words)
@@ -370,7 +370,7 @@ def sample(pair_word: np.ndarray, pair_ctx: np.ndarray, pair_n: np.ndarray, word
     mean, root, totals = np.zeros(len(pair_n)), np.zeros((2, words, KEPT)), np.zeros((len(context_n) + 1, KEPT))
     for sweep in range(SWEEPS):
         new_at_root = (STRENGTH + root_discount * root_t.sum()) * base
-        parent = (root_c - root_discount * root_t + new_at_root) / (STRENGTH + root_c.sum())
+        parent = ((root_c - root_discount * root_t).astype(np.float32).astype(float) + new_at_root) / (STRENGTH + root_c.sum())
         tables = np.bincount(u, weights=t, minlength=len(context_n))
         t, z = seat_pairs(c, t, z, (STRENGTH + DISCOUNT * tables)[u] * parent[w], pair_keys(words_at[w], contexts_at[u], sweep))
         root_c = direct + np.bincount(w, weights=t, minlength=words)
