@@ -209,7 +209,7 @@ def chunked(files: DataFrame, chunk_size: int = 512, sessions_as_markdown: bool
 
 def jsonl_chunked(files: DataFrame) -> DataFrame:
     """The line chunker alone, without leaving the JVM."""
-    lines = files.select("path", "source", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = files.select("path", "source", F.posexplode_outer(F.split("text", "\n", -1)).alias("at", "line"))
     rows = lines.select("path", "source", (F.col("at") + 1).alias("start_line"), (F.col("at") + 1).alias("end_line"), tx.trim(F.col("line")).alias("text")).where("text <> ''")
     hashed = rows.withColumn("hash", tx.content_hash(F.col("text")))
     return hashed.withColumn("id", F.sha2(F.concat_ws(":", "source", "path", "start_line", "end_line", "hash"), 256))
