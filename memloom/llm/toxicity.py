@@ -8,7 +8,8 @@ sentence scores then locate the offence.
 Fitted on a bounded, hash-chosen sample of labelled rows (`MAX_TRAIN` rows, `TRAIN_BYTES` of text, of texts of up to
 `TEXT_BYTES`); every text is scored whole.  Defined cases: a null or empty text has no sentence and scores 0; without
 labels of both kinds every text scores the share of label 1; several labels of one document count as their largest; a
-null id teaches nothing and is not held out; rows that repeat an id are scored one by one, and all teach.
+null id or text teaches nothing, and a null id is not held out; rows that repeat an id are scored one by one, and all
+teach.
 """
 
 from __future__ import annotations
