@@ -8,12 +8,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom.functions import text as tx
+from memloom.operators import facts as fc
 from memloom.plans import catalogue
 from tests.test_catalogue import DATA, pytestmark as needs_tables
 
 PIECES = [" ", "  ", "\t", "　", "\n", "\r", " ", "x", "é", "😀", "[ref:", "]", " [ref:a]", "_(source:", ")_", " _(source: chat)_", " — 2024-01-02 x", " — 12", "—", "- ", "﻿"]
 
 
+def test_best_matches_of_long_texts(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    rows = [("a", i, " ".join(words[i:])) for i in range(1, 9)] + [("a", 0, None), ("b", 1, "x x  y"), ("b", 2, "x x  y"), ("c", 3, "x"), ("d", 1, "x")]
+    entries = spark.createDataFrame(rows, "path string, start_line int, fact string")
+    wanted = spark.createDataFrame([("a", " ".join(words[3:])), ("b", "x  z"), ("b", "y"), ("c", None), ("e", "x")], "path string, wanted string")
+    began = time.perf_counter()
+    got = {(r["path"], (r["wanted"] or "-")[:4]): (r["shared"], r["start_line"]) for r in fc.best_matches(entries, wanted).collect()}
+    assert got == {("a", "w3 w"): (19_997, 1), ("b", "x  z"): (3, 1), ("b", "y"): (1, 1), ("c", "-"): (0, 3)}
+    assert time.perf_counter() - began < 60
+
+
 def test_entry_fact_is_the_pattern(spark):
     """Against the one pattern, in Python, where what ends a line is spelled out."""
     pick = random.Random(3)
