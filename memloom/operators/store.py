@@ -6,12 +6,17 @@ readers see either all of a commit or none, and of two writers that started from
 again then, and rows that are only added are added to the newer version.  A version also holds the schema version and
 chunk size; a store made with others is rebuilt from the sources, which keeps only the embedding cache.
 
+A sync adds the chunks of new and changed files, each with its part of the index, and the numbers of what it replaces or
+removes; readers leave out chunks whose number is gone.  So chunks and index are written once and never dealt out.  They
+are written anew, without what is gone, after `SYNC_FOLDERS` syncs or when more is gone than left.
+
 The lock of the one embedding writer is a lease with the holder's host: it counts until it is given back or runs out; on
 the holder's own host also no longer than its process.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import socket
@@ -26,11 +31,13 @@ from memloom.operators import sync as sy
 from memloom.operators.chunkers import chunked
 from memloom.operators.search import Index, counted_accesses
 from memloom.operators.status import counts, warnings
-from memloom.schemas import SCHEMA_VERSION, TABLES
+from memloom.schemas import SCHEMA_VERSION, STORED, TABLES
+from memloom.session import spread
 
 LOG, LOCK, LOCK_MS = "log", "LOCK", 3_600_000
 TRIES = 5
 LOG_FOLDERS = 64  # of the access log, before they are put together
+SYNC_FOLDERS = 64  # of chunks, likewise
 
 
 class Conflict(RuntimeError):
@@ -97,27 +104,45 @@ class Store:
         return self._latest() or {"version": 0, "tables": {}}
 
     def table(self, name: str) -> DataFrame:
-        at = self.state["tables"].get(name)
+        state = self.state
+        if name == "postings":
+            return ix.postings_of(self._chunks(state))
+        if name == "doc_stats":
+            return ix.lengths_of(self._chunks(state))
+        rows = self._chunks(state) if name == "chunks" else self._stored(name, state)
+        return rows.select(*_columns(TABLES[name]))
+
+    def _stored(self, name: str, state: dict) -> DataFrame:
+        at = state["tables"].get(name)
         if not at:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*(f"{self.root}/{x}" for x in at))
+            return self.spark.createDataFrame([], STORED[name]).where("false")
+        return self.spark.read.schema(STORED[name]).parquet(*(f"{self.root}/{x}" for x in at))
+
+    def _chunks(self, state: dict) -> DataFrame:
+        """Chunks that are not gone, with their part of the index."""
+        rows = self._stored("chunks", state)
+        return sy.left_of(rows, self._stored("gone", state)) if state["tables"].get("gone") else rows
+
+    def _write(self, rows: DataFrame, at: str) -> None:
+        rows.write.option("compression", "zstd").parquet(f"{self.root}/{at}")
 
-    def commit(self, tables: dict[str, DataFrame], append: dict[str, DataFrame] | None = None, since: dict | None = None) -> int:
+    def commit(self, tables: dict[str, DataFrame], append: dict[str, DataFrame] | None = None, since: dict | None = None, marks: dict | None = None) -> int:
         """New contents of some tables, rows to add to others; the rest stays.
 
         `since` is the state that the new contents were made from (by default what is there now): raises `Conflict` where
         another writer was faster.  Rows that are only added don't depend on it and go to whatever is the latest version.
+        `marks` are what else the version's file says.
         """
         state, made = since or self.state, {}
         for name, rows in {**tables, **(append or {})}.items():
             made[name] = f"{name}/v={state['version'] + 1}-{uuid.uuid4().hex[:8]}"
-            rows.select(*[f.name for f in self.table(name).schema]).write.parquet(f"{self.root}/{made[name]}")
+            self._write(rows.select(*_columns(STORED[name])), made[name])
         for left in reversed(range(TRIES)):
             places = dict(state["tables"])
             for name, at in made.items():
                 places[name] = [*places.get(name, []), at] if name not in tables else [at]
             try:
-                self._put({"version": state["version"] + 1, "tables": places})
+                self._put({**state, **(marks or {}), "version": state["version"] + 1, "tables": places})
                 return state["version"] + 1
             except Conflict:
                 if tables or not left:
@@ -128,7 +153,7 @@ class Store:
     def vacuum(self, work: bool = True) -> int:
         """Removes table folders that the latest version doesn't name, older versions, and what stopped writers left in work/."""
         kept, gone = {x for v in self.state["tables"].values() for x in v}, 0
-        for name in TABLES:
+        for name in STORED:
             if self._fs.exists(self._path(name)):
                 for s in self._fs.listStatus(self._path(name)):
                     if f"{name}/{s.getPath().getName()}" not in kept:
@@ -182,7 +207,7 @@ class Store:
         for left in reversed(range(TRIES)):
             work = f"work/{uuid.uuid4().hex}"
             try:
-                return write(f"{self.root}/{work}")
+                return write(work)
             except Conflict:
                 if not left:
                     raise
@@ -194,28 +219,36 @@ class Store:
         since = self.state
         files = self.table("files")
         protect = source != "sessions"
-        sy.classify(listing, files.where(F.col("source") == source), force, protect).write.parquet(f"{work}/plan")
-        plan = self.spark.read.parquet(f"{work}/plan")
+        number = F.when(F.col("action") == "index", F.lit(since.get("next", 0)) + F.monotonically_increasing_id()).otherwise(F.col("no"))
+        found = sy.classify(listing, files.where(F.col("source") == source), force, protect).withColumn("was", F.col("no")).withColumn("no", number)
+        self._write(found, f"{work}/plan")
+        plan = self.spark.read.schema(found.schema).parquet(f"{self.root}/{work}/plan")
         done = sy.outcome(plan).first().asDict()
         if done["indexed"] or done["deleted"] or plan.where("action = 'touch'").limit(1).count():
-            changed = plan.where("action in ('index', 'delete')").select("path", "source")
-            chunks = self.table("chunks")
-            gone = chunks.join(changed, ["path", "source"]).select("id")
-            fresh = chunked(plan.where("action = 'index'"), self.chunk_size).withColumn("updated_at", F.lit(now).cast("long"))
-            fresh.dropDuplicates(["id"]).write.parquet(f"{work}/chunks")
-            fresh = self.spark.read.parquet(f"{work}/chunks")
-            ix.indexed(fresh).write.parquet(f"{work}/index")
-            made = self.spark.read.parquet(f"{work}/index")
-            rest = sy.without(chunks, changed, "path", "source")
-            others = files.where(F.col("source") != source)
-            self.commit({
-                "files": others.unionByName(sy.next_files(plan)),
-                "chunks": rest.unionByName(fresh.select(*rest.columns)),
-                "postings": sy.without(self.table("postings"), gone, "id").unionByName(ix.postings_of(made)),
-                "doc_stats": sy.without(self.table("doc_stats"), gone, "id").unionByName(ix.lengths_of(made)),
-            }, since=since)
+            new, old = plan.where("action = 'index'"), plan.where("was is not null and action in ('index', 'delete')").count()
+            tables, append = {"files": files.where(F.col("source") != source).unionByName(sy.next_files(plan))}, {}
+            marks = {"dead": since.get("dead", 0) + old}
+            if done["indexed"]:
+                fresh = chunked(spread(new), self.chunk_size, numbered=True)
+                # only a file that is listed twice can have a chunk twice
+                name = F.concat_ws(":", F.coalesce("source", F.lit("None")), F.coalesce("path", F.lit("None")))
+                if not new.groupBy(name.alias("name")).count().where("count > 1").isEmpty():
+                    fresh = fresh.dropDuplicates(["id"])
+                append["chunks"] = ix.with_index(fresh, fresh.columns).withColumn("updated_at", F.lit(now).cast("long"))
+                marks["next"] = new.agg(F.max("no")).first()[0] + 1
+            if old:
+                append["gone"] = sy.gone(plan)
+            self.commit(tables, append, since, marks)
+            self._put_together()
         return {k: int(v or 0) for k, v in done.items()}
 
+    def _put_together(self) -> None:
+        state = self.state
+        dead = state.get("dead", 0)
+        if (dead and dead > self.table("files").count()) or len(state["tables"].get("chunks", [])) >= SYNC_FOLDERS:
+            with contextlib.suppress(Conflict):  # the next sync does it
+                self.commit({"chunks": self._chunks(state), "gone": self._stored("gone", state).where("false")}, since=state, marks={"dead": 0})
+
     def backfill(self, embed_fn: sy.EmbedFn | None, now_ms: int | None = None) -> bool:
         """Vectors of all chunks that lack one. False where another writer holds the lock."""
         if not self.lock():
@@ -230,8 +263,8 @@ class Store:
 
         def materialize(df: DataFrame) -> DataFrame:
             at = f"{work}/{next(n)}"
-            df.write.parquet(at)
-            return self.spark.read.schema(df.schema).parquet(at)
+            self._write(df, at)
+            return self.spark.read.schema(df.schema).parquet(f"{self.root}/{at}")
 
         since = self.state
         cache = sy.salvaged(self.table("vectors"), self.table("chunks"), self.table("cache"))
@@ -262,6 +295,10 @@ class Store:
         return counts(files, chunks, self.table("vectors"), self.table("cache")).first().asDict() | {"warnings": warnings(files, chunks)}
 
 
+def _columns(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
 def _alive(pid: int) -> bool:
     try:
         os.kill(pid, 0)

@@ -16,10 +16,12 @@ def classify(listing: DataFrame, files: DataFrame, force: bool = False, protect_
     """path, source, action (skip, touch, index, delete, keep), hash, mtime_ms, size, text.
 
     Nothing is read of a file whose time (to the millisecond) and size are as before.  Content of an unchanged hash only
-    touches the entry.  An unreadable file keeps its old rows, or loses them where that is not wanted (sessions).
+    touches the entry.  An unreadable file keeps its old rows, or loses them where that is not wanted (sessions).  A
+    number `no` of files comes along.  The files are what is held of a join's two sides, so that no texts are sorted.
     """
+    number = ["no"] if "no" in files.columns else []
     new = listing.select("path", "source", F.col("mtime_ms").alias("m"), F.col("size").alias("s"), "text")
-    joined = new.join(files.select("path", "source", "hash", "mtime_ms", "size"), ["path", "source"], "full_outer")
+    joined = new.join(files.select("path", "source", "hash", "mtime_ms", "size", *number).hint("shuffle_hash"), ["path", "source"], "full_outer")
     seen, old = F.col("m").isNotNull(), F.col("hash").isNotNull()
     same = old & (F.abs(F.col("m") - F.col("mtime_ms")) < 1) & (F.col("s") == F.col("size"))
     content = tx.content_hash(F.col("text"))
@@ -32,7 +34,7 @@ def classify(listing: DataFrame, files: DataFrame, force: bool = False, protect_
     )
     kept = F.when(action == "index", content).otherwise(F.col("hash"))
     changed = action.isin("index", "touch")
-    return joined.select("path", "source", action.alias("action"), kept.alias("hash"), F.when(changed, F.col("m")).otherwise(F.col("mtime_ms")).alias("mtime_ms"), F.when(changed, F.col("s")).otherwise(F.col("size")).alias("size"), F.when(action == "index", F.col("text")).alias("text"))
+    return joined.select("path", "source", action.alias("action"), kept.alias("hash"), F.when(changed, F.col("m")).otherwise(F.col("mtime_ms")).alias("mtime_ms"), F.when(changed, F.col("s")).otherwise(F.col("size")).alias("size"), F.when(action == "index", F.col("text")).alias("text"), *number)
 
 
 def outcome(classified: DataFrame) -> DataFrame:
@@ -42,7 +44,20 @@ def outcome(classified: DataFrame) -> DataFrame:
 
 
 def next_files(classified: DataFrame) -> DataFrame:
-    return classified.where((F.col("action") != "delete") & F.col("hash").isNotNull()).select("path", "source", "hash", "mtime_ms", "size")
+    return classified.where((F.col("action") != "delete") & F.col("hash").isNotNull()).select("path", "source", "hash", "mtime_ms", "size", *(c for c in classified.columns if c == "no"))
+
+
+def gone(classified: DataFrame) -> DataFrame:
+    """word, bits: the old numbers (`was`) of files that were indexed anew or deleted, 64 in a row."""
+    by_file = classified.where("was is not null or action in ('index', 'delete')").groupBy("path", "source")
+    numbers = by_file.agg(F.bool_or(F.col("action").isin("index", "delete")).alias("changed"), F.collect_set("was").alias("was")).where("changed").select(F.explode("was").alias("was"))
+    return numbers.select(F.expr("shiftright(was, 6)").alias("word"), F.expr("shiftleft(1L, cast(was & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def left_of(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose number `no` isn't gone. They stay where they are: gone numbers are sent to every task, a bit each."""
+    words = gone.groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    return rows.join(F.broadcast(words), F.expr("shiftright(no, 6)") == F.col("word"), "left").where("bits is null or getbit(bits, cast(no & 63 as int)) = 0").select(*rows.columns)
 
 
 def without(rows: DataFrame, gone: DataFrame, *on: str) -> DataFrame:

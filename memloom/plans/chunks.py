@@ -130,7 +130,7 @@ c AS ({cut_sql('trimmed', 2048)}) SELECT {PLACED} FROM c""")
 def store_sync(spark, sf_dir):
     """Chunks of a store after a second sync, for which German files have grown and Spanish ones are gone."""
     store = Store(spark, new_dir(spark, "store"))
-    d = as_jsonl(files(spark, sf_dir)).join(table(spark, sf_dir, "documents").select(F.format_string("memory/%d.jsonl", "doc_id").alias("path"), "lang"), "path")
+    d = as_jsonl(files(spark, sf_dir, "lang"))
     store.sync(d.drop("lang"), now_ms=1)
     german = F.coalesce(F.col("lang") == "de", F.lit(False))
     after = d.where("lang <> 'es' or lang is null").withColumn("text", F.when(german, F.concat("text", F.lit("\nmore"))).otherwise(F.col("text")))

@@ -271,3 +271,55 @@ def test_config_commands(tmp_path, capsys):
     assert json.loads(capsys.readouterr().out) == {"profiles": ["default", "work"]}
     cli.main([*at, "config", "drop", "work"])
     assert json.loads(capsys.readouterr().out) == {"dropped": True}
+
+
+def held(s):
+    return {name: sorted(map(str, s.table(name).drop("updated_at").collect())) for name in ("chunks", "postings", "doc_stats")}
+
+
+def test_a_sync_writes_only_what_changed(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    rows = [(f"memory/{i}.jsonl", "memory", 1.0, 1, f"line {i}\nmore") for i in range(150)]
+    s.sync(listing(spark, *rows))
+    (first,) = s.state["tables"]["chunks"]
+    assert s.sync(listing(spark, ("memory/0.jsonl", "memory", 2.0, 3, "new"), *rows[2:])) == {"indexed": 1, "skipped": 148, "deleted": 1}
+    kept, added = s.state["tables"]["chunks"]
+    assert kept == first and spark.read.parquet(f"{s.root}/{added}").count() == 1
+    assert not {"postings", "doc_stats"} & set(os.listdir(tmp_path / "store"))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("chunks", "postings", "doc_stats"):  # what is gone goes to the chunks, which stay where they are
+            plan = s.table(name)._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        plan = sy.classify(listing(spark, *rows), s.table("files"))._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+
+
+def test_many_syncs_leave_what_one_would(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("memloom.operators.store.SYNC_FOLDERS", 4)
+    s, folders = Store(spark, f"file://{tmp_path}/many"), []
+    row = lambda i, n: (f"memory/{i}.jsonl", "memory", float(n), n, f"file {i}\nas of {n}\n...")
+    at = {i: 0 for i in range(140)}
+    # a third changes; most change; few change and some go; all go but one; another one comes
+    for n, (changed, left) in enumerate([(range(0), 140), (range(0, 140, 3), 140), (range(10, 140), 140), (range(5), 100), (range(1), 1), (range(200, 201), 201)]):
+        at = {i: n if i in changed else at[i] for i in {*at, *changed} if i < left}
+        s.sync(listing(spark, *(row(i, k) for i, k in at.items())))
+        folders.append(len(s.state["tables"]["chunks"]))
+        one = Store(spark, f"file://{tmp_path}/one{n}")
+        one.sync(listing(spark, *(row(i, k) for i, k in at.items())))
+        assert held(s) == held(one)
+        assert {r["id"] for r in s.table("doc_stats").collect()} == {r["id"] for r in s.table("chunks").collect()}
+    assert folders[:2] == [1, 2] and 1 in folders[2:] and max(folders) < 4
+    s.vacuum()
+    assert held(s) == held(one)
+
+
+def test_a_file_listed_twice(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    s.sync(listing(spark, ("a.jsonl", "memory", 1.0, 1, "one\ntwo"), ("a.jsonl", "memory", 1.0, 2, "one\nthree"), ("b.jsonl", "memory", 1.0, 1, "one")))
+    assert sorted(r["text"] for r in s.table("chunks").collect()) == ["one", "one", "three", "two"]
+    s.sync(listing(spark, ("a.jsonl", "memory", 1.0, 2, "one\nthree"), ("b.jsonl", "memory", 1.0, 1, "one")))  # as one of both was
+    assert sorted(r["text"] for r in s.table("chunks").collect()) == ["one", "one", "three"]
